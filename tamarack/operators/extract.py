@@ -309,7 +309,7 @@ def sentences(documents: DataFrame, content: str = "content") -> DataFrame:
 
 
 def may_hold_claims(sentence: Column) -> Column:
-    """Cheap test before the claim regexes: a digit, ten characters, no listicle, no lone release year."""
+    """Cheap test before the claim regexes: ten characters, no listicle, no lone release year."""
     one_number = F.regexp_count(sentence, F.lit(r"(?U)\b[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?\b")) == 1
     first = F.regexp_extract(sentence, r"(?U)\b[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?\b", 0)
     lone_year = (
@@ -318,7 +318,7 @@ def may_hold_claims(sentence: Column) -> Column:
         & one_number & first.rlike(r"^(?:19[0-9][0-9]|20[0-3][0-9])$")
     )
     return (
-        sentence.rlike("[0-9]") & (F.length(sentence) >= 10) & ~sentence.rlike(terms.LISTICLE_PATTERN) & ~lone_year
+        (F.length(sentence) >= 10) & ~sentence.rlike(terms.LISTICLE_PATTERN) & ~lone_year
     )
 
 
@@ -331,7 +331,8 @@ def claims_from_sentences(rows: DataFrame, sentence: str = "sentence", families=
     """
     rest = [c for c in rows.columns if c != sentence]
     cleaned = (
-        rows.withColumn("_s", clean_sentence(F.col(sentence)))
+        rows.filter(F.col(sentence).rlike("[0-9]"))
+        .withColumn("_s", clean_sentence(F.col(sentence)))
         .filter(may_hold_claims(F.col("_s")))
         .withColumn("_l", F.lower("_s"))
     )
@@ -382,13 +383,14 @@ def claims_from_sentences(rows: DataFrame, sentence: str = "sentence", families=
     )
 
 
-def extract_claims(documents: DataFrame) -> DataFrame:
+def extract_claims(documents: DataFrame, carry=()) -> DataFrame:
     """Claims of a documents table (``original_url, content``, optional ``source_name, title``).
 
     ``candidate_id`` is a hash of url, sentence number, family and offset, so a rerun gives the same ids.
+    ``request_id`` and the columns named in ``carry`` pass through.
     """
     name = [F.col(c) for c in ("source_name", "title") if c in documents.columns]
-    carried = [c for c in ("request_id",) if c in documents.columns]
+    carried = [c for c in ("request_id", *carry) if c in documents.columns]
     docs = documents.select(
         *carried,
         F.col("original_url").alias("source_url"),
