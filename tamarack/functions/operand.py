@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack import terms
 from tamarack.functions.text import low
-from tamarack.schemas import OPERAND, OPERAND_DDL
+from tamarack.schemas import OPERAND_DDL, OPERAND_FIELDS
 
 _FALSE = ("is_assumption", "is_user_provided", "is_conflict", "is_prior_year")
 
@@ -16,10 +16,10 @@ def operand(name, value, unit, **fields) -> Column:
     """Build an operand struct; missing fields are null, missing flags false."""
     given = {"name": name, "value": value, "unit": unit, **fields}
     cols = []
-    for f in OPERAND.fields:
-        v = given.get(f.name, False if f.name in _FALSE else None)
+    for field, kind in OPERAND_FIELDS:
+        v = given.get(field, False if field in _FALSE else None)
         col = v if isinstance(v, Column) else F.lit(v)
-        cols.append(col.cast(f.dataType).alias(f.name))
+        cols.append(col.cast(kind).alias(field))
     return F.struct(*cols)
 
 

@@ -15,6 +15,7 @@ from tamarack import terms
 from tamarack.functions import claim_rules as rules
 from tamarack.functions import source_rules as src
 from tamarack.functions import text as tx
+from tamarack.functions.once import computed_once
 
 # Business columns that ``validate_claims`` reads when the claims carry them.
 BUSINESS_COLUMNS = (
@@ -29,7 +30,7 @@ def _optional(df: DataFrame, name: str, kind: str = "string") -> Column:
 def score_sources(claims: DataFrame, substring: bool = False) -> DataFrame:
     """Add ``domain, source_quality_score, source_quality_tier``."""
     df = claims.withColumn("domain", tx.domain_of(F.col("source_url")))
-    df = df.withColumn("_b", src.quality_base(F.col("source_url"), F.col("domain"), F.col("source_name"), substring))
+    df = computed_once(df, {"_b": src.quality_base(F.col("source_url"), F.col("domain"), F.col("source_name"), substring)})
     points = src.quality_adjustment(
         F.col("year"), F.col("source_name"), F.col("source_context"), _optional(df, "raw_value_expression")
     )
@@ -77,7 +78,7 @@ def relevance(claims: DataFrame) -> DataFrame:
     cust, prod = _optional(claims, "target_customer"), _optional(claims, "target_product")
     with_unit = F.concat_ws(" ", tx.low(metric), tx.low(context), tx.low(unit))
     without_unit = F.concat_ws(" ", tx.low(metric), tx.low(context))
-    df = claims.withColumns({
+    df = computed_once(claims, {
         "quality_percent": F.round(F.col("source_quality_score") * 100, 1),
         "recency_score": rules.recency_score(F.col("year")),
         "geography_score": rules.geography_score(metric, context, place, geo),
@@ -97,7 +98,7 @@ def relevance(claims: DataFrame) -> DataFrame:
         F.when(noise.isin("NOISE_CONTACT_INFO", "NAVIGATION_TEXT"), 0.0).when(noise == "UNRELATED_PRICE", 10.0)
         .when(noise == "NO_MARKET_SIZING_CLAIM", 5.0).when(unrelated, 0.0).otherwise(score)
     )
-    df = df.withColumn("relevance_score", overall)
+    df = computed_once(df, {"relevance_score": overall})
     rejection = (
         F.when(noise.isNotNull(), noise).when(unrelated, "UNRELATED_INDUSTRY")
         .when(geo_score < 15, "GEOGRAPHY_MISMATCH").when(ind_score < 20, "UNRELATED_INDUSTRY")
@@ -121,7 +122,7 @@ def validate_claims(claims: DataFrame, substring_domains: bool = False) -> DataF
     ``validated`` but never ``verified``.
     """
     df = relevance(score_sources(claims, substring_domains))
-    df = df.withColumn("errors", structural_errors(df))
+    df = computed_once(df, {"errors": structural_errors(df)})
     has_target = F.coalesce(*[_optional(claims, c).cast("string") for c in BUSINESS_COLUMNS]).isNotNull()
     target = {
         "has_target": has_target,
@@ -133,7 +134,7 @@ def validate_claims(claims: DataFrame, substring_domains: bool = False) -> DataF
     unusable = (F.col("source_quality_tier") == terms.TIER_5) | (F.col("source_quality_score") < 0.25)
     structural = F.size("errors") > 0
     rejected = F.col("relevance_rejection").isNotNull()
-    df = df.withColumns({
+    df = computed_once(df, {
         "validation_status": F.when(unusable, "rejected").when(structural, "invalid").when(rejected, "rejected").otherwise("valid"),
         "rejection_category": F.when(unusable, "UNUSABLE_SOURCE").otherwise(F.col("relevance_rejection")),
         "suitability": rules.suitability(claim, target),
@@ -158,7 +159,7 @@ def with_claim_keys(claims: DataFrame) -> DataFrame:
     metric, unit = tx.normalize_metric(F.col("metric")), tx.normalize_unit(F.col("unit"))
     place, kind = tx.normalize_place(F.col("geography")), F.coalesce("metric_type", F.lit(""))
     year = F.coalesce(F.col("year").cast("string"), F.lit("None"))
-    df = claims.withColumns({"norm_metric": metric, "norm_unit": unit, "norm_place": place, "_kind": kind, "_year": year})
+    df = computed_once(claims, {"norm_metric": metric, "norm_unit": unit, "norm_place": place, "_kind": kind, "_year": year})
     group = F.concat_ws(
         "|", "norm_metric", "_kind", "norm_place", "_year", "norm_unit", tx.key_number(F.col("value")),
         tx.key_number(F.col("range_min")), tx.key_number(F.col("range_max")),
@@ -167,7 +168,7 @@ def with_claim_keys(claims: DataFrame) -> DataFrame:
     subject = F.concat_ws(
         "|", "norm_metric", "_kind", "norm_place", "_year", "norm_unit", F.when(macro, "macro").otherwise("micro")
     )
-    return df.withColumns({
+    return computed_once(df, {
         "group_id": F.concat(F.lit("dup_"), F.substring(F.md5(group), 1, 12)),
         "subject_id": F.concat(F.lit("cnf_"), F.substring(F.md5(F.concat(F.lit("conflict_"), subject)), 1, 12)),
     }).drop("_kind", "_year")

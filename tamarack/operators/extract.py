@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tamarack import terms
 from tamarack.functions import text as tx
 from tamarack.functions.claim_rules import metric_type_of_lowered
+from tamarack.functions.once import computed_once
 
 _MULT = r"(thousand|million|billion|trillion|crore|lakh|mn|bn|k|b|m)?"
 _CUR = r"(?:USD|\$|INR|₹|EUR|€|GBP|£)?"
@@ -346,18 +347,17 @@ def claims_from_sentences(rows: DataFrame, sentence: str = "sentence", families=
     }
     found = F.concat(_no_candidates(), *[makers[f]() for f in FAMILIES if f in families])
     kept = cleaned.select(*rest, "_s", "_l", F.explode(_keep_disjoint(found)).alias("c"))
-    typed = kept.select(
-        *rest, "_s", "c",
-        tx.place_of_match(s, F.col("c.ms"), F.col("c.me")).alias("geography"),
-        tx.year_of_match(s, F.col("c.ms"), F.col("c.me")).alias("year"),
-        F.coalesce(
+    typed = computed_once(kept, {
+        "geography": tx.place_of_match(s, F.col("c.ms"), F.col("c.me")),
+        "year": tx.year_of_match(s, F.col("c.ms"), F.col("c.me")),
+        "metric_type": F.coalesce(
             F.col("c.fixed_type"),
             metric_type_of_lowered(
                 F.lower("c.metric"), F.lower("c.unit"), lowered, F.col("c.type_value"), F.lower("c.mult")
             ),
             F.col("c.default_type"),
-        ).alias("metric_type"),
-    )
+        ),
+    })
     sure = (F.col("c.family") >= 2) & F.col("year").isNotNull() & F.col("geography").isNotNull()
     price_title = F.when(F.col("metric_type") == "subscription_price", "subscription price").otherwise(
         "unit price / average price"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tamarack import terms
 from tamarack.functions import operand as op
+from tamarack.functions.once import computed_once
 from tamarack.functions.text import has_any, low, unit_currency
 from tamarack.schemas import ASSUMPTION_DDL
 
@@ -34,7 +35,7 @@ def _prepared(items: DataFrame) -> DataFrame:
     )
     hot = F.col("conflict_min").isNotNull() if "conflict_min" in items.columns else F.lit(False)
     own = F.coalesce("value", "range_min")
-    df = items.withColumns({
+    df = computed_once(items, {
         "_v": own,
         "_unit": low(F.col("unit")), "_metric": low(F.col("metric")),
         "_raw": low(_column(items, "raw_value_expression")), "_ctx": low(_column(items, "source_context")),
@@ -47,7 +48,7 @@ def _prepared(items: DataFrame) -> DataFrame:
         "_cust": low(_column(items, "target_customer")), "_words": idea_words,
     })
     full = F.concat_ws(" ", "_metric", "_raw", "_ctx", low(_column(items, "source_name")), low(_column(items, "source_url")))
-    return df.filter(F.col("_v").isNotNull()).withColumn("_full", full)
+    return computed_once(df.filter(F.col("_v").isNotNull()), {"_full": full})
 
 
 def base_score(items: DataFrame) -> Column:
@@ -216,7 +217,7 @@ def operand_candidates(items: DataFrame, only_valid: bool = True) -> DataFrame:
         .when(percent, F.when(percent_rejection().isNull(), _percent_role()))
         .when(money, _money_role())
     )
-    df = df.withColumn("slot", slot).filter(F.col("slot").isNotNull())
+    df = computed_once(df, {"slot": slot}).filter(F.col("slot").isNotNull())
     df = df.withColumn("_place", F.when(F.col("slot") == "macro", _macro_place()).otherwise(F.coalesce("geography", "target_geography")))
     place = low(F.col("_place"))
     df = df.filter(~((F.col("slot") == "macro") & _macro_excluded(place)))
@@ -261,7 +262,7 @@ def operand_candidates(items: DataFrame, only_valid: bool = True) -> DataFrame:
         market_scope=_column(items, "market_scope"),
         is_prior_year=F.coalesce(F.col("year") < F.col("target_year"), F.lit(False)), evidence_id=F.col("candidate_id"),
     )
-    out = df.withColumn("score", slot_points + base_score(items)).withColumn("operand", built).filter(op.is_usable(F.col("operand")))
+    out = computed_once(df, {"score": slot_points + base_score(items), "operand": built}).filter(op.is_usable(F.col("operand")))
     return out.select("request_id", "target_geography", "slot", "score", F.col("_year").cast("double").alias("cand_year"), "candidate_id", "operand")
 
 
@@ -345,7 +346,7 @@ def apply_assumptions(pivoted: DataFrame) -> DataFrame:
     ))
     slots = {s: F.coalesce(for_slot(s), F.col(s)) for s, _ in terms.ASSUMPTION_SLOTS}
     slots["macro"] = F.coalesce(top_down, slots["macro"])
-    return df.withColumns(slots).drop("_a")
+    return computed_once(df, slots).drop("_a")
 
 
 def sizing_requests(requests: DataFrame, best: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack import terms
 from tamarack.functions import operand as op
+from tamarack.functions.once import computed_once
 from tamarack.functions.measures import (
     assumption_category, assumption_impact, assumption_source, freshness, freshness_rank,
 )
@@ -73,15 +74,16 @@ def assumption_registry(requests: DataFrame) -> DataFrame:
         valued = F.filter(ops, lambda o: o["value"].isNotNull())
         parts.append(_items(valued, category, affects))
     free = F.transform(F.coalesce("assumptions", F.expr("cast(array() as array<struct<name:string,value:double,unit:string,justification:string,is_user_provided:boolean>>)")), _free_item)
-    df = requests.withColumn("_items", F.concat(*parts, free)).withColumn("registry", _first_per_name(F.col("_items")))
+    df = computed_once(requests, {"_items": F.concat(*parts, free)})
+    df = computed_once(df, {"registry": _first_per_name(F.col("_items"))})
     r = F.col("registry")
-    return df.withColumn("registry_counts", F.struct(
+    return computed_once(df, {"registry_counts": F.struct(
         F.size(r).alias("total"),
         op.count_where(r, lambda i: i["is_user_provided"] | (i["source_type"] == "USER_ASSUMPTION")).alias("user_provided"),
         op.count_where(r, lambda i: i["is_model_derived"] | (i["source_type"] == "MODEL_ASSUMPTION")).alias("model_derived"),
         op.count_where(r, lambda i: i["impact"] == "CRITICAL").alias("critical"),
         op.count_where(r, lambda i: i["impact"].isin("CRITICAL", "HIGH_IMPACT")).alias("high_impact"),
-    )).drop("_items")
+    )}).drop("_items")
 
 
 def _items(ops: Column, category: str, affects: str) -> Column:
@@ -113,7 +115,7 @@ def report_status(sized: DataFrame) -> DataFrame:
 
 def reliability(sized: DataFrame) -> DataFrame:
     """Add ``reliability`` to rows that carry results, comparison, registry, status and double-counting risk."""
-    df = sized.withColumn("_ops", raw_operands())
+    df = computed_once(sized, {"_ops": raw_operands()})
     ops, counts, registry = F.col("_ops"), F.col("registry_counts"), F.col("registry")
     top = op.count_where(ops, lambda o: op.in_tier(o, terms.TIER_1, terms.TIER_2) & ~o["is_assumption"])
     press = op.count_where(ops, lambda o: op.in_tier(o, terms.TIER_3) & ~o["is_assumption"])
@@ -133,7 +135,7 @@ def reliability(sized: DataFrame) -> DataFrame:
         lambda o: F.struct(freshness_rank(freshness(o["published_year"], target)).alias("r"), freshness(o["published_year"], target).alias("f")),
     )
     worst = F.coalesce(F.array_max(ranked)["f"], F.lit("UNKNOWN"))
-    df = df.withColumns({
+    df = computed_once(df, {
         "_strength": strength, "_risk": risk, "_fresh": worst,
         "_agree": F.coalesce(F.upper("comparison.severity"), F.lit("SINGLE_METHOD")),
     })
@@ -187,4 +189,4 @@ def report_confidence(sized: DataFrame) -> DataFrame:
         .when(F.array_contains(ratings, "HIGH") | F.array_contains(ratings, "MEDIUM"), "MEDIUM")
         .otherwise("LOW")
     )
-    return sized.withColumns({"report_confidence": confidence, "report_quality": quality})
+    return computed_once(sized, {"report_confidence": confidence, "report_quality": quality})

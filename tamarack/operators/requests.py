@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack import terms
 from tamarack.functions import operand as op
+from tamarack.functions.once import computed_once
 from tamarack.functions.measures import revenue_per_customer
 from tamarack.functions.text import has_any, has_any_word, low
 from tamarack.schemas import ASSUMPTION_DDL
@@ -383,7 +384,7 @@ def first_match_requests(requests: DataFrame, inputs: DataFrame) -> DataFrame:
     ))
     staff = positive("number_of_employees")
     basis = low(F.col("pricing_basis"))
-    df = df.withColumns({
+    df = computed_once(df, {
         "_pricing": pricing, "_customers": customers,
         "_freq": F.when(monthly, "monthly").otherwise("annual"),
         "providers": F.when(basis.contains("provider") & staff.isNotNull(), op.operand("Providers Per Organization", staff, "providers", data_type="USER_PROVIDED")),
@@ -407,7 +408,7 @@ def first_match_requests(requests: DataFrame, inputs: DataFrame) -> DataFrame:
     bench_pct = _benchmark(df, "benchmark_serviceable_pct")
     bench = F.when(nothing_stated & srv_item.isNull() & bench_pct.isNotNull(),
                    op.operand("Benchmark serviceable share", bench_pct, "%", year=2025, data_type="estimated", is_assumption=True))
-    df = df.withColumns({
+    df = computed_once(df, {
         "serviceable": F.coalesce(srv, item_srv),
         "target_customer_pct": F.when(srv.isNull(), F.coalesce(pct, item_pct, bench)),
         "serviceability_constraints": F.array_compact(F.array(
@@ -431,7 +432,8 @@ def first_match_requests(requests: DataFrame, inputs: DataFrame) -> DataFrame:
     capacity = F.coalesce(F.when(F.col("sales_team_size") != 0, F.col("sales_team_size")), F.lit(2)) * deals * reach
     sells = F.coalesce(F.col("healthcare_saas_category"), F.col("sales_team_size").cast("string"), F.col("sales_cycle_months").cast("string")).isNotNull()
     wanted = positive("expected_customer_acquisition_annual")
-    df = df.withColumn("_ceil", ceiling).withColumn("_obt", F.when(wanted.isNotNull(), F.least(wanted, F.col("_ceil")))
+    df = computed_once(df, {"_ceil": ceiling})
+    df = df.withColumn("_obt", F.when(wanted.isNotNull(), F.least(wanted, F.col("_ceil")))
         .when(som_assumed["value"].isNotNull(), F.round(F.col("_ceil") * (som_assumed["value"] / 100.0), 0))
         .when(sells, F.round(F.least(F.col("_ceil"), F.greatest(F.lit(1.0), capacity)), 0)))
     obt = F.col("_obt")

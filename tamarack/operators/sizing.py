@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tamarack import terms
 from tamarack.functions import operand as op
 from tamarack.functions.measures import divergence, price_multiplier
+from tamarack.functions.once import computed_once
 
 METRICS = ("tam", "sam", "som")
 _TEXTS = "array<string>"
@@ -129,7 +130,7 @@ def top_down(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
     ).contains("parent market")
     unsegmented = F.coalesce(parent_market, F.lit(False)) & (F.size(F.coalesce("segment_percentages", op.no_operands())) == 0)
     inputs = F.concat(op.present(macro), F.coalesce("segment_percentages", op.no_operands()))
-    df = df.withColumn("td_tam", _result(
+    df = computed_once(df, {"td_tam": _result(
         status, F.col("_t.point"), F.col("_t.low"), F.col("_t.high"),
         unit=macro["unit"], currency=macro["currency"], year=macro["year"], geography=macro["geography"],
         inputs=inputs, assumptions=_assumed_names(F.concat(op.present(macro), F.col("_segs"))),
@@ -140,7 +141,7 @@ def top_down(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
             F.array(F.coalesce(macro["name"], F.lit("macro_market_size"))),
             F.transform(F.col("_segs"), lambda o: F.concat(F.lit("("), o["name"], F.lit(" / 100)"))),
         ), " × "),
-    ))
+    )})
 
     tam, narrow = F.col("td_tam"), F.col("_narrow")
     df = df.withColumn("_t", _chain(_interval(tam["estimate"], tam["low"], tam["high"]), narrow))
@@ -150,12 +151,12 @@ def top_down(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
         .when(F.size(narrow) == 0, "insufficient_evidence")
         .otherwise("calculated")
     )
-    df = df.withColumn("td_sam", _result(
+    df = computed_once(df, {"td_sam": _result(
         status, _clamp(F.col("_t.point"), tam["estimate"]), F.col("_t.low"), F.col("_t.high"), parent=tam["estimate"],
         unit=tam["unit"], currency=tam["currency"], year=tam["year"], geography=tam["geography"], inputs=narrow,
         assumptions=F.concat(tam["assumptions_used"], _assumed_names(narrow)),
         warnings=F.concat(tam["warnings"], _texts(_clamp_note("SAM", "TAM", F.col("_t.point"), tam["estimate"]))),
-    ))
+    )})
 
     sam = F.col("td_sam")
     df = df.withColumn("_t", _interval(
@@ -169,13 +170,13 @@ def top_down(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
         .otherwise("calculated")
     )
     point = _clamp(F.col("_t.point"), sam["estimate"])
-    df = df.withColumn("td_som", _result(
+    df = computed_once(df, {"td_som": _result(
         status, point, F.col("_t.low"), F.col("_t.high"), parent=sam["estimate"],
         unit=sam["unit"], currency=sam["currency"], year=sam["year"], geography=sam["geography"],
         inputs=op.present(share), assumptions=F.concat(sam["assumptions_used"], _assumed_names(op.present(share))),
         warnings=F.concat(sam["warnings"], _texts(_clamp_note("SOM", "SAM", F.col("_t.point"), sam["estimate"]))),
         scenarios=_scenarios(point, F.col("_t.low"), F.col("_t.high"), _ranged(share), scenario_factors),
-    ))
+    )})
     return df.drop("_segs", "_narrow", "_t")
 
 
@@ -214,11 +215,11 @@ def bottom_up(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
     def per_customer(price_value: Column, use_value: Column) -> Column:
         return price_value * F.col("_freq") * F.coalesce(use_value, F.lit(1.0))
 
-    df = df.withColumn("annual_revenue", _interval(
+    df = computed_once(df, {"annual_revenue": _interval(
         per_customer(price["value"], use["value"]),
         per_customer(op.low_of(price), op.low_of(use)),
         per_customer(op.high_of(price), op.high_of(use)),
-    ))
+    )})
     rev = F.col("annual_revenue")
     status = (
         F.when(derive & (base["value"].isNull() | seg["value"].isNull()), "insufficient_evidence")
@@ -253,12 +254,12 @@ def bottom_up(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
         .when(F.col("_freq") == 4, "customers × (quarterly price × 4)")
         .otherwise("customers × annual revenue per customer")
     )
-    df = df.withColumn("_w", warnings).withColumn("bu_tam", _result(
+    df = computed_once(df.withColumn("_w", warnings), {"bu_tam": _result(
         status, cust["value"] * rev["point"], op.low_of(cust) * rev["low"], op.high_of(cust) * rev["high"],
         unit=unit, currency=currency, year=F.coalesce(cust["year"], price["year"]), geography=cust["geography"],
         inputs=op.present(cust, price, base, seg, F.col("providers"), F.col("seats"), F.col("volume")),
         assumptions=_assumed_names(op.present(cust, price)), warnings=F.col("_w"), count=cust["value"], formula=formula,
-    ))
+    )})
 
     tam, srv, pct = F.col("bu_tam"), F.col("serviceable"), F.col("target_customer_pct")
     direct = srv["value"].isNotNull()
@@ -278,13 +279,13 @@ def bottom_up(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
     raw = n["point"] * rev["point"]
     inputs = F.when(direct, op.present(price, srv)).otherwise(op.present(price, given, pct))
     used = F.when(direct, op.present(srv)).otherwise(op.present(pct))
-    df = df.withColumn("bu_sam", _result(
+    df = computed_once(df, {"bu_sam": _result(
         status, _clamp(raw, tam["estimate"]), n["low"] * rev["low"], n["high"] * rev["high"], parent=tam["estimate"],
         unit=tam["unit"], currency=tam["currency"], year=tam["year"], geography=tam["geography"], inputs=inputs,
         assumptions=F.concat(tam["assumptions_used"], _assumed_names(used)), count=n["point"],
         warnings=F.concat(tam["warnings"], _texts(_clamp_note("SAM", "TAM", raw, tam["estimate"]))),
         formula=F.lit("serviceable customers × annual revenue per customer"),
-    ))
+    )})
 
     sam, obt, share = F.col("bu_sam"), F.col("obtainable"), F.col("bu_share")
     counted = obt["value"].isNotNull()
@@ -303,7 +304,7 @@ def bottom_up(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
     )
     point = _clamp(n["point"], sam["estimate"])
     one = F.when(counted, op.present(obt)).otherwise(op.present(share))
-    df = df.withColumn("bu_som", _result(
+    df = computed_once(df, {"bu_som": _result(
         status, point, n["low"], n["high"], parent=sam["estimate"],
         unit=sam["unit"], currency=F.coalesce(sam["currency"], price["currency"]), year=sam["year"], geography=sam["geography"],
         inputs=F.concat(op.present(price), one), assumptions=F.concat(sam["assumptions_used"], _assumed_names(one)),
@@ -314,7 +315,7 @@ def bottom_up(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
         ),
         formula=F.when(counted, "obtainable customers × annual revenue per customer")
         .otherwise("SAM × (obtainable share / 100)"),
-    ))
+    )})
     return df.drop("_basis", "_cust", "_use", "_freq", "_n", "_w")
 
 
@@ -348,14 +349,14 @@ def compare_methods(sized: DataFrame) -> DataFrame:
         )),
     ))
     confidence = F.when(mismatch, "low").when(d["severity"] == "acceptable", "high").when(d["severity"] == "warning", "medium").otherwise("low")
-    return sized.withColumn("comparison", F.when(_both(td, bu), F.struct(
+    return computed_once(sized, {"comparison": F.when(_both(td, bu), F.struct(
         td["estimate"].alias("top_down"), bu["estimate"].alias("bottom_up"),
         F.when(mismatch, "MISMATCH").otherwise(F.coalesce(td["currency"], bu["currency"])).alias("currency"),
         F.when(~mismatch, d["absolute"]).alias("absolute"), F.when(~mismatch, d["percent"]).alias("percent"),
         F.when(~mismatch, d["ratio"]).alias("ratio"),
         F.when(mismatch, "warning").otherwise(d["severity"]).alias("severity"), confidence.alias("confidence"),
         diagnostics.alias("diagnostics"), other("sam").alias("sam"), other("som").alias("som"),
-    )))
+    ))})
 
 
 def size_markets(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
@@ -446,9 +447,9 @@ def scenario_bounds(sized: DataFrame) -> DataFrame:
     df = df.withColumn("_sam", narrowed(F.col("_tam"), "bu_sam", F.col("target_customer_pct")))
     df = df.withColumn("_som", narrowed(F.col("_sam"), "bu_som", F.col("bu_share")))
     status = F.when(F.col("_tam").isNotNull(), "AVAILABLE").otherwise("INSUFFICIENT_EVIDENCE")
-    return df.withColumn("scenarios", F.struct(
+    return computed_once(df, {"scenarios": F.struct(
         status.alias("status"), F.col("_tam").alias("tam"), F.col("_sam").alias("sam"), F.col("_som").alias("som"),
-    )).drop("_tam", "_sam", "_som")
+    )}).drop("_tam", "_sam", "_som")
 
 
 def sensitivity(sized: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     millions = (F.col("value") / 1e6).cast("decimal(18,6)").cast("string")
     raw = F.concat(F.lit("USD "), millions, F.lit(" million"))
     context = F.concat(
-        F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("According to "), F.col("s_name"), F.lit(", "))),
+        F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("According to house "), k.cast("string"), F.lit(", "))),
         F.lit("the "), F.col("part_type"), F.lit(" market in "), F.col("n_name"), F.lit(" reached "), raw, F.lit(" in "), F.col("year").cast("string"), F.lit("."),
     )
     url = F.concat(F.lit("https://s"), k.cast("string"), F.lit("."), pick(SUFFIXES, k % 5), F.lit("/report/"), F.lower("part_type"), F.lit("/"), F.col("year").cast("string"))
@@ -90,7 +90,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("It serves "), count, F.lit(" enterprise customers across "), place, F.lit(" in "), y, F.lit(". "),
         F.lit("Urban regions hold "), pct, F.lit("% of local demand in "), place, F.lit(" in "), y, F.lit(". "),
         F.lit("There are "), lo, F.lit("–"), hi, F.lit(" million users in "), place, F.lit(".\n"),
-        F.lit("More than "), lo, F.lit(" million subscribers pay in "), place, F.lit(" (" ), y, F.lit("). "),
+        F.lit("More than "), lo, F.lit(" million subscribers in "), place, F.lit(" ("), y, F.lit(") pay. "),
         F.lit("Key players include Acme "), t, F.lit(", Supplier "), k.cast("string"), F.lit(" and Borealis"),
     )
     return rows.select(
@@ -121,8 +121,8 @@ def sizing_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         return op.operand(name, value, "%", is_assumption=assumed, **common, **f)
 
     macro = op.operand(
-        F.concat(F.col("segment"), F.lit(" market")), total * 2.5, "USD", currency="USD", year=F.col("year"), geography=F.col("n_name"),
-        range_min=F.when(ranged, total * 2.25), range_max=F.when(ranged, total * 2.75), published_year=published, is_conflict=nk == 23, **common,
+        F.concat(F.col("segment"), F.lit(" market")), total * 2.71828183, "USD", currency="USD", year=F.col("year"), geography=F.col("n_name"),
+        range_min=F.when(ranged, total * 2.4464536), range_max=F.when(ranged, total * 2.9901099), published_year=published, is_conflict=nk == 23, **common,
     )
     customers = op.operand(
         F.concat(F.col("segment"), F.lit(" buyers")), buyers, "customers", year=F.col("year") + F.when(nk % 5 == 0, 1).otherwise(0), geography=F.col("n_name"),
@@ -130,7 +130,7 @@ def sizing_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # In (nation key mod 6 = 0) the price is a user's assumption; the basis cycles through the kinds.
     price = op.operand(
-        "Average yearly spend", F.round(total / buyers, 2), "USD", currency=F.when(nk == 17, "INR").otherwise("USD"), year=F.col("year"),
+        "Average yearly spend", total / buyers * 1.0000137, "USD", currency=F.when(nk == 17, "INR").otherwise("USD"), year=F.col("year"),
         is_assumption=nk % 6 == 0, is_user_provided=nk % 6 == 0, **common,
     )
     none, empty = op.no_operand(), op.no_operands()
@@ -147,7 +147,7 @@ def sizing_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         pct("Qualified buyers", 20.0).alias("target_customer_pct"), none.alias("obtainable"),
         F.when(nk % 8 != 0, pct("Obtainable share", 10.0, F.lit(True), range_min=F.lit(8.0), range_max=F.lit(12.0))).alias("bu_share"),
         price.alias("pricing"), op.operand("Providers", 3.0, "providers").alias("providers"), op.operand("Seats", 4.0, "seats").alias("seats"),
-        op.operand("Orders", F.round(F.col("orders") / buyers, 2), "orders").alias("volume"),
+        op.operand("Orders", F.col("orders") / buyers, "orders").alias("volume"),
         F.when(nk % 2 == 1, F.array(pct("Online", 80.0), pct("Recurring", 50.0, range_min=F.lit(45.0), range_max=F.lit(55.0)))).otherwise(empty).alias("segment_percentages"),
         empty.alias("other_filters"),
         F.array(F.struct(F.lit("annual_growth_rate").alias("name"), F.lit(0.05).alias("value"), F.lit("ratio").alias("unit"), F.lit("plan").alias("justification"), F.lit(True).alias("is_user_provided"))).cast(f"array<{ASSUMPTION_DDL}>").alias("assumptions"),

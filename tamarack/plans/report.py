@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions import operand as op
 from tamarack.functions.measures import cagr
+from tamarack.functions.once import computed_once
 from tamarack.functions.text import display_value, low
 from tamarack.operators import reliability as rel
 from tamarack.operators import sizing
@@ -60,12 +61,12 @@ def headline(reports: DataFrame, policy: str = "orchestrator") -> DataFrame:
             | (td["evidence_quality"] != "INSUFFICIENT")
         )
         use_td = F.when(td_ok & bu_ok, top).otherwise(td_ok)
-        df = reports.withColumn("_td", F.coalesce(use_td, F.lit(False)))
+        df = computed_once(reports, {"_td": F.coalesce(use_td, F.lit(False))})
         picked = {m: _pick(F.col("_td"), F.col(f"td_{m}"), F.col(f"bu_{m}")) for m in sizing.METRICS}
     else:
         asked = F.coalesce(F.col("tam_method").isin("top_down", "top_down_market_share"), F.lit(False)) if "tam_method" in reports.columns else F.lit(False)
         weak = bu["evidence_quality"].isin("LOW", "INSUFFICIENT")
-        df = reports.withColumn("_td", td_ok & (asked | weak | ~bu_ok))
+        df = computed_once(reports, {"_td": td_ok & (asked | weak | ~bu_ok)})
 
         def fill(metric: str) -> Column:
             a, b = F.col(f"td_{metric}"), F.col(f"bu_{metric}")
@@ -74,7 +75,7 @@ def headline(reports: DataFrame, policy: str = "orchestrator") -> DataFrame:
             return _pick(F.col("_td"), down, up)
 
         picked = {"tam": _pick(F.col("_td"), td, bu), "sam": fill("sam"), "som": fill("som")}
-    df = df.withColumns(picked)
+    df = computed_once(df, picked)
     calculated = [F.col(f"{m}.status") == "calculated" for m in sizing.METRICS]
     final = (
         F.when(F.col("report_status") == "conflict", "conflict")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-OPERAND = T.StructType.fromDDL(
-    "name string, value double, unit string, currency string, year int, geography string, "
-    "range_min double, range_max double, is_assumption boolean, is_user_provided boolean, is_conflict boolean, "
-    "lifecycle_stage string, source_quality_tier string, source_url string, source_name string, "
-    "published_year int, confidence string, data_type string, assumption_justification string, "
-    "entity_concept string, market_scope string, is_prior_year boolean, evidence_id string"
+# One number of a formula with its provenance: (field, type) in order.
+OPERAND_FIELDS = (
+    ("name", "string"), ("value", "double"), ("unit", "string"), ("currency", "string"), ("year", "int"),
+    ("geography", "string"), ("range_min", "double"), ("range_max", "double"), ("is_assumption", "boolean"),
+    ("is_user_provided", "boolean"), ("is_conflict", "boolean"), ("lifecycle_stage", "string"),
+    ("source_quality_tier", "string"), ("source_url", "string"), ("source_name", "string"), ("published_year", "int"),
+    ("confidence", "string"), ("data_type", "string"), ("assumption_justification", "string"),
+    ("entity_concept", "string"), ("market_scope", "string"), ("is_prior_year", "boolean"), ("evidence_id", "string"),
 )
-OPERAND_DDL = "struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in OPERAND.fields) + ">"
+OPERAND_DDL = "struct<" + ",".join(f"{n}:{t}" for n, t in OPERAND_FIELDS) + ">"
 
 ASSUMPTION_DDL = "struct<name:string,value:double,unit:string,justification:string,is_user_provided:boolean>"
 

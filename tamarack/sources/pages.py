@@ -9,12 +9,13 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamarack import terms
 from tamarack.functions.source_rules import is_safe_url
 from tamarack.functions.text import domain_of, low
 
-_TEXT_AND_TITLE = "text string, title string"
+_TEXT_AND_TITLE = T.StructType([T.StructField("text", T.StringType()), T.StructField("title", T.StringType())])
 
 
 class _Reader(HTMLParser):
