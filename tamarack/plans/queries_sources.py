@@ -1 +1,271 @@
-"""Registered queries."""
+"""Registered queries: sources, pages, stored analyses, run events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tamarack.functions import source_rules as src
+from tamarack.functions.text import domain_of
+from tamarack.operators import discovery as dis
+from tamarack.plans import corpus
+from tamarack.plans.registry import CLAIMS, query
+from tamarack.sources import analyses as store
+from tamarack.sources import catalog
+from tamarack.sources import pages as pg
+from tamarack.streaming import feeds
+
+
+@query("page_domain", """
+SELECT page_id, lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.\\-]*:)?//([^/?#]*)', 1)) AS domain FROM pages""")
+def page_domain(spark, sf):
+    return corpus.table(spark, sf, "pages").select("page_id", domain_of(F.col("url")).alias("domain"))
+
+
+_CATEGORY_SQL = "(['official_government','academic_institution','reputable_news','other','other'])[CAST(k % 5 + 1 AS INTEGER)]"
+
+
+@query("source_category", f"""
+WITH {CLAIMS} SELECT candidate_id, {_CATEGORY_SQL} AS category, ([0.95, 0.90, 0.85, 0.50, 0.10])[CAST(k % 5 + 1 AS INTEGER)] AS authority FROM cl""")
+def source_category(spark, sf):
+    d = domain_of(F.col("source_url"))
+    c = src.source_category(d)
+    return corpus.claims(spark, sf).select("candidate_id", c.alias("category"), src.authority_score(d, c).alias("authority"))
+
+
+@query("source_tier", f"""
+WITH {CLAIMS} SELECT tier, CAST(count(*) AS BIGINT) AS claims FROM quality GROUP BY 1""")
+def source_tier(spark, sf):
+    d = domain_of(F.col("source_url"))
+    t = src.source_tier(src.source_category(d), d, F.col("source_url"))
+    return corpus.claims(spark, sf).groupBy(t.alias("tier")).agg(F.count("*").alias("claims"))
+
+
+@query("url_safety", """
+WITH u AS (
+  SELECT l_orderkey, l_linenumber, CAST(l_partkey % 256 AS BIGINT) AS a, CAST(l_suppkey % 256 AS BIGINT) AS b, CAST(l_orderkey % 256 AS BIGINT) AS c,
+    ([80, 443, 22, 8080, 3306])[CAST(l_linenumber % 5 + 1 AS INTEGER)] AS port FROM lineitem),
+n AS (SELECT *, a * 16777216 + b * 65536 + c * 256 + 7 AS ip FROM u)
+SELECT l_orderkey, l_linenumber, port IN (80, 443, 8080) AND NOT (a = 0 OR a = 10 OR a = 127 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31)
+  OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100)
+  OR (a = 203 AND b = 0 AND c = 113) OR a >= 224) AS safe FROM n""")
+def url_safety(spark, sf):
+    """Numeric hosts made from line items, dotted or (odd lines) as one decimal number."""
+    li = corpus.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    a, b, c = F.col("l_partkey") % 256, F.col("l_suppkey") % 256, F.col("l_orderkey") % 256
+    dotted = F.concat_ws(".", a.cast("string"), b.cast("string"), c.cast("string"), F.lit("7"))
+    plain = (a * 16777216 + b * 65536 + c * 256 + 7).cast("string")
+    host = F.when(F.col("l_linenumber") % 2 == 1, plain).otherwise(dotted)
+    port = corpus.pick(("80", "443", "22", "8080", "3306"), F.col("l_linenumber") % 5)
+    url = F.concat(F.lit("http://"), host, F.lit(":"), port, F.lit("/x"))
+    return li.select("l_orderkey", "l_linenumber", src.is_safe_url(url).alias("safe"))
+
+
+@query("page_safety", """SELECT page_id, regexp_matches(url, '^https?://') AS safe FROM pages""")
+def page_safety(spark, sf):
+    return corpus.table(spark, sf, "pages").select("page_id", src.is_safe_url(F.col("url")).alias("safe"))
+
+
+def _crawl(spark, sf):
+    k = F.col("page_id")
+    return corpus.table(spark, sf, "pages").select(
+        "page_id", "url", F.when(k % 7 == 0, F.concat(F.lit("https://moved.example.org/"), k.cast("string"))).otherwise(F.col("url")).alias("final_url"),
+        F.lit(None).cast("string").alias("title"), F.lit("crawler").alias("source_name"),
+        F.when(k % 11 == 0, 503).otherwise(200).alias("http_status"),
+        corpus.pick(("text/html; charset=utf-8", "text/plain", "application/pdf", "text/html"), k % 4).alias("content_type"),
+        F.when(k % 13 == 0, 6_000_000).otherwise(F.length("html")).cast("bigint").alias("content_length_bytes"),
+        F.when(k % 17 == 0, "Request timed out after 15 seconds").alias("error"), F.col("html").alias("body"),
+    )
+
+
+@query("fetch_outcome", """
+SELECT page_id, CASE WHEN page_id % 17 = 0 THEN 'timeout' WHEN page_id % 11 = 0 THEN 'fetch_failed' WHEN page_id % 4 = 2 THEN 'unsupported_content'
+  WHEN page_id % 13 = 0 THEN 'oversized' ELSE 'success' END AS fetch_status FROM pages""")
+def fetch_outcome(spark, sf):
+    c = _crawl(spark, sf)
+    return c.select("page_id", pg.fetch_status(c).alias("fetch_status"))
+
+
+@query("redirects", """
+SELECT url AS original_url, count(*) FILTER (page_id % 7 = 0) > 0 AS is_redirected, count(*) FILTER (page_id % 7 = 0) > 0 AS is_cross_domain_redirect,
+  CASE WHEN count(*) FILTER (page_id % 7 = 0) = 0 THEN 'crawler' END AS source_name FROM pages GROUP BY url""")
+def redirects(spark, sf):
+    d = pg.route_content(_crawl(spark, sf))
+    return d.groupBy("original_url").agg(F.bool_or("is_redirected").alias("is_redirected"), F.bool_or("is_cross_domain_redirect").alias("is_cross_domain_redirect"),
+                                         F.min(F.when(~F.col("is_cross_domain_redirect"), F.col("source_name"))).alias("source_name"))
+
+
+@query("routed_documents")
+def routed_documents(spark, sf):
+    return pg.route_content(_crawl(spark, sf)).select("original_url", "fetch_status", "content_type", "title", F.length("content").alias("characters"))
+
+
+def _sources(spark, sf):
+    """Discovered sources: every page for the request of its number modulo 40, in page order."""
+    k = F.col("page_id")
+    d = domain_of(F.col("url"))
+    return corpus.table(spark, sf, "pages").select(
+        F.concat(F.lit("r"), (k % 40).cast("string")).alias("request_id"), k.alias("ord"), "url", F.concat(F.lit("Page "), k.cast("string")).alias("title"),
+        F.when(k % 3 != 0, F.concat(F.lit("the market of "), d)).alias("snippet"), F.lit("web").alias("source_name"), d.alias("domain"),
+        src.source_category(d).alias("category"), ((k % 10) / 10.0).alias("relevance_score"),
+    )
+
+
+@query("source_relevance", """
+WITH s AS (
+  SELECT page_id, page_id % 10 / 10.0 AS score, lower('Page ' || page_id || ' ' || coalesce(CASE WHEN page_id % 3 <> 0 THEN 'the market of '
+    || lower(regexp_extract(url, '//([^/?#]*)', 1)) END, '') || ' ' || url) AS t FROM pages),
+h AS (SELECT *, CAST(contains(t, 'example') AS INTEGER) + CAST(contains(t, 'page') AS INTEGER) + CAST(contains(t, 'india') AS INTEGER) AS hits,
+  contains(t, 'example') AS pop, contains(t, 'page') AS topic, contains(t, 'india') AS geo, regexp_matches(t, 'bird|wildlife') AS denied FROM s)
+SELECT page_id, hits AS matched_terms, CASE WHEN NOT denied AND (hits >= 2 OR (pop AND topic) OR (pop AND geo) OR (score >= 0.7 AND hits >= 1)) THEN 'accepted' ELSE 'rejected' END AS relevance_status FROM h""")
+def source_relevance(spark, sf):
+    pairs = _sources(spark, sf).withColumns({
+        "metric_required": F.lit("number of the"), "target_population": F.lit("example"), "industry_topic": F.lit("page"), "geography": F.lit("India"),
+    })
+    return dis.source_relevance(pairs).select(F.col("ord").alias("page_id"), "matched_terms", "relevance_status")
+
+
+@query("source_cap", """
+WITH f AS (SELECT page_id % 40 AS r, url, min(page_id) AS page_id FROM pages GROUP BY ALL)
+SELECT 'r' || r AS request_id, url FROM f QUALIFY row_number() OVER (PARTITION BY r ORDER BY page_id) <= 3""")
+def source_cap(spark, sf):
+    first = dis.first_seen_sources(_sources(spark, sf), F.col("ord"))
+    return dis.cap_sources(first, 3, F.col("ord")).select("request_id", "url")
+
+
+@query("new_sources", """SELECT 'r' || page_id % 40 AS request_id, url FROM pages WHERE page_id % 4 <> 0
+  AND (page_id % 40, url) NOT IN (SELECT page_id % 40, url FROM pages WHERE page_id % 4 = 0)""")
+def new_sources(spark, sf):
+    s = _sources(spark, sf)
+    return dis.new_sources(s.filter(F.col("ord") % 4 != 0), s.filter(F.col("ord") % 4 == 0)).select("request_id", "url")
+
+
+@query("snippet_fallback", """
+WITH d AS (SELECT url, page_id, page_id % 5 = 0 AS bad FROM pages)
+SELECT page_id, CASE WHEN bad AND page_id % 3 <> 0 THEN 'snippet_fallback' WHEN bad THEN 'fetch_failed' ELSE 'success' END AS fetch_status,
+  CASE WHEN bad AND page_id % 3 <> 0 THEN 'text/plain' ELSE 'text/html' END AS content_type FROM d""")
+def snippet_fallback(spark, sf):
+    k = F.col("page_id")
+    unique = F.concat("url", F.lit("&n="), k.cast("string"))
+    docs = corpus.table(spark, sf, "pages").select(
+        unique.alias("original_url"), unique.alias("final_url"), F.lit("t").alias("title"), F.when(k % 5 != 0, F.col("html")).alias("content"),
+        F.lit("text/html").alias("content_type"), F.when(k % 5 == 0, 403).otherwise(200).alias("http_status"),
+        F.when(k % 5 == 0, "fetch_failed").otherwise("success").alias("fetch_status"), F.lit("web").alias("source_name"),
+    )
+    found = _sources(spark, sf).withColumn("url", F.concat("url", F.lit("&n="), F.col("ord").cast("string")))
+    return catalog.attach_documents(found, docs).select(F.col("ord").alias("page_id"), "fetch_status", "content_type")
+
+
+@query("catalog_search", """
+WITH q AS (SELECT page_id % 40 AS r, page_id, url FROM pages)
+SELECT 'r' || r AS request_id, url, 'size of market India 2025' AS query_used FROM q QUALIFY row_number() OVER (PARTITION BY r ORDER BY page_id, url) <= 4""")
+def catalog_search(spark, sf):
+    s = _sources(spark, sf)
+    queries = s.select("request_id").distinct().select(
+        "request_id", F.lit(1).alias("query_no"), F.lit("size of market").alias("metric_required"), F.lit(None).cast("string").alias("target_population"),
+        F.lit(" ").alias("industry_topic"), F.lit("India").alias("geography"), F.lit(2025).alias("year"), F.lit(4).alias("max_results"),
+    )
+    return catalog.search_catalog(queries, s).select("request_id", "url", "query_used")
+
+
+@query("search_results", """
+WITH p AS (SELECT page_id, url, page_id % 25 AS r FROM pages WHERE page_id % 6 <> 5)
+SELECT 'r' || r AS request_id, url, 'P' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 1.0 ELSE 0.5 END AS relevance_score
+FROM p QUALIFY row_number() OVER (PARTITION BY r ORDER BY page_id) <= 4""")
+def search_results(spark, sf):
+    """Payloads in four shapes; every sixth result has no web address and does not count."""
+    k = F.col("page_id")
+    link = F.when(k % 6 == 5, F.concat(F.lit("ftp://"), k.cast("string"))).otherwise(F.col("url"))
+    item = F.struct(k.alias("ord"), F.to_json(F.struct(
+        F.when(k % 2 == 0, link).alias("url"), F.when(k % 2 == 1, link).alias("link"), F.concat(F.lit("P"), k.cast("string")).alias("name"),
+        F.when(k % 2 == 0, 7.5).alias("score"),
+    )).alias("j"))
+    lists = corpus.table(spark, sf, "pages").groupBy((k % 25).alias("r")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    body = F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["j"]), ","), F.lit("]"))
+    shaped = corpus.pick(("%s", '{"results": %s}', '{"data": %s}', '{"webPages": {"value": %s}}'), F.col("r") % 4)
+    payloads = lists.select(
+        F.concat(F.lit("r"), F.col("r").cast("string")).alias("request_id"), F.lit("q").alias("query_used"),
+        F.replace(shaped, F.lit("%s"), body).alias("payload"), F.lit(4).alias("max_results"),
+    )
+    out = catalog.parse_search_results(payloads)
+    return out.select("request_id", "url", "title", "relevance_score")
+
+
+# -- stored analyses ----------------------------------------------------------------------------
+
+
+def _run_log(spark, sf):
+    return corpus.table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("analysis_id"), F.concat(F.lit("idea "), F.col("o_orderkey").cast("string")).alias("business_idea"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("version"),
+        (F.col("o_orderkey") % 13 == 0).alias("is_deleted"),
+    )
+
+
+@query("history_page", """
+SELECT CAST(o_orderkey AS VARCHAR) AS analysis_id, strftime(o_orderdate, '%Y-%m-%d') AS created_at, o_orderstatus AS status
+FROM orders ORDER BY created_at DESC, analysis_id LIMIT 200 OFFSET 100""")
+def history_page(spark, sf):
+    runs = corpus.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("analysis_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), F.col("o_orderstatus").alias("status")
+    )
+    return store.history_page(runs, limit=500, offset=100)
+
+
+@query("stored_versions", """
+WITH l AS (SELECT CAST(o_custkey AS VARCHAR) AS id, o_orderkey AS ver, 'idea ' || o_orderkey AS idea, o_orderstatus AS status, o_orderkey % 13 = 0 AS del FROM orders),
+f AS (SELECT id, max(ver) FILTER (del) AS fence FROM l GROUP BY id)
+SELECT id AS analysis_id, arg_min(idea, ver) AS business_idea, arg_max(status, ver) AS status FROM l JOIN f USING (id)
+WHERE NOT del AND (fence IS NULL OR ver > fence) GROUP BY id""")
+def stored_versions(spark, sf):
+    return store.latest_versions(_run_log(spark, sf)).select("analysis_id", "business_idea", "status")
+
+
+@query("upsert_analyses", """
+SELECT coalesce(n.id, o.id) AS analysis_id, coalesce(o.idea, n.idea) AS business_idea, coalesce(n.status, o.status) AS status
+FROM (SELECT o_orderkey AS id, 'idea ' || o_orderkey AS idea, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0) o
+FULL JOIN (SELECT o_orderkey AS id, 'new ' || o_orderkey AS idea, 'R' AS status FROM orders WHERE o_orderkey % 2 = 0) n ON o.id = n.id""")
+def upsert_analyses(spark, sf):
+    o, k = corpus.table(spark, sf, "orders"), F.col("o_orderkey")
+    old = o.filter(k % 3 != 0).select(k.alias("analysis_id"), F.concat(F.lit("idea "), k.cast("string")).alias("business_idea"), F.col("o_orderstatus").alias("status"))
+    new = o.filter(k % 2 == 0).select(k.alias("analysis_id"), F.concat(F.lit("new "), k.cast("string")).alias("business_idea"), F.lit("R").alias("status"))
+    return store.merge_analyses(old, new)
+
+
+# -- run events (batch form of the streaming operators) -----------------------------------------
+
+
+def _events(spark, sf):
+    stages = corpus.pick(("received", "discovery", "fetching", "extraction", "calculation"), F.col("event_id") % 5)
+    return corpus.table(spark, sf, "events").select(
+        F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("pipeline_id"), stages.alias("stage"),
+        F.when(F.col("event_type") == "error", "failed").otherwise("running").alias("status"), F.col("event_type").alias("message"),
+        (F.col("event_id") % 101).cast("int").alias("progress_percent"), "ts", "event_id",
+    )
+
+
+_EVENTS_SQL = """
+e AS (SELECT 'run' || user_id AS pipeline_id, (['received','discovery','fetching','extraction','calculation'])[CAST(event_id % 5 + 1 AS INTEGER)] AS stage,
+  CASE WHEN event_type = 'error' THEN 'failed' ELSE 'running' END AS status, CAST(event_id % 101 AS INTEGER) AS progress_percent, ts FROM events)"""
+
+
+@query("run_progress", f"""
+WITH {_EVENTS_SQL} SELECT pipeline_id, arg_max(stage, (ts, progress_percent)) AS stage, arg_max(status, (ts, progress_percent)) AS status,
+  arg_max(progress_percent, (ts, progress_percent)) AS progress_percent, CAST(count(*) AS BIGINT) AS n_events FROM e GROUP BY 1""")
+def run_progress(spark, sf):
+    return feeds.run_progress(_events(spark, sf)).select("pipeline_id", "stage", "status", "progress_percent", "n_events")
+
+
+@query("stage_durations", f"""
+WITH {_EVENTS_SQL}, w AS (SELECT *, lag(stage) OVER x AS from_stage, lag(ts) OVER x AS before FROM e WINDOW x AS (PARTITION BY pipeline_id ORDER BY ts, progress_percent))
+SELECT pipeline_id, coalesce(from_stage, '') AS from_stage, stage AS to_stage, CAST(count(*) AS BIGINT) AS transitions,
+  round(sum(epoch_us(ts) - epoch_us(before)) / 1000000.0, 0) AS seconds FROM w GROUP BY ALL""")
+def stage_durations(spark, sf):
+    d = feeds.stage_durations(_events(spark, sf))
+    return d.groupBy("pipeline_id", F.coalesce("from_stage", F.lit("")).alias("from_stage"), "to_stage").agg(
+        F.count("*").alias("transitions"), F.round(F.sum("duration_ms") / 1000.0, 0).alias("seconds"))
+
+
+@query("first_failures", f"""
+WITH {_EVENTS_SQL} SELECT pipeline_id, arg_min(stage, ts) AS failed_stage FROM e WHERE status = 'failed' GROUP BY 1""")
+def first_failures(spark, sf):
+    return feeds.first_failures(_events(spark, sf)).select("pipeline_id", "failed_stage")
