@@ -68,7 +68,7 @@ def display_short(spark, sf):
 
 @query("sentences", """
 WITH d AS (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+') AS a FROM documents)
-SELECT doc_id, CAST(len(a) AS INTEGER) AS sentences, CAST(list_sum(list_transform(a, x -> length(x))) AS BIGINT) AS characters FROM d""")
+SELECT doc_id, CAST(len(a) AS INTEGER) AS sentences, CAST(list_sum(list_transform(a, lambda x: length(x))) AS BIGINT) AS characters FROM d""")
 def sentences(spark, sf):
     d = corpus.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     return ex.sentences(d).groupBy("doc_id").agg(F.count("*").cast("int").alias("sentences"), F.sum(F.length("sentence")).alias("characters"))

@@ -49,7 +49,7 @@ def parse_search_results(payloads: DataFrame) -> DataFrame:
     def score(r: Column) -> Column:
         numbers = [r[n].try_cast("double") for n in ("score", "relevance", "relevance_score")]
         stated = F.coalesce(*[F.when(n != 0, n) for n in numbers])
-        return F.least(F.greatest(stated, F.lit(0.0)), F.lit(1.0))
+        return F.when(stated.isNotNull(), F.least(F.greatest(stated, F.lit(0.0)), F.lit(1.0)))
 
     rows = F.transform(F.filter(records, lambda r: r.isNotNull()), lambda r: F.struct(
         pick(r, "url", "link", "formattedUrl").alias("url"), pick(r, "title", "name", "heading").alias("title"),

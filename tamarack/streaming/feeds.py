@@ -29,9 +29,9 @@ def run_progress(events: DataFrame) -> DataFrame:
 def stage_durations(events: DataFrame, run: str = "pipeline_id") -> DataFrame:
     """State transitions of finished runs with the time spent in the former state (batch)."""
     w = Window.partitionBy(run).orderBy("ts", "progress_percent")
-    seconds = F.col("ts").cast("double") - F.lag("ts").over(w).cast("double")
+    micros = F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts"))
     return events.select(
-        run, F.lag("stage").over(w).alias("from_stage"), F.col("stage").alias("to_stage"), F.round(seconds * 1000, 0).alias("duration_ms"), "status", "ts",
+        run, F.lag("stage").over(w).alias("from_stage"), F.col("stage").alias("to_stage"), (micros / 1000.0).alias("duration_ms"), "status", "ts",
     )
 
 
