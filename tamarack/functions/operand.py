@@ -12,15 +12,32 @@ from tamarack.schemas import OPERAND_DDL, OPERAND_FIELDS
 _FALSE = ("is_assumption", "is_user_provided", "is_conflict", "is_prior_year")
 
 
+def _sql(value, kind: str) -> str:
+    """SQL literal of a Python value in a field's type."""
+    if value is None:
+        return f"cast(null as {kind})"
+    text = "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else str(value).lower()
+    return f"cast({text} as {kind})"
+
+
 def operand(name, value, unit, **fields) -> Column:
-    """Build an operand struct; missing fields are null, missing flags false."""
+    """Build an operand struct; missing fields are null, missing flags false.
+
+    Constants go into one parsed expression and only columns are set on top, which keeps the number of
+    calls into the JVM (and so the time to build a plan) small.
+    """
     given = {"name": name, "value": value, "unit": unit, **fields}
-    cols = []
+    parts, columns = [], []
     for field, kind in OPERAND_FIELDS:
         v = given.get(field, False if field in _FALSE else None)
-        col = v if isinstance(v, Column) else F.lit(v)
-        cols.append(col.cast(kind).alias(field))
-    return F.struct(*cols)
+        if isinstance(v, Column):
+            columns.append((field, v.cast(kind)))
+            v = None
+        parts.append(f"'{field}', {_sql(v, kind)}")
+    out = F.expr("named_struct(" + ", ".join(parts) + ")")
+    for field, v in columns:
+        out = out.withField(field, v)
+    return out
 
 
 def no_operand() -> Column:
@@ -77,49 +94,43 @@ def in_tier(op: Column, *tiers: str) -> Column:
     return F.coalesce(op["source_quality_tier"].isin(*tiers), F.lit(False))
 
 
-def confidence(ops: Column) -> Column:
-    """Confidence of a result from the stages and flags of its operands."""
-    assumed = count_where(ops, lambda o: o["is_assumption"])
-    verified = count_where(ops, lambda o: in_stage(o, "verified"))
-    validated = count_where(ops, lambda o: in_stage(o, "validated"))
-    return (
-        F.when(F.exists(ops, lambda o: o["is_conflict"]), "low")
-        .when((assumed > 1) & (verified > 0), "medium")
-        .when(assumed > 1, "low")
-        .when((verified >= 2) & (assumed == 0), "very_high")
-        .when(((verified >= 1) | (validated >= 1)) & (assumed == 0), "high")
-        .otherwise("medium")
-    )
-
-
-def evidence_quality(ops: Column, has_warnings: Column) -> Column:
-    """HIGH, MEDIUM or LOW from the tiers of the operands."""
-    assumed = count_where(ops, lambda o: o["is_assumption"])
-    top = count_where(ops, lambda o: in_tier(o, terms.TIER_1, terms.TIER_2))
-    press = count_where(ops, lambda o: in_tier(o, terms.TIER_3))
-    weak = count_where(ops, lambda o: in_tier(o, terms.TIER_4))
-    return (
-        F.when((assumed >= 2) | (weak >= 2), "LOW")
-        .when((top >= 1) & (assumed == 0) & ~has_warnings, "HIGH")
-        .when((top >= 1) | (press >= 1), "MEDIUM")
-        .otherwise("LOW")
+def confidence_sql(ops: str) -> str:
+    """SQL of the confidence of a result, from the stages and flags of the operand array ``ops``."""
+    assumed = f"size(filter({ops}, o -> o.is_assumption))"
+    verified = f"size(filter({ops}, o -> lower(o.lifecycle_stage) <=> 'verified'))"
+    validated = f"size(filter({ops}, o -> lower(o.lifecycle_stage) <=> 'validated'))"
+    return f"""case when exists({ops}, o -> o.is_conflict) then 'low'
+        when {assumed} > 1 then if({verified} > 0, 'medium', 'low')
+        when {verified} >= 2 and {assumed} = 0 then 'very_high'
+        when ({verified} >= 1 or {validated} >= 1) and {assumed} = 0 then 'high' else 'medium' end"""
+
+
+def _tier_count(ops: str, *tiers: str) -> str:
+    names = ", ".join(f"'{t}'" for t in tiers)
+    return f"size(filter({ops}, o -> coalesce(o.source_quality_tier in ({names}), false)))"
+
+
+def evidence_quality_sql(ops: str, has_warnings: str) -> str:
+    """SQL of HIGH, MEDIUM or LOW, from the tiers of the operands."""
+    assumed = f"size(filter({ops}, o -> o.is_assumption))"
+    top, press = _tier_count(ops, terms.TIER_1, terms.TIER_2), _tier_count(ops, terms.TIER_3)
+    return f"""case when {assumed} >= 2 or {_tier_count(ops, terms.TIER_4)} >= 2 then 'LOW'
+        when {top} >= 1 and {assumed} = 0 and not {has_warnings} then 'HIGH'
+        when {top} >= 1 or {press} >= 1 then 'MEDIUM' else 'LOW' end"""
+
+
+def quality_reasons_sql(ops: str) -> str:
+    """SQL of one line per kind of support that is present."""
+    lines = (
+        (_tier_count(ops, terms.TIER_1), "official (tier 1) source(s)"),
+        (_tier_count(ops, terms.TIER_2), "academic or trade (tier 2) source(s)"),
+        (_tier_count(ops, terms.TIER_3), "research or press (tier 3) source(s)"),
+        (_tier_count(ops, terms.TIER_4), "general web (tier 4) source(s)"),
+        (f"size(filter({ops}, o -> o.is_prior_year))", "prior-year benchmark(s)"),
+        (f"size(filter({ops}, o -> o.is_assumption))", "explicit assumption(s)"),
     )
-
-
-def quality_reasons(ops: Column) -> Column:
-    """One line per kind of support that is present."""
-    def line(test, text: str) -> Column:
-        n = count_where(ops, test)
-        return F.when(n > 0, F.concat(n.cast("string"), F.lit(" " + text)))
-
-    return F.array_compact(F.array(
-        line(lambda o: in_tier(o, terms.TIER_1), "official (tier 1) source(s)"),
-        line(lambda o: in_tier(o, terms.TIER_2), "academic or trade (tier 2) source(s)"),
-        line(lambda o: in_tier(o, terms.TIER_3), "research or press (tier 3) source(s)"),
-        line(lambda o: in_tier(o, terms.TIER_4), "general web (tier 4) source(s)"),
-        line(lambda o: o["is_prior_year"], "prior-year benchmark(s)"),
-        line(lambda o: o["is_assumption"], "explicit assumption(s)"),
-    ))
+    parts = ", ".join(f"if({n} > 0, concat({n}, ' {text}'), null)" for n, text in lines)
+    return f"array_compact(array({parts}))"
 
 
 def provenance(op: Column, role: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tamarack import terms
 from tamarack.functions import operand as op
 from tamarack.functions.once import computed_once
+from tamarack.schemas import ASSUMPTION_DDL, OPERAND_DDL
 from tamarack.functions.measures import (
     assumption_category, assumption_impact, assumption_source, freshness, freshness_rank,
 )
@@ -35,18 +36,20 @@ def _first_per_name(items: Column) -> Column:
     return F.filter(items, lambda x, i: ~F.array_contains(F.slice(names, F.lit(1), i), x["name"]))
 
 
-def _operand_item(o: Column, category: str, affects: str) -> Column:
+def _operand_item(x: Column) -> Column:
+    """Registry item of ``struct(category, affects, o)``."""
+    o, category = x["o"], x["category"]
     source = assumption_source(o)
     user = o["is_user_provided"] | o["is_assumption"]
     model = source == "MODEL_ASSUMPTION"
     return F.struct(
         o["name"].alias("name"), o["value"].alias("value"), F.coalesce(o["unit"], F.lit("units")).alias("unit"),
-        F.lit(category).alias("category"), source.alias("source_type"),
+        category.alias("category"), source.alias("source_type"),
         F.coalesce(o["source_url"], o["source_name"]).alias("source_reference"),
         F.coalesce(o["confidence"], F.lit("medium")).alias("confidence"),
         user.alias("is_user_provided"), source.isin("VERIFIED_EVIDENCE", "VALIDATED_EVIDENCE").alias("is_evidence_based"),
-        model.alias("is_model_derived"), assumption_impact(F.lit(category), user | model).alias("impact"),
-        F.lit(affects).alias("affects"), o["range_min"].alias("min_value"), o["range_max"].alias("max_value"),
+        model.alias("is_model_derived"), assumption_impact(category, user | model).alias("impact"),
+        x["affects"].alias("affects"), o["range_min"].alias("min_value"), o["range_max"].alias("max_value"),
         F.when(o["range_min"].isNotNull() & o["range_max"].isNotNull(), "EVIDENCE_BOUNDED").otherwise("POINT_ONLY").alias("uncertainty_status"),
     )
 
@@ -68,13 +71,14 @@ def _free_item(a: Column) -> Column:
 
 def assumption_registry(requests: DataFrame) -> DataFrame:
     """Add ``registry`` (first item per name) and its four counts."""
-    parts = []
-    for column, category, affects in _REGISTERED:
-        ops = F.coalesce(column, op.no_operands()) if column in _LISTS else F.array(column)
-        valued = F.filter(ops, lambda o: o["value"].isNotNull())
-        parts.append(_items(valued, category, affects))
-    free = F.transform(F.coalesce("assumptions", F.expr("cast(array() as array<struct<name:string,value:double,unit:string,justification:string,is_user_provided:boolean>>)")), _free_item)
-    df = computed_once(requests, {"_items": F.concat(*parts, free)})
+    def tagged(column: str, category: str, affects: str) -> str:
+        ops = f"coalesce({column}, cast(array() as array<{OPERAND_DDL}>))" if column in _LISTS else f"array({column})"
+        return f"transform({ops}, o -> named_struct('category', '{category}', 'affects', '{affects}', 'o', o))"
+
+    every = F.expr("concat(" + ", ".join(tagged(*r) for r in _REGISTERED) + ")")
+    evidence = F.transform(F.filter(every, lambda x: x["o"]["value"].isNotNull()), _operand_item)
+    free = F.transform(F.expr(f"coalesce(assumptions, cast(array() as array<{ASSUMPTION_DDL}>))"), _free_item)
+    df = computed_once(requests, {"_items": F.concat(evidence, free)})
     df = computed_once(df, {"registry": _first_per_name(F.col("_items"))})
     r = F.col("registry")
     return computed_once(df, {"registry_counts": F.struct(
@@ -86,10 +90,6 @@ def assumption_registry(requests: DataFrame) -> DataFrame:
     )}).drop("_items")
 
 
-def _items(ops: Column, category: str, affects: str) -> Column:
-    return F.transform(ops, lambda o: _operand_item(o, category, affects))
-
-
 def raw_operands() -> Column:
     """All operands of a request that feed the audit, in order."""
     def many(c: str) -> Column:

@@ -18,10 +18,6 @@ METRICS = ("tam", "sam", "som")
 _TEXTS = "array<string>"
 
 
-def _no_texts() -> Column:
-    return F.array().cast(_TEXTS)
-
-
 def _texts(*conditional: Column) -> Column:
     return F.array_compact(F.array(*conditional)).cast(_TEXTS)
 
@@ -34,35 +30,36 @@ def _whole(value: Column) -> Column:
     return F.format_number(value, 0)
 
 
-def _result(status: Column, point, lower, upper, *, parent=None, unit, currency, year, geography, inputs,
-            warnings, assumptions, count=None, scenarios=None, formula=None) -> Column:
-    """One result struct; everything numeric is null unless the status is ``calculated``."""
-    ok = status == "calculated"
+def _known(field: str, kind: str = "double") -> str:
+    """A field of the raw result that is null unless the result is calculated."""
+    return f"cast(if(_x.status = 'calculated', _x.{field}, null) as {kind})"
 
-    def known(v) -> Column:
-        return F.when(ok, v if isinstance(v, Column) else F.lit(v))
 
-    share = F.when(parent > 0, F.round(point / parent * 100, 2)) if parent is not None else F.lit(None)
-    none3 = F.lit(None).cast("struct<conservative:double,base:double,optimistic:double>")
-    return F.struct(
-        status.alias("status"),
-        known(point).cast("double").alias("estimate"),
-        known(lower).cast("double").alias("low"),
-        known(upper).cast("double").alias("high"),
-        known(share).cast("double").alias("percent_of_parent"),
-        known(count if count is not None else F.lit(None)).cast("double").alias("customer_count"),
-        known(scenarios if scenarios is not None else none3).alias("scenarios"),
-        unit.alias("unit"),
-        currency.alias("currency"),
-        year.alias("year"),
-        geography.alias("geography"),
-        known(formula if formula is not None else F.lit(None)).cast("string").alias("formula"),
-        F.when(ok, op.confidence(inputs)).otherwise("low").alias("confidence"),
-        F.when(ok, op.evidence_quality(inputs, F.size(warnings) > 0)).otherwise("INSUFFICIENT").alias("evidence_quality"),
-        F.when(ok, op.quality_reasons(inputs)).otherwise(_no_texts()).alias("evidence_reasons"),
-        F.when(ok, assumptions).otherwise(_no_texts()).alias("assumptions_used"),
-        F.when(ok, warnings).otherwise(_no_texts()).alias("warnings"),
-    )
+_SCENARIOS = "struct<conservative:double,base:double,optimistic:double>"
+# The result struct from its raw parts (column ``_x``), as one parsed expression.
+_RESULT_SQL = f"""named_struct(
+  'status', _x.status, 'estimate', {_known('point')}, 'low', {_known('lower')}, 'high', {_known('upper')},
+  'percent_of_parent', if(_x.status = 'calculated' and _x.parent > 0, round(_x.point / _x.parent * 100, 2), cast(null as double)),
+  'customer_count', {_known('count')}, 'scenarios', {_known('scenarios', _SCENARIOS)},
+  'unit', _x.unit, 'currency', _x.currency, 'year', _x.year, 'geography', _x.geography, 'formula', {_known('formula', 'string')},
+  'confidence', if(_x.status = 'calculated', {op.confidence_sql('_x.inputs')}, 'low'),
+  'evidence_quality', if(_x.status = 'calculated', {op.evidence_quality_sql('_x.inputs', '(size(_x.warnings) > 0)')}, 'INSUFFICIENT'),
+  'evidence_reasons', if(_x.status = 'calculated', {op.quality_reasons_sql('_x.inputs')}, cast(array() as array<string>)),
+  'assumptions_used', if(_x.status = 'calculated', _x.assumptions, cast(array() as array<string>)),
+  'warnings', if(_x.status = 'calculated', _x.warnings, cast(array() as array<string>)))"""
+
+
+def _add_result(df: DataFrame, name: str, status: Column, point, lower, upper, *, parent=None, unit, currency, year, geography,
+                inputs, warnings, assumptions, count=None, scenarios=None, formula=None) -> DataFrame:
+    """Add one result struct; everything numeric in it is null unless the status is ``calculated``."""
+    raw = {
+        "status": status, "point": point, "lower": lower, "upper": upper, "parent": parent, "count": count, "scenarios": scenarios,
+        "unit": unit, "currency": currency, "year": year, "geography": geography, "inputs": inputs, "warnings": warnings,
+        "assumptions": assumptions, "formula": formula,
+    }
+    kinds = {"parent": "double", "count": "double", "scenarios": _SCENARIOS, "formula": "string"}
+    parts = [(F.expr(f"cast(null as {kinds[k]})") if v is None else v).alias(k) for k, v in raw.items()]
+    return computed_once(df.withColumn("_x", F.struct(*parts)), {name: F.expr(_RESULT_SQL)}).drop("_x")
 
 
 def _chain(start: Column, percents: Column) -> Column:
@@ -130,7 +127,8 @@ def top_down(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
     ).contains("parent market")
     unsegmented = F.coalesce(parent_market, F.lit(False)) & (F.size(F.coalesce("segment_percentages", op.no_operands())) == 0)
     inputs = F.concat(op.present(macro), F.coalesce("segment_percentages", op.no_operands()))
-    df = computed_once(df, {"td_tam": _result(
+    df = _add_result(
+        df, "td_tam",
         status, F.col("_t.point"), F.col("_t.low"), F.col("_t.high"),
         unit=macro["unit"], currency=macro["currency"], year=macro["year"], geography=macro["geography"],
         inputs=inputs, assumptions=_assumed_names(F.concat(op.present(macro), F.col("_segs"))),
@@ -141,7 +139,7 @@ def top_down(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
             F.array(F.coalesce(macro["name"], F.lit("macro_market_size"))),
             F.transform(F.col("_segs"), lambda o: F.concat(F.lit("("), o["name"], F.lit(" / 100)"))),
         ), " × "),
-    )})
+    )
 
     tam, narrow = F.col("td_tam"), F.col("_narrow")
     df = df.withColumn("_t", _chain(_interval(tam["estimate"], tam["low"], tam["high"]), narrow))
@@ -151,12 +149,13 @@ def top_down(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
         .when(F.size(narrow) == 0, "insufficient_evidence")
         .otherwise("calculated")
     )
-    df = computed_once(df, {"td_sam": _result(
+    df = _add_result(
+        df, "td_sam",
         status, _clamp(F.col("_t.point"), tam["estimate"]), F.col("_t.low"), F.col("_t.high"), parent=tam["estimate"],
         unit=tam["unit"], currency=tam["currency"], year=tam["year"], geography=tam["geography"], inputs=narrow,
         assumptions=F.concat(tam["assumptions_used"], _assumed_names(narrow)),
         warnings=F.concat(tam["warnings"], _texts(_clamp_note("SAM", "TAM", F.col("_t.point"), tam["estimate"]))),
-    )})
+    )
 
     sam = F.col("td_sam")
     df = df.withColumn("_t", _interval(
@@ -170,13 +169,14 @@ def top_down(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
         .otherwise("calculated")
     )
     point = _clamp(F.col("_t.point"), sam["estimate"])
-    df = computed_once(df, {"td_som": _result(
+    df = _add_result(
+        df, "td_som",
         status, point, F.col("_t.low"), F.col("_t.high"), parent=sam["estimate"],
         unit=sam["unit"], currency=sam["currency"], year=sam["year"], geography=sam["geography"],
         inputs=op.present(share), assumptions=F.concat(sam["assumptions_used"], _assumed_names(op.present(share))),
         warnings=F.concat(sam["warnings"], _texts(_clamp_note("SOM", "SAM", F.col("_t.point"), sam["estimate"]))),
         scenarios=_scenarios(point, F.col("_t.low"), F.col("_t.high"), _ranged(share), scenario_factors),
-    )})
+    )
     return df.drop("_segs", "_narrow", "_t")
 
 
@@ -254,12 +254,13 @@ def bottom_up(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
         .when(F.col("_freq") == 4, "customers × (quarterly price × 4)")
         .otherwise("customers × annual revenue per customer")
     )
-    df = computed_once(df.withColumn("_w", warnings), {"bu_tam": _result(
+    df = _add_result(
+        df.withColumn("_w", warnings), "bu_tam",
         status, cust["value"] * rev["point"], op.low_of(cust) * rev["low"], op.high_of(cust) * rev["high"],
         unit=unit, currency=currency, year=F.coalesce(cust["year"], price["year"]), geography=cust["geography"],
         inputs=op.present(cust, price, base, seg, F.col("providers"), F.col("seats"), F.col("volume")),
         assumptions=_assumed_names(op.present(cust, price)), warnings=F.col("_w"), count=cust["value"], formula=formula,
-    )})
+    )
 
     tam, srv, pct = F.col("bu_tam"), F.col("serviceable"), F.col("target_customer_pct")
     direct = srv["value"].isNotNull()
@@ -279,13 +280,14 @@ def bottom_up(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
     raw = n["point"] * rev["point"]
     inputs = F.when(direct, op.present(price, srv)).otherwise(op.present(price, given, pct))
     used = F.when(direct, op.present(srv)).otherwise(op.present(pct))
-    df = computed_once(df, {"bu_sam": _result(
+    df = _add_result(
+        df, "bu_sam",
         status, _clamp(raw, tam["estimate"]), n["low"] * rev["low"], n["high"] * rev["high"], parent=tam["estimate"],
         unit=tam["unit"], currency=tam["currency"], year=tam["year"], geography=tam["geography"], inputs=inputs,
         assumptions=F.concat(tam["assumptions_used"], _assumed_names(used)), count=n["point"],
         warnings=F.concat(tam["warnings"], _texts(_clamp_note("SAM", "TAM", raw, tam["estimate"]))),
         formula=F.lit("serviceable customers × annual revenue per customer"),
-    )})
+    )
 
     sam, obt, share = F.col("bu_sam"), F.col("obtainable"), F.col("bu_share")
     counted = obt["value"].isNotNull()
@@ -304,7 +306,8 @@ def bottom_up(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
     )
     point = _clamp(n["point"], sam["estimate"])
     one = F.when(counted, op.present(obt)).otherwise(op.present(share))
-    df = computed_once(df, {"bu_som": _result(
+    df = _add_result(
+        df, "bu_som",
         status, point, n["low"], n["high"], parent=sam["estimate"],
         unit=sam["unit"], currency=F.coalesce(sam["currency"], price["currency"]), year=sam["year"], geography=sam["geography"],
         inputs=F.concat(op.present(price), one), assumptions=F.concat(sam["assumptions_used"], _assumed_names(one)),
@@ -315,7 +318,7 @@ def bottom_up(requests: DataFrame, scenario_factors=(0.5, 1.5)) -> DataFrame:
         ),
         formula=F.when(counted, "obtainable customers × annual revenue per customer")
         .otherwise("SAM × (obtainable share / 100)"),
-    )})
+    )
     return df.drop("_basis", "_cust", "_use", "_freq", "_n", "_w")
 
 

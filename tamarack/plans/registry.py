@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,26 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _without_call_sites(fn: Query) -> Query:
+    """Build the plan without capturing the Python call site of every column function.
+
+    The capture only serves error messages, and costs more than everything else when a large plan is built.
+    """
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        try:
+            spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
+        except Exception:  # a fixed setting of this session: building is slower, nothing else changes
+            pass
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def query(name: str, oracle: str | None = None):
     """Register a query under a name, with its oracle when there is one."""
     def add(fn: Query) -> Query:
-        QUERIES[name] = fn
+        QUERIES[name] = _without_call_sites(fn)
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
