@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamarack import terms
-from tamarack.functions.text import has_any, low
+from tamarack.functions.text import has_any, is_one_of, low
 
 
 def metric_type(metric: Column, unit: Column, context: Column, value: Column, mult: Column) -> Column:
@@ -77,7 +77,7 @@ def noise_category(metric: Column, unit: Column, context: Column, value: Column)
         & (has_any(c, terms.RETAIL_TERMS) | has_any(m, terms.RETAIL_TERMS))
     )
     not_market = (
-        has_any(m, terms.NON_MARKET_METRICS) | u.isin(*terms.CLAIM_NOISE_TERMS) | m.isin(*terms.CLAIM_NOISE_TERMS)
+        has_any(m, terms.NON_MARKET_METRICS) | is_one_of(u, terms.CLAIM_NOISE_TERMS) | is_one_of(m, terms.CLAIM_NOISE_TERMS)
     )
     return (
         F.when(phone | contact, "NOISE_CONTACT_INFO")

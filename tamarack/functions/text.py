@@ -22,6 +22,11 @@ def has_any_word(col: Column, words) -> Column:
     return F.coalesce(col, F.lit("")).rlike(r"\b" + terms.alternation(words) + r"\b")
 
 
+def is_one_of(col: Column, words) -> Column:
+    """True when the whole text is one of many words: one literal pattern instead of a literal per word."""
+    return F.coalesce(col, F.lit("")).rlike("^" + terms.alternation(words) + "$")
+
+
 def low(col: Column) -> Column:
     """Lower case without outer blanks; null becomes the empty string."""
     return F.lower(F.trim(F.coalesce(col, F.lit(""))))

@@ -48,8 +48,8 @@ def structural_errors(claims: DataFrame) -> Column:
     norm = tx.normalize_unit(F.col("unit"))
     has_number = F.coalesce(value, lo, hi).isNotNull()
     no_unit = unit == ""
-    noise = norm.isin(*terms.CLAIM_NOISE_TERMS) | unit.isin(*terms.CLAIM_NOISE_TERMS) | tx.has_any(metric, terms.NOISE_METRIC_TERMS)
-    unknown = ~norm.isin(*terms.RECOGNIZED_UNITS) & ~unit.isin(*terms.RECOGNIZED_UNITS)
+    noise = tx.is_one_of(norm, terms.CLAIM_NOISE_TERMS) | tx.is_one_of(unit, terms.CLAIM_NOISE_TERMS) | tx.has_any(metric, terms.NOISE_METRIC_TERMS)
+    unknown = ~tx.is_one_of(norm, terms.RECOGNIZED_UNITS) & ~tx.is_one_of(unit, terms.RECOGNIZED_UNITS)
     finite = ~(F.isnan(value) | (F.abs(value) == float("inf")))
     url = F.trim(F.coalesce("source_url", F.lit("")))
     return F.array_compact(F.array(
