@@ -146,10 +146,7 @@ def find_all(text: Column, pattern: str, groups: int) -> Column:
             F.when(is_match, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"),
         )
 
-    found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(
-        F.array().cast("array<struct<s:int,e:int,g:array<string>>>")
-    )
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
 
 def group(match: Column, i: int) -> Column:
@@ -224,51 +221,48 @@ def year_of_match(text: Column, start: Column, end: Column) -> Column:
 # -- entities and noun phrases ------------------------------------------------------------------
 
 
-_NOISE_WORD = "^" + terms.alternation(terms.NOISE_WORDS) + "$"
-_ENTITY_WORD = "^" + terms.alternation(terms.ENTITY_TERMS) + "$"
+def _in(word: str, words) -> str:
+    """SQL membership test; long lists become a hash set."""
+    return f"{word} in (" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")"
 
 
-def is_noise(word: Column) -> Column:
-    return F.lower(word).rlike(_NOISE_WORD)
+_SINGULAR = "substring(lower(w), 1, length(w) - 1)"
+# A recognised market entity: noise wins, then the word or its form without a final s.
+_ENTITY_SQL = (
+    f"(not {_in('lower(w)', terms.NOISE_WORDS)} and ({_in('lower(w)', terms.ENTITY_TERMS)} or "
+    f"(lower(w) like '%s' and length(w) > 3 and {_in(_SINGULAR, terms.ENTITY_TERMS)})))"
+)
 
 
-def is_entity(word: Column) -> Column:
-    """A recognised market entity: noise wins, then the word or its form without a final ``s``."""
-    w = F.lower(F.trim(word))
-    return ~w.rlike(_NOISE_WORD) & (w.rlike(_ENTITY_WORD) | w.rlike(_ENTITY_WORD.replace("$", "s$")))
+def without_words(words: Column, dropped) -> Column:
+    """The words that are neither noise nor in ``dropped``."""
+    return F.call_function("filter", words, F.expr(f"w -> not {_in('lower(w)', (*terms.NOISE_WORDS, *dropped))}"))
 
 
 def noun_phrase(words: Column, verbs, noise_ends: bool) -> Column:
-    """Leading noun phrase of ``words``.
+    """Leading noun phrase of ``words`` as ``struct(np: array, entity: boolean)``.
 
     Stop words end it and so does a listed verb after the first noun. Noise words are skipped, or with
-    ``noise_ends`` clear it; then an entity in second or later place also completes it.
+    ``noise_ends`` clear it; then an entity in second or later place also completes it. ``entity`` tells
+    whether the last word is a recognised entity. No word of the phrase is noise.
     """
-    start = F.struct(F.array().cast("array<string>").alias("np"), F.lit(False).alias("done"))
-
-    tagged = F.transform(
-        words,
-        lambda w: F.struct(
-            w.alias("w"),
-            F.lower(w).isin(*terms.STOP_WORDS).alias("stop"),
-            F.lower(w).isin(*verbs).alias("verb"),
-            is_noise(w).alias("noise"),
-            is_entity(w).alias("entity"),
-        ),
+    tags = (
+        f"w -> named_struct('w', w, 'stop', {_in('lower(w)', terms.STOP_WORDS)}, 'verb', {_in('lower(w)', verbs)}, "
+        f"'noise', {_in('lower(w)', terms.NOISE_WORDS)}, 'entity', {_ENTITY_SQL})"
     )
-
-    def step(acc, t):
-        ends = acc["done"] | t["stop"] | (t["verb"] & (F.size(acc["np"]) > 0))
-        grown = F.concat(acc["np"], F.array(t["w"]))
-        if noise_ends:
-            np = F.when(ends, acc["np"]).when(t["noise"], F.array().cast("array<string>")).otherwise(grown)
-            done = ends | t["noise"] | (t["entity"] & (F.size(acc["np"]) >= 1))
-        else:
-            np = F.when(ends | t["noise"], acc["np"]).otherwise(grown)
-            done = ends
-        return F.struct(np.alias("np"), done.alias("done"))
-
-    return F.aggregate(tagged, start, step, lambda acc: acc["np"])
+    tagged = F.call_function("transform", words, F.expr(tags))
+    start = F.expr("named_struct('np', cast(array() as array<string>), 'entity', false, 'done', false)")
+    grow = "named_struct('np', concat(acc.np, array(t.w)), 'entity', t.entity, 'done', {done})"
+    keep = "named_struct('np', acc.np, 'entity', acc.entity, 'done', {done})"
+    ends = "acc.done or t.stop or (t.verb and size(acc.np) > 0)"
+    if noise_ends:
+        clear = "named_struct('np', cast(array() as array<string>), 'entity', false, 'done', true)"
+        step = f"""(acc, t) -> case when {ends} then {keep.format(done='true')} when t.noise then {clear}
+                   else {grow.format(done='t.entity and size(acc.np) >= 1')} end"""
+    else:
+        step = f"""(acc, t) -> case when {ends} then {keep.format(done='true')} when t.noise then {keep.format(done='false')}
+                   else {grow.format(done='false')} end"""
+    return F.call_function("aggregate", tagged, start, F.expr(step))
 
 
 def split_words(text: Column) -> Column:

@@ -130,9 +130,9 @@ def _range_candidates(s: Column, lowered: Column) -> Column:
         parsed,
         lo=lambda x: F.least(x["a"], x["b"]),
         hi=lambda x: F.greatest(x["a"], x["b"]),
-        noun=lambda x: F.when(F.size(x["words"]) > 0, F.array_join(x["words"], " ")),
+        noun=lambda x: F.when(F.size(x["words"]["np"]) > 0, F.array_join(x["words"]["np"], " ")),
         unit=lambda x: F.coalesce(
-            _money_code(x["raw"]), F.when(x["raw"].contains("%"), "%"), _last(x["words"]), F.lit("units")
+            _money_code(x["raw"]), F.when(x["raw"].contains("%"), "%"), _last(x["words"]["np"]), F.lit("units")
         ),
     )
     per_unit_text = tx.has_any(lowered, terms.UNIT_SPEND_TERMS) | s.rlike(terms.PER_UNIT_PATTERN)
@@ -155,14 +155,23 @@ def _range_candidates(s: Column, lowered: Column) -> Column:
             type_value=F.when(is_money, hi),
             fixed_type=F.when(unit == "%", F.when(growing, "growth_rate").otherwise("market_share")),
             default_type=F.when(is_money, F.when(as_price, "average_price").otherwise("market_size")),
-            ok=~m["years"] & m["a"].isNotNull() & m["b"].isNotNull() & ~tx.is_noise(unit)
-            & (is_money | (unit == "%") | tx.is_entity(unit)),
+            ok=~m["years"] & m["a"].isNotNull() & m["b"].isNotNull()
+            & (is_money | (unit == "%") | m["words"]["entity"] | (F.size(m["words"]["np"]) == 0)),
         )
 
-    return F.when(s.rlike(RANGE_PATTERN), F.transform(named, build)).otherwise(_no_candidates())
+    likely = s.rlike(r"(?is)[0-9].*(?:–|-|to|and).*[0-9]")
+    return F.when(likely & s.rlike(RANGE_PATTERN), F.transform(named, build)).otherwise(_no_candidates())
 
 
-def _approx_candidates(sentence: Column) -> Column:
+def _mentions(lowered: Column, words) -> Column:
+    """Plain substring tests: far cheaper than a claim pattern, and usually false."""
+    out = F.lit(False)
+    for w in words:
+        out = out | lowered.contains(w)
+    return out
+
+
+def _approx_candidates(sentence: Column, lowered: Column) -> Column:
     """Qualified numbers ("more than 10 million users") with bounds that follow from the qualifier."""
     parsed = _bind(
         tx.find_all(sentence, APPROX_PATTERN, 4),
@@ -175,7 +184,7 @@ def _approx_candidates(sentence: Column) -> Column:
     )
 
     def build(x):
-        m, qualifier, words, base = x["m"], x["qualifier"], x["words"], x["base"]
+        m, qualifier, words, base = x["m"], x["qualifier"], x["words"]["np"], x["base"]
         noun = F.array_join(words, " ")
         loose = qualifier.isin("approximately", "around", "nearly", "about", "estimated")
         exact = F.concat_ws(" ", qualifier, x["number"], x["mult"], noun)
@@ -185,11 +194,10 @@ def _approx_candidates(sentence: Column) -> Column:
             me=m["e"] + F.length(m["g"][4]), metric=noun, raw=exact, unit=F.coalesce(money, _last(words)),
             range_min=base * F.when(qualifier.isin("more than", "at least"), 1.0).when(loose, 0.9).otherwise(0.95),
             range_max=base * F.when(qualifier == "up to", 1.0).when(loose, 1.1).otherwise(1.05),
-            ok=(F.size(words) > 0) & base.isNotNull() & ~F.exists(words, tx.is_noise)
-            & (tx.is_entity(_last(words)) | money.isNotNull()),
+            ok=(F.size(words) > 0) & base.isNotNull() & (x["words"]["entity"] | money.isNotNull()),
         )
 
-    return F.transform(parsed, build)
+    return F.when(_mentions(lowered, terms.QUALIFIERS), F.transform(parsed, build)).otherwise(_no_candidates())
 
 
 def _money_candidates(sentence: Column, lowered: Column) -> Column:
@@ -215,7 +223,8 @@ def _money_candidates(sentence: Column, lowered: Column) -> Column:
             ok=value.isNotNull(),
         )
 
-    return F.transform(parsed, build)
+    marks = ("$", "₹", "€", "£", "usd", "inr", "eur", "gbp", "dollar", "rupee", "pound")
+    return F.when(_mentions(lowered, marks), F.transform(parsed, build)).otherwise(_no_candidates())
 
 
 _HEAD_COUNT_TYPES = ("population", "customer_count", "users", "student_count", "households")
@@ -229,13 +238,12 @@ def _count_candidates(sentence: Column, lowered: Column) -> Column:
         number=lambda m: tx.group(m, 1),
         mult=lambda m: tx.group(m, 2),
         value=lambda m: tx.parse_number(tx.group(m, 1), tx.group(m, 2)),
-        first=lambda m: tx.split_words(m["g"][3])[0],
         words=lambda m: tx.noun_phrase(tx.split_words(m["g"][3]), terms.TRAILING_VERBS, noise_ends=True),
     )
     named = _bind(
         parsed,
-        noun=lambda x: F.array_join(x["words"], " "),
-        unit=lambda x: F.lower(_last(x["words"])),
+        noun=lambda x: F.array_join(x["words"]["np"], " "),
+        unit=lambda x: F.lower(_last(x["words"]["np"])),
     )
 
     def build(x):
@@ -250,8 +258,7 @@ def _count_candidates(sentence: Column, lowered: Column) -> Column:
         return _candidate(
             family=3, s=m["s"], e=m["s"] + F.length(number), rs=m["s"], re=m["s"] + F.length(raw), ms=m["s"], me=m["e"],
             metric=x["noun"], value=value, raw=raw, unit=x["unit"],
-            ok=~p["before"].isin("$", "₹", "€", "£") & ~bare_year & value.isNotNull() & ~tx.is_noise(p["first"])
-            & (F.size(p["words"]) > 0) & ~F.exists(p["words"], tx.is_noise) & tx.is_entity(x["unit"]) & ~tiny,
+            ok=~p["before"].isin("$", "₹", "€", "£") & ~bare_year & value.isNotNull() & p["words"]["entity"] & ~tiny,
         )
 
     return F.transform(named, build)
@@ -262,9 +269,7 @@ def _percent_candidates(sentence: Column, lowered: Column) -> Column:
     parsed = _bind(
         tx.find_all(sentence, PERCENT_PATTERN, 3),
         value=lambda m: m["g"][1].try_cast("double"),
-        words=lambda m: F.filter(
-            tx.split_words(m["g"][3]), lambda w: ~tx.is_noise(w) & ~F.lower(w).isin(*terms.PERCENT_DROP_WORDS)
-        ),
+        words=lambda m: tx.without_words(tx.split_words(m["g"][3]), terms.PERCENT_DROP_WORDS),
     )
 
     def build(x):
@@ -278,7 +283,7 @@ def _percent_candidates(sentence: Column, lowered: Column) -> Column:
             fixed_type=F.when(growing, "growth_rate").otherwise("market_share"), ok=value.isNotNull(),
         )
 
-    return F.transform(parsed, build)
+    return F.when(_mentions(lowered, ("%", "percent")), F.transform(parsed, build)).otherwise(_no_candidates())
 
 
 def _keep_disjoint(candidates: Column) -> Column:
@@ -340,16 +345,18 @@ def claims_from_sentences(rows: DataFrame, sentence: str = "sentence", families=
     s, lowered = F.col("_s"), F.col("_l")
     makers = {
         "range": lambda: _range_candidates(s, lowered),
-        "approximate": lambda: _approx_candidates(s),
+        "approximate": lambda: _approx_candidates(s, lowered),
         "money": lambda: _money_candidates(s, lowered),
         "count": lambda: _count_candidates(s, lowered),
         "percent": lambda: _percent_candidates(s, lowered),
     }
     found = F.concat(_no_candidates(), *[makers[f]() for f in FAMILIES if f in families])
     kept = cleaned.select(*rest, "_s", "_l", F.explode(_keep_disjoint(found)).alias("c"))
-    typed = computed_once(kept, {
+    placed = computed_once(kept, {
         "geography": tx.place_of_match(s, F.col("c.ms"), F.col("c.me")),
         "year": tx.year_of_match(s, F.col("c.ms"), F.col("c.me")),
+    })
+    typed = computed_once(placed, {
         "metric_type": F.coalesce(
             F.col("c.fixed_type"),
             metric_type_of_lowered(
