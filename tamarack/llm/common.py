@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -81,23 +82,36 @@ class UnitCache(dict):
     ``longest`` is never held, so that its memory is bounded whatever the texts are.
     """
 
-    def __init__(self, encode: Callable[[list], list], limit: int = 400_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list], list], limit: int = 600_000, longest: int = 64):
         super().__init__()
         self.encode, self.limit, self.longest = encode, limit, longest
 
     def values_of(self, units: list) -> list:
         missing = [u for u in dict.fromkeys(units) if u not in self]
-        if not missing:
-            return list(map(self.__getitem__, units))
-        if len(self) + len(missing) > self.limit:
+        if missing and len(self) + len(missing) > self.limit:
             self.clear()
             missing = list(dict.fromkeys(units))
-        found = dict(zip(missing, self.encode(missing), strict=True))
-        if len(found) == len(set(units)):
-            values = list(map(found.__getitem__, units))
-        else:
-            values = [found[u] if u in found else self[u] for u in units]
-        self.update((u, v) for u, v in found.items() if len(u) <= self.longest)
-        if len(self) > self.limit:
-            self.clear()
-        return values
+        rest = {}
+        if missing:
+            for u, v in zip(missing, self.encode(missing), strict=True):
+                (self if len(u) <= self.longest else rest)[u] = v
+        if rest:
+            return [rest[u] if u in rest else self[u] for u in units]
+        return list(map(self.__getitem__, units))
+
+
+# A cut before a blank between two characters that are no white space: no pre-token of a byte-level pattern (whose
+# words take at most one blank before them) spans it, and no lookahead reaches over it.
+SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
+
+
+def segments(text: str, limit: int) -> Iterator[str]:
+    """A text in pieces of about ``limit`` characters, parted at safe cuts only; joined they give the text."""
+    at = 0
+    while len(text) - at > limit:
+        cut = SAFE_CUT.search(text, at + limit)
+        if cut is None:
+            break
+        yield text[at:cut.start()]
+        at = cut.start()
+    yield text[at:]
