@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import byte_bpe, line_dedup, packing, quality, sharding, sql, token_counts
+from tamarack.llm import byte_bpe, line_dedup, minhash, packing, quality, secrets, sharding, sql, token_counts
 from tamarack.llm.common import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,19 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return packing.pack(materialise(packing.with_crc(pieces), "pieces"))
+
+
+@query("op10_minhash", sql.NEAR_DUPLICATES)
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHash(shingle_words=4))
+
+
+@query("op1_secret_scans")
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    base = secrets.of_kind(F.col("secrets"), "assign", "access", "hex")
+    counts = [F.size(secrets.of_kind(F.col("secrets"), k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return scanned.select(
+        "doc_id", *counts, F.sha2(secrets.spans_text(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("secrets")).alias("spans"),
+        F.size(secrets.of_kind(F.col("secrets"), "novel")).cast("long").alias("n_novel"))
