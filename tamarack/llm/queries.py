@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import byte_bpe, line_dedup, minhash, packing, quality, secrets, sharding, sql, token_counts
+from tamarack.llm import ann, byte_bpe, line_dedup, minhash, packing, quality, secrets, sharding, sql, token_counts
 from tamarack.llm.common import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *counts, F.sha2(secrets.spans_text(base).cast("binary"), 256).alias("base_sha256"),
         secrets.spans_text(F.col("secrets")).alias("spans"),
         F.size(secrets.of_kind(F.col("secrets"), "novel")).cast("long").alias("n_novel"))
+
+
+@query("op5_nearest")
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
