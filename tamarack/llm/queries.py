@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import ann, byte_bpe, line_dedup, minhash, packing, quality, secrets, sharding, sql, token_counts
+from tamarack.llm import ann, byte_bpe, line_dedup, minhash, packing, quality, secrets, sharding, sql, token_counts, warc
 from tamarack.llm.common import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,14 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_nearest")
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op7_warc")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write_archive(pages)
+    records = warc.read_records(archive, warc.lookup(spark, archive, warc.keys_of(pages)))
+    digest = F.coalesce(F.sha1("payload"), F.col("payload_digest"))
+    return records.select(
+        "page_id", F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes")).alias("payload_bytes"),
+        digest.alias("payload_digest"), "record_type", "refers_to")
