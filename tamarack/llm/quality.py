@@ -154,17 +154,24 @@ def risk_controlled_cutoffs(labelled: DataFrame, control: RiskControl) -> DataFr
     return chosen.groupBy("_stratum").agg(F.map_from_entries(F.collect_list(F.struct("_rule", "_cutoff"))).alias("_cutoffs"))
 
 
-def judge_quality(statistics: DataFrame, labels: DataFrame, control: RiskControl | None = None) -> DataFrame:
-    """``statistics`` (doc_id, lang and the columns of :func:`text_statistics`) with base_failed, rejected_by and kept.
+def learn_cutoffs(statistics: DataFrame, labels: DataFrame, control: RiskControl | None = None) -> DataFrame:
+    """:func:`risk_controlled_cutoffs` of the documents of ``statistics`` that ``labels`` (doc_id, quality: 1 is good) covers.
 
-    ``labels`` has doc_id and quality (1: good). Several labels of a document count as good if one is; labels
-    without a document, null labels and null ids play no part. A document that exceeds a cutoff of its stratum is
-    rejected; null or unknown languages form the stratum ``other``. Without labels only the base rule judges.
+    Several labels of a document count as good if one is; labels without a document, null labels and null ids play
+    no part. Without good labels there is no cutoff.
     """
-    control = control or RiskControl()
     good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
         (F.max("quality") == 1).alias("good"))
-    cutoffs = risk_controlled_cutoffs(statistics.join(good, "doc_id"), control)
+    return risk_controlled_cutoffs(statistics.join(good, "doc_id"), control or RiskControl())
+
+
+def judge(statistics: DataFrame, cutoffs: DataFrame, control: RiskControl | None = None) -> DataFrame:
+    """``statistics`` (lang and the columns of :func:`text_statistics`) with base_failed, rejected_by and kept.
+
+    A document that exceeds a cutoff of its stratum is rejected; null or unknown languages form the stratum ``other``.
+    ``cutoffs`` has a row per stratum at most, so it is broadcast.
+    """
+    control = control or RiskControl()
     judged = statistics.withColumn("_s", stratum(control)).join(F.broadcast(cutoffs), F.col("_s") == F.col("_stratum"), "left")
     broken = [F.when(v > F.try_element_at("_cutoffs", F.lit(r)), F.lit(r)) for r, v in features().items() if r in control.grids]
     return (

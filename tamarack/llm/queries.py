@@ -45,7 +45,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     statistics = materialise(quality.text_statistics(docs).drop("text"), "quality")
-    return quality.judge_quality(statistics, table(spark, sf_dir, "labels")).select(
+    cutoffs = quality.learn_cutoffs(statistics, table(spark, sf_dir, "labels"))
+    return quality.judge(statistics, cutoffs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
