@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.functions.once import computed_once
 from tamarack.llm.common import ascii_strip
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -83,7 +84,9 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         " x -> x.i))").alias("_places"))
     covered = F.expr("aggregate(transform(_places, (p, i) -> CASE WHEN i = 0 THEN 3 ELSE least(3, p - _places[i - 1]) END),"
                      " 0, (s, x) -> s + x)")
-    return p5.select(*keep, *counts, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    whole = p5.select(*keep, *counts, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # a later filter on the counts must not pull the array work into itself
+    return computed_once(whole, {c: F.col(c) for c in [*counts, "n_repeat_words"]})
 
 
 def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
