@@ -218,7 +218,7 @@ def research_queries(requests: DataFrame, wording: str = "general") -> DataFrame
     """Three query rows per request: population, market size, price. ``wording`` is ``general`` or ``saas``."""
     geo = F.coalesce("target_country", "preferred_geography")
     year = F.coalesce("preferred_year", F.lit(2025))
-    most = F.coalesce("max_sources", F.lit(5))
+    most = F.nullif(F.coalesce("max_sources", F.lit(5)), F.lit(0))  # 0: no limit
     none = F.lit(None).cast("string")
     if wording == "saas":
         place = F.coalesce(geo, F.lit("India"))
@@ -276,7 +276,7 @@ def unified_query(requests: DataFrame, wording: str = "general") -> DataFrame:
         year = F.coalesce("preferred_year", F.lit(2026))
     return requests.select(
         "request_id", F.lit(1).alias("query_no"), metric.alias("metric_required"), place.alias("geography"), year.alias("year"),
-        topic.alias("industry_topic"), population.alias("target_population"), F.coalesce("max_sources", F.lit(5)).alias("max_results"),
+        topic.alias("industry_topic"), population.alias("target_population"), F.nullif(F.coalesce("max_sources", F.lit(5)), F.lit(0)).alias("max_results"),
     )
 
 

@@ -53,7 +53,7 @@ def _score_sql(cat: cls.Category) -> str:
 
 _SCORES_SQL = f"""{_IDEAS_SQL}, low AS (SELECT p_partkey, lower(idea) AS t FROM ideas),
 scores AS (""" + " UNION ALL ".join(
-    f"SELECT p_partkey, '{c.category_id}' AS category_id, {i} AS o, CAST({_score_sql(c)} AS DOUBLE) AS score FROM low" for i, c in enumerate(cls.STARTER_TAXONOMY)
+    f"SELECT p_partkey, '{c.category_id}' AS category_id, {i} AS o, CAST({_score_sql(c)} AS DOUBLE) AS score FROM low" for i, c in enumerate(cls.TAXONOMY)
 ) + ")"
 
 
@@ -70,6 +70,43 @@ def classify_ideas(spark, sf):
     return cls.classify(ideas(spark, sf)).select("p_partkey", "classification_status", "category_id")
 
 
+# One idea per category and part of its terms, so that every category wins somewhere.
+_TERMS = [(c.category_id, " ".join((c.subcategories[i % len(c.subcategories)], *c.keywords[2 * i:2 * i + 2])))
+          for c in cls.TAXONOMY for i in range(3)]
+_TERM_LIST = ",".join(f"'{_quoted(t.lower())}'" for _, t in _TERMS)
+_TERM_SCORES = f"""low AS (SELECT p_partkey, 'we sell ' || ([{_TERM_LIST}])[CAST(p_partkey % {len(_TERMS)} + 1 AS INTEGER)] || ' to many firms' AS t FROM part),
+scores AS (""" + " UNION ALL ".join(
+    f"SELECT p_partkey, '{c.category_id}' AS category_id, {i} AS o, CAST({_score_sql(c)} AS DOUBLE) AS score FROM low" for i, c in enumerate(cls.TAXONOMY)
+) + ")"
+_BUYERS = ", ".join(f"('{c.category_id}', '{_quoted(c.name)}', '{_quoted(c.buyer)}', '{_quoted('; '.join(c.use_cases))}')" for c in cls.TAXONOMY)
+
+
+@query("classify_categories", f"""
+WITH {_TERM_SCORES}, best AS (SELECT p_partkey, arg_max(category_id, (score, -o)) AS category_id, max(score) AS score FROM scores GROUP BY 1),
+c(category_id, category, primary_buyer, use_cases) AS (VALUES {_BUYERS})
+SELECT p_partkey, best.category_id, category, score AS category_score, primary_buyer, use_cases FROM best JOIN c USING (category_id)""")
+def classify_categories(spark, sf):
+    k = F.col("p_partkey")
+    words = corpus.pick([t.lower() for _, t in _TERMS], k % len(_TERMS))
+    df = corpus.table(spark, sf, "part").select("p_partkey", F.concat(F.lit("We sell "), words, F.lit(" to many firms")).alias("idea"))
+    return cls.classify(df).select("p_partkey", "category_id", "category", "category_score", "primary_buyer", F.array_join("use_cases", "; ").alias("use_cases"))
+
+
+# Ids, names and synonyms of all categories; the first category of a synonym counts.
+_NAMES = list({n.lower(): c.category_id for c in reversed(cls.TAXONOMY) for n in (*c.synonyms, c.name, c.category_id)}.items())
+
+
+@query("category_names", f"""
+WITH n AS (SELECT p_partkey, ([{",".join(f"'{_quoted(n)}'" for n, _ in _NAMES)}])[CAST(p_partkey % {len(_NAMES)} + 1 AS INTEGER)] AS name FROM part),
+m(name, category_id) AS (VALUES {", ".join(f"('{_quoted(n)}', '{c}')" for n, c in _NAMES)})
+SELECT p_partkey, category_id FROM n JOIN m USING (name)""")
+def category_names(spark, sf):
+    k = F.col("p_partkey")
+    name = corpus.pick([n for n, _ in _NAMES], k % len(_NAMES))
+    df = corpus.table(spark, sf, "part").select("p_partkey", F.concat(F.lit("  "), F.when(k % 2 == 0, F.upper(name)).otherwise(name)).alias("name"))
+    return df.select("p_partkey", cls.normalize_category(F.col("name")).alias("category_id"))
+
+
 @query("scope_check", f"""
 WITH {_IDEAS_SQL} SELECT p_partkey, p_partkey % 10 = 7 AS ambiguous, p_partkey % 10 = 4 AS consumer FROM ideas""")
 def scope_check(spark, sf):
@@ -219,7 +256,7 @@ def analysis_inputs(spark, sf):
     )
     requests = sources.select("request_id").distinct().select(
         "request_id", F.lit("Online marketplace for enterprise market reports").alias("business_idea"), F.col("request_id").alias("target_country"),
-        F.lit(1998).alias("preferred_year"), F.lit("enterprise").alias("customer_type"), F.lit(100000).alias("max_sources"),
+        F.lit(1998).alias("preferred_year"), F.lit("enterprise").alias("customer_type"), F.lit(0).alias("max_sources"),
         F.lit(None).cast("double").alias("annual_price"),
     )
     return requests, sources, documents
