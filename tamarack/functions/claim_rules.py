@@ -14,11 +14,33 @@ def metric_type(metric: Column, unit: Column, context: Column, value: Column, mu
     return metric_type_of_lowered(low(metric), low(unit), low(context), value, F.lower(mult))
 
 
+# What a sentence or context is searched for when a claim in it is typed.
+CONTEXT_TERMS = {
+    "usage": terms.USAGE_TYPE_TERMS,
+    "funding": terms.FUNDING_TERMS,
+    "company_revenue": terms.COMPANY_REVENUE_TERMS,
+    "plan": ("subscription", "monthly", "annual plan", "plan", "/mo", "/month"),
+    "unit_pricing": terms.UNIT_PRICING_TERMS,
+    "cagr": ("cagr",),
+    "growth": ("growth", "yoy", "increase"),
+}
+
+
+def context_flags(c: Column) -> dict[str, Column]:
+    """Which of :data:`CONTEXT_TERMS` occur in a lower-case text: one look per text, however many claims it holds."""
+    return {name: has_any(c, words) for name, words in CONTEXT_TERMS.items()}
+
+
 def metric_type_of_lowered(m: Column, u: Column, c: Column, value: Column, mult: Column) -> Column:
     """:func:`metric_type` of texts that are lower case and trimmed already."""
+    return metric_type_in_context(m, u, context_flags(c), value, mult)
+
+
+def metric_type_in_context(m: Column, u: Column, seen: dict[str, Column], value: Column, mult: Column) -> Column:
+    """:func:`metric_type_of_lowered` with the :func:`context_flags` of the text."""
 
-    def either(words) -> Column:
-        return has_any(c, words) | has_any(m, words)
+    def either(name) -> Column:
+        return seen[name] | has_any(m, CONTEXT_TERMS[name])
 
     def named(words) -> Column:
         return has_any(u, words) | has_any(m, words)
@@ -29,20 +51,20 @@ def metric_type_of_lowered(m: Column, u: Column, c: Column, value: Column, mult:
     )
     is_percent = has_any(u, ("%", "percent", "pct"))
     small_price = F.when(
-        either(("subscription", "monthly", "annual plan", "plan", "/mo", "/month")), "subscription_price"
+        either("plan"), "subscription_price"
     ).otherwise("average_price")
     return (
-        F.when(either(terms.USAGE_TYPE_TERMS) | has_any(u, terms.USAGE_TYPE_TERMS), F.lit(None).cast("string"))
-        .when(either(terms.FUNDING_TERMS) & ~has_any(m, ("market size", "industry size", "total market")), "funding_amount")
+        F.when(either("usage") | has_any(u, terms.USAGE_TYPE_TERMS), F.lit(None).cast("string"))
+        .when(either("funding") & ~has_any(m, ("market size", "industry size", "total market")), "funding_amount")
         .when(
-            either(terms.COMPANY_REVENUE_TERMS)
+            either("company_revenue")
             & ~has_any(m, ("market size", "industry size", "sector size", "total market")),
             "company_revenue",
         )
         .when(is_money & ~is_large, small_price)
-        .when(is_money, F.when(either(terms.UNIT_PRICING_TERMS), "average_price").otherwise("market_size"))
-        .when(is_percent & either(("cagr",)), "cagr")
-        .when(is_percent & either(("growth", "yoy", "increase")), "growth_rate")
+        .when(is_money, F.when(either("unit_pricing"), "average_price").otherwise("market_size"))
+        .when(is_percent & either("cagr"), "cagr")
+        .when(is_percent & either("growth"), "growth_rate")
         .when(is_percent, "market_share")
         .when(named(("student", "undergraduate", "postgraduate", "pupil")), "student_count")
         .when(named(("enrollment", "registration", "enrolled")), "enrollment")

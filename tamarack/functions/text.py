@@ -114,15 +114,21 @@ def parse_number(number: Column, mult: Column) -> Column:
 
 
 def key_number(value: Column) -> Column:
-    """Stable text of a number rounded to 4 decimals, ``None`` for null: part of a claim key."""
-    dec = F.round(value, 4).cast("decimal(28,4)").cast("string")
+    """Stable text of a number rounded to 4 decimals, ``None`` for null: part of a claim key.
+
+    From 1e15 on a double has no decimals to round: there, and for what is not finite, the key is its own text.
+    """
+    dec = F.round(value, 4).try_cast("decimal(28,4)").cast("string")
     short = F.regexp_replace(F.regexp_replace(dec, r"0+$", ""), r"\.$", ".0")
-    return F.coalesce(short, F.lit("None"))
+    return F.coalesce(F.when(F.abs(value) < 1e15, short), value.cast("string"), F.lit("None"))
 
 
 # -- match spans --------------------------------------------------------------------------------
 
 
+_BLOCK = 256
+
+
 def find_all(text: Column, pattern: str, groups: int) -> Column:
     """All matches of ``pattern`` with offsets: ``array<struct<s, e, g: array<string>>>``.
 
@@ -146,7 +152,21 @@ def find_all(text: Column, pattern: str, groups: int) -> Column:
             F.when(is_match, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    # offsets within blocks of bounded size, then of the blocks: a growing array is copied with each match
+    def block(p):
+        return F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _BLOCK).cast("int")),
+            lambda i: F.aggregate(F.slice(p, i * _BLOCK + 1, F.lit(_BLOCK)), start, step))
+
+    placed = F.aggregate(
+        F.transform(F.array(F.struct(pieces.alias("p"))), lambda x: block(x["p"]))[0],
+        F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<at:int,b:array<struct<s:int,e:int,g:array<string>>>>>").alias("out")),
+        lambda acc, b: F.struct(
+            (acc["pos"] + b["pos"]).alias("pos"),
+            F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("at"), b["out"].alias("b")))).alias("out")),
+        lambda acc: acc["out"])
+    return F.flatten(F.transform(placed, lambda b: F.transform(b["b"], lambda m: F.struct(
+        (b["at"] + m["s"]).alias("s"), (b["at"] + m["e"]).alias("e"), m["g"].alias("g")))))
 
 
 def group(match: Column, i: int) -> Column:
@@ -175,8 +195,13 @@ def first_place(text: Column) -> Column:
     return canonical_place(F.regexp_extract(text, _PLACE_PATTERN, 0))
 
 
-def place_of_match(text: Column, start: Column, end: Column) -> Column:
-    """Place of a match: last in the 60 characters before, first in the 60 after, else the sentence."""
+def place_of_text(text: Column) -> Column:
+    """First place of a sentence; a world total that something is a share of comes last."""
+    return F.coalesce(first_place(F.regexp_replace(text, _WORLD_DENOMINATOR, "")), first_place(text))
+
+
+def place_of_match(text: Column, start: Column, end: Column, whole: Column | None = None) -> Column:
+    """Place of a match: last in the 60 characters before, first in the 60 after, else ``whole`` (:func:`place_of_text`)."""
     before = F.substring(text, F.greatest(start - 60, F.lit(0)) + 1, F.least(start, F.lit(60)))
     after = F.substring(text, end + 1, F.lit(60))
     last_before = canonical_place(
@@ -187,8 +212,7 @@ def place_of_match(text: Column, start: Column, end: Column) -> Column:
     return F.coalesce(
         last_before,
         usable_after,
-        first_place(F.regexp_replace(text, _WORLD_DENOMINATOR, "")),
-        first_place(text),
+        place_of_text(text) if whole is None else whole,
     )
 
 
@@ -200,11 +224,15 @@ _YEAR_BEFORE = (
 _YEAR = r"(?U)\b(199[0-9]|20[0-3][0-9])\b"
 
 
-def year_of_match(text: Column, start: Column, end: Column) -> Column:
-    """Year attached after the match, else before it, else the nearest year of the sentence."""
+def years_of_text(text: Column) -> Column:
+    return find_all(text, _YEAR, 1)
+
+
+def year_of_match(text: Column, start: Column, end: Column, years: Column | None = None) -> Column:
+    """Year attached after the match, else before it, else the nearest of ``years`` (:func:`years_of_text`)."""
     after = F.substring(text, end + 1, F.lit(30))
     before = F.substring(text, F.greatest(start - 30, F.lit(0)) + 1, F.least(start, F.lit(30)))
-    years = find_all(text, _YEAR, 1)
+    years = years_of_text(text) if years is None else years
 
     def ranked(y):
         dist = F.when(y["e"] <= start, start - y["e"]).when(y["s"] >= end, y["s"] - end).otherwise(F.lit(0))

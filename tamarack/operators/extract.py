@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 from tamarack import terms
 from tamarack.functions import text as tx
-from tamarack.functions.claim_rules import metric_type_of_lowered
+from tamarack.functions.claim_rules import context_flags, metric_type_in_context
 from tamarack.functions.once import computed_once
 
 _MULT = r"(thousand|million|billion|trillion|crore|lakh|mn|bn|k|b|m)?"
 _CUR = r"(?:USD|\$|INR|₹|EUR|€|GBP|£)?"
 _PLAIN = r"([0-9]+(?:\.[0-9]+)?)"
-# Thousands groups are bounded so that a long digit list cannot exhaust the regex stack.
-_GROUPED = r"([0-9]+(?:,[0-9]+){0,60}(?:\.[0-9]+)?)"
+# Thousands groups are taken possessively, which the regex engine does in a loop: no number of groups exhausts its
+# stack. What could be given back is the last group alone, where something else than a claim follows it: the
+# second branch.
+_NUMBER = r"(?:[0-9]+(?:,[0-9]+)*+(?:\.[0-9]+)?|[0-9]+(?:,[0-9]+(?=,[0-9]))*+)"
+_GROUPED = f"({_NUMBER})"
 
 RANGE_PATTERN = (
     r"(?iU)(\b(?:(?:from|between|ranged from|jump from|increased from|grew from|rose from)\s+)?"
@@ -99,7 +102,21 @@ def _is_macro_word(mult: Column) -> Column:
     return F.coalesce(F.lower(mult).isin(*terms.MACRO_MULTIPLIERS), F.lit(False))
 
 
-def _range_candidates(s: Column, lowered: Column) -> Column:
+def _sentence_flags(s: Column, lowered: Column) -> dict[str, Column]:
+    """What the claim families ask of a whole sentence, once for all matches in it."""
+    return {
+        **context_flags(lowered),
+        "range_per_unit": tx.has_any(lowered, terms.UNIT_SPEND_TERMS) | s.rlike(terms.PER_UNIT_PATTERN),
+        "range_priced": tx.has_any(lowered, terms.RANGE_PRICE_TERMS) & ~tx.has_any(lowered, terms.RANGE_MACRO_TERMS),
+        "growing": tx.has_any(lowered, terms.GROWTH_TERMS),
+        "growing_or_scaled": tx.has_any(lowered, terms.GROWTH_TERMS + ("scaled",)),
+        "money_per_unit": tx.has_any(lowered, terms.MONEY_UNIT_SPEND_TERMS) | s.rlike(terms.MONEY_PER_UNIT_PATTERN),
+        "usage_rate": tx.has_any(lowered, terms.USAGE_RATE_TERMS),
+        "survey": tx.has_any(lowered, terms.SURVEY_TERMS),
+    }
+
+
+def _range_candidates(s: Column, lowered: Column, seen) -> Column:
     """At most one range per sentence; its value stays null."""
     # One pass: text before the first range, then its groups, between marks.
     marks = "\u0002"
@@ -135,9 +152,7 @@ def _range_candidates(s: Column, lowered: Column) -> Column:
             _money_code(x["raw"]), F.when(x["raw"].contains("%"), "%"), _last(x["words"]["np"]), F.lit("units")
         ),
     )
-    per_unit_text = tx.has_any(lowered, terms.UNIT_SPEND_TERMS) | s.rlike(terms.PER_UNIT_PATTERN)
-    priced_text = tx.has_any(lowered, terms.RANGE_PRICE_TERMS) & ~tx.has_any(lowered, terms.RANGE_MACRO_TERMS)
-    growing_text = tx.has_any(lowered, terms.GROWTH_TERMS)
+    per_unit_text, priced_text, growing_text = seen["range_per_unit"], seen["range_priced"], seen["growing"]
 
     def build(x):
         m, unit, hi = x["m"], x["unit"], x["hi"]
@@ -171,7 +186,7 @@ def _mentions(lowered: Column, words) -> Column:
     return out
 
 
-def _approx_candidates(sentence: Column, lowered: Column) -> Column:
+def _approx_candidates(sentence: Column, lowered: Column, seen) -> Column:
     """Qualified numbers ("more than 10 million users") with bounds that follow from the qualifier."""
     parsed = _bind(
         tx.find_all(sentence, APPROX_PATTERN, 4),
@@ -200,9 +215,8 @@ def _approx_candidates(sentence: Column, lowered: Column) -> Column:
     return F.when(_mentions(lowered, terms.QUALIFIERS), F.transform(parsed, build)).otherwise(_no_candidates())
 
 
-def _money_candidates(sentence: Column, lowered: Column) -> Column:
-    per_unit_text = tx.has_any(lowered, terms.MONEY_UNIT_SPEND_TERMS) | sentence.rlike(terms.MONEY_PER_UNIT_PATTERN)
-    usage = tx.has_any(lowered, terms.USAGE_RATE_TERMS)
+def _money_candidates(sentence: Column, lowered: Column, seen) -> Column:
+    per_unit_text, usage = seen["money_per_unit"], seen["usage_rate"]
     parsed = _bind(
         tx.find_all(sentence, MONEY_PATTERN, 6),
         code=lambda m: _money_code(F.upper(F.coalesce(tx.group(m, 1), tx.group(m, 6)))),
@@ -230,8 +244,8 @@ def _money_candidates(sentence: Column, lowered: Column) -> Column:
 _HEAD_COUNT_TYPES = ("population", "customer_count", "users", "student_count", "households")
 
 
-def _count_candidates(sentence: Column, lowered: Column) -> Column:
-    survey = tx.has_any(lowered, terms.SURVEY_TERMS)
+def _count_candidates(sentence: Column, lowered: Column, seen) -> Column:
+    survey = seen["survey"]
     parsed = _bind(
         tx.find_all(sentence, COUNT_PATTERN, 3),
         before=lambda m: F.substring(sentence, m["s"], F.when(m["s"] > 0, 1).otherwise(0)),
@@ -250,8 +264,8 @@ def _count_candidates(sentence: Column, lowered: Column) -> Column:
         p = x["m"]
         m, number, value = p["m"], p["number"], p["value"]
         bare_year = p["mult"].isNull() & F.regexp_replace(number, ",", "").rlike(r"^(?:19[0-9][0-9]|20[0-3][0-9])$")
-        kind = metric_type_of_lowered(
-            F.lower(x["noun"]), x["unit"], lowered, F.lit(None).cast("double"), F.lit(None).cast("string")
+        kind = metric_type_in_context(
+            F.lower(x["noun"]), x["unit"], seen, F.lit(None).cast("double"), F.lit(None).cast("string")
         )
         tiny = p["mult"].isNull() & (value < 50) & ~survey & F.coalesce(kind.isin(*_HEAD_COUNT_TYPES), F.lit(False))
         raw = F.concat_ws(" ", number, p["mult"], x["noun"])
@@ -264,8 +278,8 @@ def _count_candidates(sentence: Column, lowered: Column) -> Column:
     return F.transform(named, build)
 
 
-def _percent_candidates(sentence: Column, lowered: Column) -> Column:
-    growing_text = tx.has_any(lowered, terms.GROWTH_TERMS + ("scaled",))
+def _percent_candidates(sentence: Column, lowered: Column, seen) -> Column:
+    growing_text = seen["growing_or_scaled"]
     parsed = _bind(
         tx.find_all(sentence, PERCENT_PATTERN, 3),
         value=lambda m: m["g"][1].try_cast("double"),
@@ -316,8 +330,8 @@ def sentences(documents: DataFrame, content: str = "content") -> DataFrame:
 
 def may_hold_claims(sentence: Column) -> Column:
     """Cheap test before the claim regexes: ten characters, no listicle, no lone release year."""
-    one_number = F.regexp_count(sentence, F.lit(r"(?U)\b[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?\b")) == 1
-    first = F.regexp_extract(sentence, r"(?U)\b[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?\b", 0)
+    one_number = F.regexp_count(sentence, F.lit(rf"(?U)\b{_NUMBER}\b")) == 1
+    first = F.regexp_extract(sentence, rf"(?U)\b{_NUMBER}\b", 0)
     lone_year = (
         sentence.rlike(terms.RELEASE_YEAR_PATTERN)
         & ~tx.has_any(sentence, terms.MONEY_SCALE_MARKS)
@@ -343,24 +357,29 @@ def claims_from_sentences(rows: DataFrame, sentence: str = "sentence", families=
         .withColumn("_l", F.lower("_s"))
     )
     s, lowered = F.col("_s"), F.col("_l")
+    flags = _sentence_flags(s, lowered)
+    cleaned = computed_once(cleaned, {f"_f_{k}": v for k, v in flags.items()})
+    seen = {k: F.col(f"_f_{k}") for k in flags}
     makers = {
-        "range": lambda: _range_candidates(s, lowered),
-        "approximate": lambda: _approx_candidates(s, lowered),
-        "money": lambda: _money_candidates(s, lowered),
-        "count": lambda: _count_candidates(s, lowered),
-        "percent": lambda: _percent_candidates(s, lowered),
+        "range": lambda: _range_candidates(s, lowered, seen),
+        "approximate": lambda: _approx_candidates(s, lowered, seen),
+        "money": lambda: _money_candidates(s, lowered, seen),
+        "count": lambda: _count_candidates(s, lowered, seen),
+        "percent": lambda: _percent_candidates(s, lowered, seen),
     }
     found = F.concat(_no_candidates(), *[makers[f]() for f in FAMILIES if f in families])
-    kept = cleaned.select(*rest, "_s", "_l", F.explode(_keep_disjoint(found)).alias("c"))
-    placed = computed_once(kept, {
-        "geography": tx.place_of_match(s, F.col("c.ms"), F.col("c.me")),
-        "year": tx.year_of_match(s, F.col("c.ms"), F.col("c.me")),
+    kept = computed_once(cleaned, {"_kept": _keep_disjoint(found)}).filter(F.size("_kept") > 0)
+    whole = computed_once(kept, {"_place": tx.place_of_text(s), "_years": tx.years_of_text(s)})
+    rows = whole.select(*rest, "_s", *[f"_f_{k}" for k in flags], "_place", "_years", F.explode("_kept").alias("c"))
+    placed = computed_once(rows, {
+        "geography": tx.place_of_match(s, F.col("c.ms"), F.col("c.me"), F.col("_place")),
+        "year": tx.year_of_match(s, F.col("c.ms"), F.col("c.me"), F.col("_years")),
     })
     typed = computed_once(placed, {
         "metric_type": F.coalesce(
             F.col("c.fixed_type"),
-            metric_type_of_lowered(
-                F.lower("c.metric"), F.lower("c.unit"), lowered, F.col("c.type_value"), F.lower("c.mult")
+            metric_type_in_context(
+                F.lower("c.metric"), F.lower("c.unit"), seen, F.col("c.type_value"), F.lower("c.mult")
             ),
             F.col("c.default_type"),
         ),
