@@ -67,15 +67,33 @@ def first_seen_sources(sources: DataFrame, order: Column, by=("request_id",), ke
     return sources.groupBy(*by, key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*by, key, "_r.*").select(*sources.columns)
 
 
+CAP_SALTS = 32
+
+
+def first_rows(df: DataFrame, limit, by, order, salt, salts: int = CAP_SALTS) -> DataFrame:
+    """The first ``limit`` rows (a number or a column; null: all) of each group in ``order``.
+
+    Rows are ranked within (group, salt) first and what lies beyond the limit there goes, so a group of any share of
+    the rows is spread over ``salts`` tasks; the few that are left are ranked once more. Groups whose limit is
+    null are not ranked at all. ``salt`` names columns that spread the rows of a group.
+    """
+    order = order if isinstance(order, (list, tuple)) else [order]
+    marked = df.withColumns({"_limit": F.lit(limit) if not isinstance(limit, Column) else limit, "_salt": F.pmod(F.xxhash64(*salt), F.lit(salts))})
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    everything = marked.filter(F.col("_limit").isNull()).select(*columns)
+    part = F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order))
+    whole = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    some = marked.filter(F.col("_limit").isNotNull()).withColumn("_rn", part).filter(F.col("_rn") <= F.col("_limit"))
+    some = some.withColumn("_rn", whole).filter(F.col("_rn") <= F.col("_limit")).select(*columns)
+    return some if not isinstance(limit, Column) and limit is not None else some.union(everything)
+
+
 def cap_sources(sources: DataFrame, limit, order, by=("request_id",)) -> DataFrame:
     """The first ``limit`` sources of each request: the feature of a bounded analysis, not a sample.
 
-    ``limit`` is a number or a column. The rank filter lets Spark drop rows before the shuffle
-    (window group limit) when it is a literal.
+    ``limit`` is a number or a column; null keeps all.
     """
-    order = order if isinstance(order, (list, tuple)) else [order]
-    ranked = sources.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return ranked.filter(F.col("_rn") <= limit).drop("_rn")
+    return first_rows(sources, limit, by, order, ["url"])
 
 
 def new_sources(candidates: DataFrame, known: DataFrame, on=("request_id", "url")) -> DataFrame:
@@ -83,13 +101,16 @@ def new_sources(candidates: DataFrame, known: DataFrame, on=("request_id", "url"
     return candidates.join(known.select(*on).distinct(), list(on), "left_anti")
 
 
-def merge_competitors(listed: DataFrame, extracted: DataFrame, by=("request_id",)) -> DataFrame:
-    """Listed competitors plus extracted ones with a new name (case ignored)."""
+def merge_competitors(listed: DataFrame, extracted: DataFrame, by=("request_id",), order=("name",)) -> DataFrame:
+    """Listed competitors plus extracted ones with a new name (case ignored).
+
+    Of extracted names that differ in case alone the first in ``order`` stays.
+    """
     key = F.lower("name")
-    fresh = extracted.withColumn("_k", key).join(
-        listed.select(*by, key.alias("_k")).distinct(), [*by, "_k"], "left_anti"
-    ).drop("_k")
-    return listed.unionByName(fresh, allowMissingColumns=True)
+    rest = [c for c in extracted.columns if c not in by]
+    first = extracted.groupBy(*by, key.alias("_k")).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    fresh = first.join(listed.select(*by, key.alias("_k")).distinct(), [*by, "_k"], "left_anti").select(*by, "_r.*")
+    return listed.unionByName(fresh.select(*extracted.columns), allowMissingColumns=True)
 
 
 def competitor_matrix(competitors: DataFrame) -> DataFrame:

@@ -155,7 +155,11 @@ def validate_claims(claims: DataFrame, substring_domains: bool = False) -> DataF
 
 
 def with_claim_keys(claims: DataFrame) -> DataFrame:
-    """Add ``group_id`` (same claim) and ``subject_id`` (same thing measured), and their readable parts."""
+    """Add the keys of the same claim and of the same thing measured, and their readable parts.
+
+    ``group_key`` and ``subject_key`` are 256-bit digests, which operators group and join by; ``group_id`` and
+    ``subject_id`` are short labels of them.
+    """
     metric, unit = tx.normalize_metric(F.col("metric")), tx.normalize_unit(F.col("unit"))
     place, kind = tx.normalize_place(F.col("geography")), F.coalesce("metric_type", F.lit(""))
     year = F.coalesce(F.col("year").cast("string"), F.lit("None"))
@@ -169,6 +173,7 @@ def with_claim_keys(claims: DataFrame) -> DataFrame:
         "|", "norm_metric", "_kind", "norm_place", "_year", "norm_unit", F.when(macro, "macro").otherwise("micro")
     )
     return computed_once(df, {
+        "group_key": F.sha2(group, 256), "subject_key": F.sha2(subject, 256),
         "group_id": F.concat(F.lit("dup_"), F.substring(F.md5(group), 1, 12)),
         "subject_id": F.concat(F.lit("cnf_"), F.substring(F.md5(F.concat(F.lit("conflict_"), subject)), 1, 12)),
     }).drop("_kind", "_year")
@@ -179,6 +184,7 @@ def _order() -> Column:
     return F.struct("source_url", "candidate_id")
 
 
+_KEYS = ("group_key", "subject_key", "group_id", "subject_id")
 _CANONICAL = ("candidate_id", "metric", "metric_type", "value", "raw_value_expression", "unit", "geography", "year",
               "is_range_or_approximate", "range_min", "range_max", "source_name", "source_url", "source_context")
 
@@ -190,11 +196,11 @@ def duplicate_groups(claims: DataFrame, keep=()) -> DataFrame:
     and whether one context text (over 30 characters) appears twice (``is_syndicated``).
     """
     scope = [c for c in ("request_id",) if c in claims.columns]
-    df = claims if "group_id" in claims.columns else with_claim_keys(claims)
+    df = claims if "group_key" in claims.columns else with_claim_keys(claims)
     if "domain" not in df.columns:
         df = df.withColumn("domain", tx.domain_of(F.col("source_url")))
     context = F.regexp_replace(tx.low(F.col("source_context")), r"\s+", " ")
-    df = df.withColumn("_ctx", F.when(F.length(context) > 30, F.xxhash64(context)))
+    df = df.withColumn("_ctx", F.when(F.length(context) > 30, F.sha2(context, 256)))
     canonical = [c for c in (*_CANONICAL, *keep) if c in df.columns]
     quality = (
         [
@@ -203,7 +209,7 @@ def duplicate_groups(claims: DataFrame, keep=()) -> DataFrame:
         ]
         if "source_quality_score" in df.columns else []
     )
-    grouped = df.groupBy(*scope, "group_id", "subject_id").agg(
+    grouped = df.groupBy(*scope, *_KEYS).agg(
         F.min_by(F.struct(*canonical), _order()).alias("first"),
         F.count("*").alias("n_claims"),
         F.countDistinct("source_url").alias("n_urls"),
@@ -211,15 +217,15 @@ def duplicate_groups(claims: DataFrame, keep=()) -> DataFrame:
         (F.count("_ctx") > F.countDistinct("_ctx")).alias("is_syndicated"),
         *quality,
     )
-    rest = [c for c in grouped.columns if c not in (*scope, "group_id", "subject_id", "first")]
-    return grouped.select(*scope, "group_id", "subject_id", "first.*", *rest)
+    rest = [c for c in grouped.columns if c not in (*scope, *_KEYS, "first")]
+    return grouped.select(*scope, *_KEYS, "first.*", *rest)
 
 
 def group_members(claims: DataFrame) -> DataFrame:
     """Membership as rows: which claim, url and domain belongs to which group."""
     scope = [c for c in ("request_id",) if c in claims.columns]
-    df = claims if "group_id" in claims.columns else with_claim_keys(claims)
-    return df.select(*scope, "group_id", "subject_id", "candidate_id", "source_url", tx.domain_of(F.col("source_url")).alias("domain"))
+    df = claims if "group_key" in claims.columns else with_claim_keys(claims)
+    return df.select(*scope, *_KEYS, "candidate_id", "source_url", tx.domain_of(F.col("source_url")).alias("domain"))
 
 
 def conflicts(groups: DataFrame) -> DataFrame:
@@ -227,20 +233,20 @@ def conflicts(groups: DataFrame) -> DataFrame:
     scope = [c for c in ("request_id",) if c in groups.columns]
     first = F.min_by(F.struct("metric", "geography", "year", "unit"), _order()).alias("first")
     return (
-        groups.groupBy(*scope, "subject_id").agg(
+        groups.groupBy(*scope, "subject_key", "subject_id").agg(
             first, F.countDistinct("value").alias("n_values"), F.min("value").alias("min_value"),
             F.max("value").alias("max_value"), F.sum("n_claims").alias("subject_claims"),
         )
         .filter(F.col("n_values") > 1)
-        .select(*scope, "subject_id", "first.*", "n_values", "min_value", "max_value", "subject_claims")
+        .select(*scope, "subject_key", "subject_id", "first.*", "n_values", "min_value", "max_value", "subject_claims")
     )
 
 
 def conflicting_values(groups: DataFrame) -> DataFrame:
     """The values of every conflict as rows."""
     scope = [c for c in ("request_id",) if c in groups.columns]
-    hot = conflicts(groups).select(*scope, "subject_id")
-    return groups.join(hot, [*scope, "subject_id"], "left_semi").select(*scope, "subject_id", "group_id", "value", "n_claims", "n_domains")
+    hot = conflicts(groups).select(*scope, "subject_key")
+    return groups.join(hot, [*scope, "subject_key"], "left_semi").select(*scope, *_KEYS, "value", "n_claims", "n_domains")
 
 
 def triangulate(claims: DataFrame, validated: bool = False, substring_domains: bool = False) -> DataFrame:
@@ -255,14 +261,14 @@ def triangulate(claims: DataFrame, validated: bool = False, substring_domains: b
     keep = ("source_quality_tier", "market_scope", "relevance_score", "suitability", "extraction_confidence")
     groups = duplicate_groups(with_claim_keys(checked.filter("is_valid")), keep=keep)
     # The subject totals come from the (much smaller) group table; the join key is the grouping key.
-    hot = conflicts(groups).select(*scope, "subject_id", "n_values", "min_value", "max_value", "subject_claims")
-    df = groups.join(hot, [*scope, "subject_id"], "left")
+    hot = conflicts(groups).select(*scope, "subject_key", "n_values", "min_value", "max_value", "subject_claims")
+    df = groups.join(hot, [*scope, "subject_key"], "left")
     conflict, many, strong = F.col("n_values").isNotNull(), F.col("n_domains") >= 2, F.col("has_authority")
     best = F.col("max_quality_score")
     single = F.when(best >= 0.70, "medium").otherwise("low")
     verified = ~conflict & many & strong
     return df.select(
-        *scope, "group_id", "subject_id", *[c for c in (*_CANONICAL, *keep) if c in df.columns],
+        *scope, *_KEYS, *[c for c in (*_CANONICAL, *keep) if c in df.columns],
         F.col("max_quality_score").alias("source_quality_score"),
         F.when(conflict, "conflict").otherwise("valid").alias("validation_status"),
         F.when(verified, "verified").otherwise("validated").alias("lifecycle_stage"),
@@ -282,8 +288,8 @@ def distinct_provenance(checked: DataFrame) -> DataFrame:
     scope = [c for c in ("request_id",) if c in checked.columns]
     fields = F.struct("source_name", "domain", "source_context", "source_quality_score", "source_quality_tier", "market_scope")
     df = with_claim_keys(checked.filter("is_valid"))
-    return df.groupBy(*scope, "group_id", "source_url").agg(F.min_by(fields, F.col("candidate_id")).alias("p")).select(
-        *scope, "group_id", "source_url", "p.*"
+    return df.groupBy(*scope, "group_key", "group_id", "source_url").agg(F.min_by(fields, F.col("candidate_id")).alias("p")).select(
+        *scope, "group_key", "group_id", "source_url", "p.*"
     )
 
 

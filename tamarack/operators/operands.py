@@ -94,7 +94,7 @@ def percent_rejection() -> Column:
     )
     # The clause that holds the number decides whether the percentage is about an unrelated product.
     clauses = F.filter(F.split(ctx, r"[,;]|\bwhile\b|\bwhereas\b|\bbut\b"), lambda c: F.trim(c) != "")
-    whole, tenth = v.cast("bigint").cast("string"), F.round(v, 1).cast("decimal(20,1)").cast("string")
+    whole, tenth = v.try_cast("bigint").cast("string"), F.round(v, 1).try_cast("decimal(20,1)").cast("string")
     own = F.filter(clauses, lambda c: c.contains(whole) | c.contains(tenth) | c.contains(raw))
     clause = F.coalesce(F.try_element_at(own, F.lit(1)), ctx)
     food_business = has_any(F.col("_prod"), ("food", "feed", "supplies", "accessories")) | F.col("_idea").contains("pet food")

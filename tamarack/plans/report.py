@@ -194,7 +194,7 @@ def evidence_summary(sources: DataFrame, documents: DataFrame, checked: DataFram
         counted(documents, total_fetched=F.count_if(F.col("fetch_status").isin("success", "snippet_fallback"))),
         counted(checked, total_extracted=F.count("*"), total_validated=F.count_if("is_valid")),
         counted(triangulated, total_verified=F.count_if(F.col("lifecycle_stage") == "verified"),
-                total_conflicts=F.countDistinct(F.when(F.col("validation_status") == "conflict", F.col("subject_id")))),
+                total_conflicts=F.countDistinct(F.when(F.col("validation_status") == "conflict", F.col("subject_key")))),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions.source_rules import authority_score, source_category, source_tier
 from tamarack.functions.text import domain_of, is_http_url
-from tamarack.operators.discovery import query_string
+from tamarack.operators.discovery import first_rows, query_string
 
 _RESULT_KEYS = ("results", "organic_results", "items", "data", "webPages")
-_RECORDS = "array<map<string,string>>"
 
 
 def read_catalog(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
@@ -24,8 +23,7 @@ def search_catalog(queries: DataFrame, catalog: DataFrame, on=("request_id",)) -
     text = query_string({c: F.col(c) for c in ("metric_required", "target_population", "industry_topic", "geography", "year")})
     asked = queries.select(*on, "query_no", "max_results", text.alias("query_used"))
     joined = asked.join(catalog, list(on))
-    rank = F.row_number().over(Window.partitionBy(*on, "query_no").orderBy("ord", "url"))
-    return joined.withColumn("_rn", rank).filter(F.col("_rn") <= F.col("max_results")).drop("_rn", "max_results")
+    return first_rows(joined, F.col("max_results"), [*on, "query_no"], ["ord", "url"], ["ord", "url"]).drop("max_results")
 
 
 def parse_search_results(payloads: DataFrame) -> DataFrame:
@@ -41,7 +39,9 @@ def parse_search_results(payloads: DataFrame) -> DataFrame:
         for path in (f"$.{key}", f"$.{key}.value"):
             part = F.get_json_object("payload", path)
             arrays.append(F.when(part.startswith("["), part))
-    records = F.from_json(F.coalesce(*arrays), _RECORDS)
+    # element by element: one that is no object goes alone
+    elements = F.filter(F.from_json(F.coalesce(*arrays), "array<string>"), lambda e: F.ltrim(e).startswith("{"))
+    records = F.transform(elements, lambda e: F.from_json(e, "map<string,string>"))
 
     def pick(r: Column, *names: str) -> Column:
         return F.coalesce(*[F.when(F.trim(r[n]) != "", F.trim(r[n])) for n in names])

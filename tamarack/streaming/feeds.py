@@ -44,10 +44,10 @@ def first_failures(events: DataFrame, run: str = "pipeline_id") -> DataFrame:
 def stream_claims(documents: DataFrame, event_time: str = "fetched_at", delay: str = "1 day") -> DataFrame:
     """Claims of a document feed; a document seen again within the delay is skipped.
 
-    Extraction keeps no state, so the only state is one hash per document for the length of the delay.
+    Extraction keeps no state, so the only state is one url and digest per document for the length of the delay.
     """
-    keyed = documents.withColumn("_doc", F.xxhash64("original_url", "content")).withWatermark(event_time, delay)
-    fresh = keyed.dropDuplicatesWithinWatermark(["_doc"]).drop("_doc")
+    keyed = documents.withColumn("_doc", F.sha2("content", 256)).withWatermark(event_time, delay)
+    fresh = keyed.dropDuplicatesWithinWatermark(["original_url", "_doc"]).drop("_doc")
     return extract_claims(fresh, carry=(event_time,))
 
 
