@@ -87,6 +87,7 @@ def find_secrets(text: str | None, novelty: Novelty) -> list[tuple[str, int, int
         if covered > start or not _mixed(m.group()) or not _CONTEXT.search(text, max(0, start - novelty.near), start):
             continue
         around = text[max(0, start - novelty.around):start] + " " + text[end:end + novelty.around]
+        around = around.replace(m.group(), " ")  # a key that is written twice is novel twice
         share = marginal_share(m.group(), around, novelty)
         if share >= novelty.share:
             found.append(("novel", start, end, share))
