@@ -122,3 +122,42 @@ def test_hot_group_is_reduced_not_collected(spark):
     top = g.orderBy(F.desc("n_claims")).first()
     assert (top.n_claims, top.n_domains, top.n_urls, top.is_syndicated) == (15000, 300, 15000, False)
     assert "collect_" not in g._jdf.queryExecution().executedPlan().toString()
+
+
+def test_claim_keys_of_extreme_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from tamarack.functions import text as tx
+
+    values = [1.0, 1.00004, 1.00001, 1e14, 1e15, 9.99e39, 1e300, -1e300, None, float("nan"), float("inf"), 0.0, -2.5]
+    got = [r.k for r in spark.createDataFrame([(v,) for v in values], "v double").select(tx.key_number(F.col("v")).alias("k")).collect()]
+    assert got[:3] == ["1.0", "1.0", "1.0"] and got[3] == "100000000000000.0" and got[8] == "None"
+    assert len(set(got[3:])) == len(got[3:])
+
+
+def test_cap_with_a_column_limit_on_one_hot_request(spark):
+    from pyspark.sql import functions as F
+
+    from tamarack.operators import discovery
+
+    df = spark.range(5000).select(F.when(F.col("id") % 100 < 95, "hot").otherwise(F.concat(F.lit("r"), F.col("id") % 3)).alias("request_id"),
+                                  F.concat(F.lit("u"), F.col("id")).alias("url"), (F.col("id") * 7919 % 5003).alias("ord"))
+    limited = df.withColumn("most", F.when(F.col("request_id") == "hot", 40).when(F.col("request_id") == "r0", 3))
+    got = {}
+    for r in discovery.cap_sources(limited, F.col("most"), F.col("ord")).collect():
+        got.setdefault(r.request_id, []).append(r.ord)
+    rows = {}
+    for r in df.collect():
+        rows.setdefault(r.request_id, []).append(r.ord)
+    most = {"hot": 40, "r0": 3}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:most.get(k, len(v))] for k, v in rows.items()}
+    assert discovery.cap_sources(df, None, F.col("ord")).count() == 5000 and discovery.cap_sources(df, 2, F.col("ord")).count() == 8
+
+
+def test_repeated_competitors_differ_in_more_than_case(spark):
+    from tamarack.operators import discovery
+
+    listed = spark.createDataFrame([("r", "Acme")], "request_id string, name string")
+    found = spark.createDataFrame([("r", "ACME", 1), ("r", "Beta", 2), ("r", "beta", 1), ("q", "Acme", 1)], "request_id string, name string, ord int")
+    got = discovery.merge_competitors(listed, found, order=("ord", "name")).collect()
+    assert sorted((r.request_id, r.name) for r in got) == [("q", "Acme"), ("r", "Acme"), ("r", "beta")]

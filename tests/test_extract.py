@@ -136,3 +136,37 @@ def test_documents_and_competitors(spark):
     assert len({r.candidate_id for r in claims.collect()}) == 1
     names = {r.name for r in ex.extract_competitors(docs).collect()}
     assert names == {"Acme", "Borealis", "Zeta Corp", "Foo"}
+
+
+@pytest.mark.parametrize("groups", [71, 20_000])
+def test_numbers_of_many_groups_are_taken_whole(spark, groups):
+    number = "1" + ",234" * groups
+    rows = spark.createDataFrame([(f"There are {number} users of it.",), (f"It is worth USD {number} in all.",), (f"More than {number} students came.",)], "sentence string")
+    got = ex.claims_from_sentences(rows).collect()
+    assert all(number in r.raw_value_expression for r in got)
+    if groups == 71:
+        assert {r.family for r in got} == {"count", "money", "approximate"}
+
+
+def test_number_pattern_gives_back_like_a_plain_one(spark):
+    plain = r"(?iU)(?:(\$)\s*([0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?)\s*(million|m|k)?)\b"
+    mine = plain.replace(r"([0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?)", ex._GROUPED)
+    assert mine != plain
+    texts = ["$1,234x", "$1,234,567per", "$1,234.5x", "$1,234 mx", "$12m", "$1,2,3,4", "$1,", "$1,,2", "$1.2.3", "$1,234,567.89 million", "$9k,1", "$5,000m2", "$1,2a $3,4"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = df.select("t", F.regexp_extract_all("t", F.lit(plain), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(mine), F.lit(0)).alias("b"))
+    assert all(r.a == r.b for r in both.collect())
+
+
+def test_thousands_of_matches_in_one_sentence(spark):
+    n = 3000
+    text = "There are " + " and ".join(f"{1000 + i} million users" for i in range(n))
+    rows = ex.claims_from_sentences(spark.createDataFrame([(text,)], "sentence string"))
+    got = rows.selectExpr("count(*) AS n", "sum(value) AS v", "count(DISTINCT match_start) AS places").first()
+    assert (got.n, got.places) == (n, n) and got.v == sum((1000 + i) * 1e6 for i in range(n))
+
+
+def test_offsets_over_block_borders(spark):
+    text = " ".join(str(i) for i in range(1500))
+    got = spark.createDataFrame([(text,)], "t string").select(tx.find_all(F.col("t"), "[0-9]+", 0).alias("m")).first().m
+    assert [(m.s, m.e, m.g[0]) for m in got] == [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", text)]

@@ -108,3 +108,9 @@ def test_whole_analysis(spark):
     assert r.td_tam.estimate == 850e6
     stages = {(x.value, x.lifecycle_stage) for x in a.triangulated.collect()}
     assert (150000.0, "verified") in stages and not any(v == 900000.0 for v, _ in stages)
+
+
+def test_search_payload_with_a_bad_element(spark):
+    payload = '{"results": [{"url": "https://a.org/x", "title": "A"}, "bare text", null, 7, [1], {"url": "https://b.org/y", "n": {"deep": 1}}]}'
+    df = spark.createDataFrame([("r", "q", payload, 5), ("r", "q", "no json", 5), ("r", "q", None, 5)], "request_id string, query_used string, payload string, max_results int")
+    assert [r.url for r in catalog.parse_search_results(df).collect()] == ["https://a.org/x", "https://b.org/y"]

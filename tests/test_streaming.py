@@ -5,7 +5,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from tamarack.operators.extract import extract_claims
 from tamarack.streaming import feeds
@@ -51,11 +50,21 @@ def test_stream_claims_equal_batch_without_repeats(spark, folder):
     assert got == sorted((r.source_url, r.value) for r in batch.collect()) and len(got) == 12
 
 
-def test_running_corroboration(spark, folder):
+def test_running_corroboration_is_exact(spark, folder):
     schema = "original_url string, source_name string, content string, fetched_at timestamp"
-    rows = [(f"https://d{i}.org/x", "S", "India has 5 million students in 2024.", dt.datetime(2024, 1, 1)) for i in range(6)]
-    spark.createDataFrame(rows, schema).write.parquet(folder + "/docs")
-    claims = extract_claims(feeds.read_feed(spark, folder + "/docs", schema), carry=("fetched_at",))
-    drain(feeds.stream_corroboration(claims), "corroboration", "update", folder)
-    last = spark.table("corroboration").agg(F.max("approx_domains").alias("d"), F.max("n_claims").alias("n")).first()
-    assert (last.d, last.n) == (6, 6)
+    t = dt.datetime(2024, 1, 1)
+    rows = [(f"https://d{i % 7}.org/{i}", "S", f"India has {5 + i % 2} million students in 2024.", t + dt.timedelta(days=i)) for i in range(20)]
+    late = [("https://end.org/x", "S", "India has 9 million teachers in 2024.", t + dt.timedelta(days=60))]
+    # one file at a time: the last moves the watermark beyond all windows before it
+    for i, part in enumerate((rows[:10], rows[10:], late, late)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{folder}/part{i}")
+        os.makedirs(f"{folder}/docs", exist_ok=True)
+        name = next(n for n in os.listdir(f"{folder}/part{i}") if n.endswith(".parquet"))
+        os.rename(f"{folder}/part{i}/{name}", f"{folder}/docs/{i}.parquet")
+        os.utime(f"{folder}/docs/{i}.parquet", (1e9 + i, 1e9 + i))
+    claims = extract_claims(feeds.read_feed(spark, folder + "/docs", schema, max_files=1), carry=("fetched_at",))
+    drain(feeds.stream_corroboration(claims), "corroboration", "append", folder)
+    batch = feeds.stream_corroboration(extract_claims(spark.createDataFrame(rows, schema), carry=("fetched_at",)))
+    key = lambda r: (r.window.start, r.group_key, r.n_domains, r.n_claims)
+    got, want = sorted(map(key, spark.table("corroboration").collect())), sorted(map(key, batch.collect()))
+    assert got == want and len(want) > 4 and max(r[2] for r in want) > 2
