@@ -300,13 +300,20 @@ def _percent_candidates(sentence: Column, lowered: Column, seen) -> Column:
     return F.when(_mentions(lowered, ("%", "percent")), F.transform(parsed, build)).otherwise(_no_candidates())
 
 
-def _keep_disjoint(candidates: Column) -> Column:
-    """Candidates in order, without those that overlap one kept before."""
-    def step(kept, c):
-        clash = F.exists(kept, lambda k: (c["e"] > k["rs"]) & (c["s"] < k["re"]))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(c)))
+def _keep_disjoint(candidates: Column, sentence: Column) -> Column:
+    """Candidates in order, without those that overlap one kept before.
 
-    return F.aggregate(F.filter(candidates, lambda c: c["ok"]), _no_candidates(), step)
+    A mask of the sentence marks what is reserved, so a candidate is tested by one look at its own span, not by a
+    walk over all that were kept.
+    """
+    def step(acc, c):
+        taken = F.substring(acc["mask"], c["s"] + 1, c["e"] - c["s"]).contains("1")
+        width = c["re"] - c["rs"]
+        marked = F.overlay(acc["mask"], F.repeat(F.lit("1"), width), c["rs"] + 1, width)
+        return F.when(taken, acc).otherwise(F.struct(marked.alias("mask"), F.concat(acc["kept"], F.array(c)).alias("kept")))
+
+    start = F.struct(F.repeat(F.lit("0"), F.char_length(sentence)).alias("mask"), _no_candidates().alias("kept"))
+    return F.aggregate(F.filter(candidates, lambda c: c["ok"]), start, step, lambda acc: acc["kept"])
 
 
 # -- sentences ----------------------------------------------------------------------------------
@@ -368,7 +375,7 @@ def claims_from_sentences(rows: DataFrame, sentence: str = "sentence", families=
         "percent": lambda: _percent_candidates(s, lowered, seen),
     }
     found = F.concat(_no_candidates(), *[makers[f]() for f in FAMILIES if f in families])
-    kept = computed_once(cleaned, {"_kept": _keep_disjoint(found)}).filter(F.size("_kept") > 0)
+    kept = computed_once(cleaned, {"_kept": _keep_disjoint(found, s)}).filter(F.size("_kept") > 0)
     whole = computed_once(kept, {"_place": tx.place_of_text(s), "_years": tx.years_of_text(s)})
     rows = whole.select(*rest, "_s", *[f"_f_{k}" for k in flags], "_place", "_years", F.explode("_kept").alias("c"))
     placed = computed_once(rows, {

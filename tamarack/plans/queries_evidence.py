@@ -175,17 +175,21 @@ def evidence_rating(spark, sf):
 
 
 @query("evidence_summary", f"""
-WITH {GROUPS}
-SELECT n_name AS request_id, CAST(max(a.n) AS BIGINT) AS total_extracted, CAST(max(a.ok) AS BIGINT) AS total_validated,
-  CAST(count(*) FILTER (lifecycle_stage = 'verified') AS BIGINT) AS total_verified,
-  CAST(count(DISTINCT CASE WHEN validation_status = 'conflict' THEN subject_id END) AS BIGINT) AS total_conflicts
-FROM tri JOIN (SELECT n_name, count(*) AS n, count(*) FILTER (k % 5 <> 4) AS ok FROM cl GROUP BY 1) a USING (n_name) GROUP BY 1""")
+WITH {GROUPS},
+d AS (SELECT n_name, count(*) AS found, count(*) FILTER (s_suppkey % 4 <> 3) AS fetched FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
+x AS (SELECT n_name, count(*) AS n, count(*) FILTER (k % 5 <> 4) AS ok FROM cl GROUP BY 1),
+t AS (SELECT n_name, count(*) FILTER (lifecycle_stage = 'verified') AS verified,
+        count(DISTINCT CASE WHEN validation_status = 'conflict' THEN subject_id END) AS conflicts FROM tri GROUP BY 1)
+SELECT n_name AS request_id, found AS total_discovered, fetched AS total_fetched, coalesce(n, 0) AS total_extracted, coalesce(ok, 0) AS total_validated,
+  coalesce(verified, 0) AS total_verified, coalesce(conflicts, 0) AS total_conflicts
+FROM d LEFT JOIN x USING (n_name) LEFT JOIN t USING (n_name)""")
 def evidence_summary(spark, sf):
     checked = ev.validate_claims(corpus.claims(spark, sf).withColumn("request_id", F.col("geography")))
     tri = ev.triangulate(checked, validated=True)
-    src_rows = checked.select("request_id").distinct()
-    docs = src_rows.withColumn("fetch_status", F.lit("success"))
-    return rep.evidence_summary(src_rows, docs, checked, tri).filter("total_validated > 0").drop("total_discovered", "total_fetched")
+    nation = corpus.table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("request_id"))
+    sources = corpus.table(spark, sf, "supplier").join(nation, "s_nationkey").select("request_id", "s_suppkey")
+    status = F.when(F.col("s_suppkey") % 4 == 3, "fetch_failed").when(F.col("s_suppkey") % 4 == 2, "snippet_fallback").otherwise("success")
+    return rep.evidence_summary(sources, sources.withColumn("fetch_status", status), checked, tri)
 
 
 @query("coverage_cube", f"""

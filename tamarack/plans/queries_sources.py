@@ -168,18 +168,19 @@ def catalog_search(spark, sf):
 
 
 @query("search_results", """
-WITH p AS (SELECT page_id, url, page_id % 25 AS r FROM pages WHERE page_id % 6 <> 5)
+WITH p AS (SELECT page_id, url, CAST(floor(page_id / 20) AS BIGINT) AS r FROM pages WHERE page_id % 6 <> 5 AND page_id % 20 <> 1)
 SELECT 'r' || r AS request_id, url, 'P' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 1.0 ELSE 0.5 END AS relevance_score
 FROM p QUALIFY row_number() OVER (PARTITION BY r ORDER BY page_id) <= 4""")
 def search_results(spark, sf):
-    """Payloads in four shapes; every sixth result has no web address and does not count."""
+    """Payloads of twenty results in four shapes; every sixth result has no web address and one is no object: neither counts."""
     k = F.col("page_id")
     link = F.when(k % 6 == 5, F.concat(F.lit("ftp://"), k.cast("string"))).otherwise(F.col("url"))
-    item = F.struct(k.alias("ord"), F.to_json(F.struct(
+    result = F.to_json(F.struct(
         F.when(k % 2 == 0, link).alias("url"), F.when(k % 2 == 1, link).alias("link"), F.concat(F.lit("P"), k.cast("string")).alias("name"),
         F.when(k % 2 == 0, 7.5).alias("score"),
-    )).alias("j"))
-    lists = corpus.table(spark, sf, "pages").groupBy((k % 25).alias("r")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    ))
+    item = F.struct(k.alias("ord"), F.when(k % 20 == 1, F.lit('"a bare text"')).otherwise(result).alias("j"))
+    lists = corpus.table(spark, sf, "pages").groupBy(F.floor(k / 20).alias("r")).agg(F.array_sort(F.collect_list(item)).alias("items"))
     body = F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["j"]), ","), F.lit("]"))
     shaped = corpus.pick(("%s", '{"results": %s}', '{"data": %s}', '{"webPages": {"value": %s}}'), F.col("r") % 4)
     payloads = lists.select(
@@ -223,11 +224,11 @@ def stored_versions(spark, sf):
 @query("upsert_analyses", """
 SELECT coalesce(n.id, o.id) AS analysis_id, coalesce(o.idea, n.idea) AS business_idea, coalesce(n.status, o.status) AS status
 FROM (SELECT o_orderkey AS id, 'idea ' || o_orderkey AS idea, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0) o
-FULL JOIN (SELECT o_orderkey AS id, 'new ' || o_orderkey AS idea, 'R' AS status FROM orders WHERE o_orderkey % 2 = 0) n ON o.id = n.id""")
+FULL JOIN (SELECT o_orderkey AS id, 'new ' || o_orderkey AS idea, 'R' AS status FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) n ON o.id = n.id""")
 def upsert_analyses(spark, sf):
     o, k = corpus.table(spark, sf, "orders"), F.col("o_orderkey")
     old = o.filter(k % 3 != 0).select(k.alias("analysis_id"), F.concat(F.lit("idea "), k.cast("string")).alias("business_idea"), F.col("o_orderstatus").alias("status"))
-    new = o.filter(k % 2 == 0).select(k.alias("analysis_id"), F.concat(F.lit("new "), k.cast("string")).alias("business_idea"), F.lit("R").alias("status"))
+    new = o.filter((k % 2 == 0) | (k % 3 == 0)).select(k.alias("analysis_id"), F.concat(F.lit("new "), k.cast("string")).alias("business_idea"), F.lit("R").alias("status"))
     return store.merge_analyses(old, new)
 
 
