@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -45,6 +46,15 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished work: it does so when the driver collects its garbage.
+
+    For iterative operators, whose rounds are written to the shared folder and no longer need them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else. Pure ASCII values take the fast built-in, others a translation."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -75,26 +85,37 @@ def byte_batches(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
 
 
 class UnitCache(dict):
-    """Encodings of text units (words with their leading blank) of one worker, at most ``limit`` units.
+    """Encodings of text units (words with their leading blank) of one worker, about twice ``limit`` units at most.
 
     ``encode`` gets a list of units that are not held and returns their values in the same order. The cache is a
-    plain dict, so that hits cost one lookup; it starts anew when it is full, and a unit that is longer than
-    ``longest`` is never held, so that its memory is bounded whatever the texts are.
+    plain dict, so that hits cost one lookup. When it is full it becomes the older generation and starts anew; units
+    that are met again move back from there, so that what is common stays. A unit longer than ``longest`` is never
+    held, so memory is bounded whatever the texts are.
     """
 
-    def __init__(self, encode: Callable[[list], list], limit: int = 600_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list], list], limit: int = 300_000, longest: int = 64):
         super().__init__()
         self.encode, self.limit, self.longest = encode, limit, longest
+        self.older: dict = {}
 
     def values_of(self, units: list) -> list:
-        missing = [u for u in dict.fromkeys(units) if u not in self]
+        distinct = dict.fromkeys(units)
+        missing = [u for u in distinct if u not in self]
         if missing and len(self) + len(missing) > self.limit:
+            self.older = dict(self)
             self.clear()
-            missing = list(dict.fromkeys(units))
-        rest = {}
+            missing = list(distinct)
+        older, rest = self.older, {}
+        if older and missing:
+            self.update([(u, older[u]) for u in missing if u in older])
+            missing = [u for u in missing if u not in older]
         if missing:
-            for u, v in zip(missing, self.encode(missing), strict=True):
-                (self if len(u) <= self.longest else rest)[u] = v
+            values = self.encode(missing)
+            if max(map(len, missing)) <= self.longest:
+                self.update(zip(missing, values, strict=True))
+            else:
+                for u, v in zip(missing, values, strict=True):
+                    (self if len(u) <= self.longest else rest)[u] = v
         if rest:
             return [rest[u] if u in rest else self[u] for u in units]
         return list(map(self.__getitem__, units))

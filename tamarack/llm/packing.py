@@ -7,7 +7,9 @@ tokens) have the largest dot product with what the sequence has left, until no p
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,9 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamarack.llm.common import UnitCache, byte_batches
+from tamarack.llm.common import UnitCache
 
 BATCH_CHARS = 1 << 20
+# Sets words apart in one call of the tokenizer.
+MARK = "|"
+WORDS_A_CALL = 100
+# What the normaliser below changes in Latin letters up to U+024F is their case alone: all are composed already.
+LATIN = re.compile("[\x00-\u024f]*")
+CASE_FOLDING = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 OUT_BYTES = 8 << 20
 # Pieces that one task packs together: the open sequence at its end is all the padding that the parting costs.
 PIECES_A_TASK = 8192
@@ -37,29 +46,89 @@ class Limits:
     loss_tokens: int = 4096
 
 
-def _encoder(path: str) -> UnitCache:
-    """The worker's cache of the ids (packed 32-bit integers) of words for a tokenizer file that drops white space."""
-    if path not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def _word_encoder(path: str):
+    """A function from words to their packed ids. Words go to the library many at a time, with a mark between them.
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+    The mark stands alone between blanks, so it is a pre-token of its own and has one id; words that hold it, and words
+    that may hold a special token, are encoded apart. Words of Latin letters are lower-cased here, and skip the
+    tokenizer's normaliser, which would take about as long as the encoding.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        content = json.load(f)
+    folds = content["normalizer"] == CASE_FOLDING
+    plain = Tokenizer.from_str(json.dumps(content | {"normalizer": None})) if folds else tokenizer
+    for t in (tokenizer, plain):
+        t.no_truncation()
+        t.no_padding()
+    mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def apart(words: list[bytes]) -> list[bytes]:
+        batch = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in batch]
+
+    def joined(words: list[bytes]) -> list[bytes]:
+        texts = [w.decode() for w in words]
+        if folds and all(map(LATIN.fullmatch, texts)):
+            return together(plain, words, [t.lower() for t in texts])
+        if folds:
+            latin = {w: t.lower() for w, t in zip(words, texts, strict=True) if LATIN.fullmatch(t)}
+            held = dict(zip(latin, together(plain, list(latin), list(latin.values())), strict=True))
+            rest = {w: t for w, t in zip(words, texts, strict=True) if w not in held}
+            held.update(zip(rest, together(tokenizer, list(rest), list(rest.values())), strict=True))
+            return [held[w] for w in words]
+        return together(tokenizer, words, texts)
+
+    def together(by: Tokenizer, words: list[bytes], written: list[str]) -> list[bytes]:
+        found: list[bytes] = []
+        parts = [words[i:i + WORDS_A_CALL] for i in range(0, len(words), WORDS_A_CALL)]
+        texts = [f" {MARK} ".join(written[i:i + WORDS_A_CALL]) for i in range(0, len(words), WORDS_A_CALL)]
+        for part, e in zip(parts, by.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(ids == mark[0])
+            if len(cuts) != len(part) - 1:
+                found.extend(apart(part))
+                continue
+            raw = ids.tobytes()
+            starts = [0, *(4 * (cuts + 1)).tolist()]
+            ends = [*(4 * cuts).tolist(), len(raw)]
+            found.extend([raw[s:t] for s, t in zip(starts, ends, strict=True)])
+        return found
+
+    def encode(words: list[bytes]) -> list[bytes]:
+        sign = MARK.encode()
+        alone = [w for w in words if sign in w] if len(mark) == 1 else words
+        if not alone:
+            return joined(words)
+        held = dict(zip(alone, apart(alone), strict=True))
+        rest = [w for w in words if w not in held]
+        held.update(zip(rest, joined(rest), strict=True))
+        return [held[w] for w in words]
+
+    return encode
 
-        def ids(words: list[bytes]) -> list[bytes]:
-            found: list[bytes] = []
-            for batch in byte_batches([w.decode() for w in words], BATCH_CHARS):
-                found.extend(array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False))
-            return found
 
-        _encoders[path] = UnitCache(ids)
+def _encoder(path: str) -> UnitCache:
+    """The worker's cache of the ids (packed 32-bit integers) of words for a tokenizer file that drops white space and case."""
+    if path not in _encoders:
+        _encoders[path] = UnitCache(_word_encoder(path))
     return _encoders[path]
 
 
-def encode_words(text: str | None, path: str) -> bytes:
-    """Ids of a text by a tokenizer that drops white space: words between ASCII blanks are encoded apart, each once."""
-    return b"".join(_encoder(path).values_of(text.encode().split())) if text else b""
+def encode_words(texts: list[str | None], path: str) -> list[bytes]:
+    """Ids of texts by a tokenizer that drops white space and case: words between ASCII blanks are encoded once each."""
+    words: list[bytes] = []
+    ends = []
+    for text in texts:
+        raw = text.encode() if text else b""
+        # special tokens, whose case counts, hold the mark
+        words += (raw if MARK.encode() in raw else raw.lower()).split()
+        ends.append(len(words))
+    values = _encoder(path).values_of(words)
+    return [b"".join(values[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def encode_pieces(docs: DataFrame, path: str, end_id: int, max_tokens: int = 4096) -> DataFrame:
@@ -79,17 +148,31 @@ def encode_pieces(docs: DataFrame, path: str, end_id: int, max_tokens: int = 409
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode_words(text.as_py(), path) + end
-                n = len(ids) // 4
-                for start in range(0, n, max_tokens):
-                    piece = ids[4 * start:4 * (start + max_tokens)]
-                    rows.append((doc_id, start, len(piece) // 4, n, piece))
-                    size += len(piece)
-                if size >= OUT_BYTES:
-                    yield out()
-                    rows, size = [], 0
+        def encoded() -> Iterator[tuple]:
+            doc_ids: list = []
+            texts: list = []
+            held = 0
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    text = text.as_py()
+                    doc_ids.append(doc_id)
+                    texts.append(text)
+                    held += len(text or "")
+                    if held >= BATCH_CHARS:
+                        yield from zip(doc_ids, encode_words(texts, path), strict=True)
+                        doc_ids, texts, held = [], [], 0
+            yield from zip(doc_ids, encode_words(texts, path), strict=True)
+
+        for doc_id, ids in encoded():
+            ids += end
+            n = len(ids) // 4
+            for start in range(0, n, max_tokens):
+                piece = ids[4 * start:4 * (start + max_tokens)]
+                rows.append((doc_id, start, len(piece) // 4, n, piece))
+                size += len(piece)
+            if size >= OUT_BYTES:
+                yield out()
+                rows, size = [], 0
         if rows:
             yield out()
 
@@ -109,29 +192,37 @@ def dot_product_packing(demands: np.ndarray, limits: np.ndarray) -> tuple[np.nda
     order = np.argsort(kind_of, kind="stable")
     left = np.bincount(kind_of, minlength=len(kinds))
     next_of = np.concatenate([[0], np.cumsum(left)[:-1]])
-    share = kinds / limits
+    # kinds are sorted by the first dimension, so those that fit in it come first; spent ones score minus infinity
+    columns, shares = [kinds[:, d] for d in range(kinds.shape[1])], [kinds[:, d] / limits[d] for d in range(kinds.shape[1])]
+    largest = kinds.max(axis=0) if len(kinds) else limits
+    spent = np.zeros(len(kinds))
     sequence = np.empty(len(demands), np.int64)
     offset = np.empty(len(demands), np.int64)
-    live = np.arange(len(kinds))
     placed = number = 0
     while placed < len(demands):
         room = limits.astype(np.int64).copy()
         at = 0
-        while len(live):
-            fits = live[(kinds[live] <= room).all(axis=1)]
-            if not len(fits):
+        while True:
+            n = int(np.searchsorted(columns[0], room[0], side="right"))
+            if not n:
+                break
+            score = shares[0][:n] * (room[0] / limits[0]) + spent[:n]
+            for d in range(1, len(columns)):
+                score += shares[d][:n] * (room[d] / limits[d])
+                if room[d] < largest[d]:
+                    score[columns[d][:n] > room[d]] = -np.inf
+            best = int(score.argmax())
+            if score[best] == -np.inf:
                 break
-            best = fits[np.argmax(share[fits] @ (room / limits))]
-            # as many of this kind as stay the best choice are found one by one: the room changes with each
             item = order[next_of[best]]
             sequence[item], offset[item] = number, at
             next_of[best] += 1
             left[best] -= 1
             at += int(kinds[best][0])
-            room = room - kinds[best]
+            room -= kinds[best]
             placed += 1
             if not left[best]:
-                live = live[live != best]
+                spent[best] = -np.inf
         number += 1
     return sequence, offset
 
