@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from tamarack.llm.common import SAFE_CUT, UnitCache, segments
 
 SEGMENT_CHARS = 1 << 20
-OUT_BYTES = 8 << 20
+OUT_BYTES = 4 << 20
+UNITS_HELD = 150_000
 # byte b is written as the character U+0100 + b: no blank, no control character, no meta symbol of sentencepiece
 _MAPPED = {b: 0x100 + b for b in range(256)}
-_codecs: dict[tuple[str, str], Codec] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
+_tokens: dict[str, list[bytes]] = {}
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -72,18 +74,18 @@ def model_bytes(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + _field(2, trainer) + _field(3, normalizer)
 
 
-class Codec:
-    """Encoder and decoder of one rank file and pre-token pattern, for one worker."""
+class Encoder:
+    """Encoder of one rank file and pre-token pattern, for one worker."""
 
     def __init__(self, path: str, pattern: str):
         import regex
         import sentencepiece
 
-        self.tokens = read_ranks(path)
-        self.ids = {t: i for i, t in enumerate(self.tokens)}
+        tokens = read_ranks(path)
+        self.ids = {t: i for i, t in enumerate(tokens)}
         self.pattern = regex.compile(pattern)
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.tokens))
-        self.cache = UnitCache(self._encode_units)
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(tokens))
+        self.cache = UnitCache(self._encode_units, UNITS_HELD)
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
         """The ids of each unit as little-endian 32-bit integers. A pre-token that is in the vocabulary is its own id."""
@@ -105,14 +107,18 @@ class Codec:
         out = [b"".join(self.cache.values_of(SAFE_CUT.split(s))) for s in segments(text, SEGMENT_CHARS)] if text else []
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, array("I", ids)))
 
+def encoder(path: str, pattern: str) -> Encoder:
+    if (path, pattern) not in _encoders:
+        _encoders[path, pattern] = Encoder(path, pattern)
+    return _encoders[path, pattern]
 
-def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+
+def decode(ids: bytes, path: str) -> bytes:
+    """The bytes of packed ids, joined."""
+    if path not in _tokens:
+        _tokens[path] = read_ranks(path)
+    return b"".join(map(_tokens[path].__getitem__, array("I", ids)))
 
 
 def _by_bytes(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -137,7 +143,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = encoder(path, pattern)
 
         def rows():
             for batch in batches:
@@ -150,20 +156,18 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
 
 
-def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of ``encoded`` (doc_id, n_tokens, ids) with ``decoded``: the bytes of the ids, joined. Null ids give null."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
-
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
                 for doc_id, n, ids in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), strict=True):
                     ids = ids.as_py()
-                    yield doc_id, n, ids, None if ids is None else own.decode(ids)
+                    yield doc_id, n, ids, None if ids is None else decode(ids, path)
 
         yield from _by_bytes(rows(), schema)
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(
-        decode, "doc_id long, n_tokens long, ids binary, decoded binary")
+        decoded, "doc_id long, n_tokens long, ids binary, decoded binary")

@@ -59,7 +59,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode_texts(table(spark, sf_dir, "documents"), path, pattern)
-    return byte_bpe.decode_ids(encoded, path, pattern).select(
+    return byte_bpe.decode_ids(encoded, path).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
