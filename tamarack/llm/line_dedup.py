@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import ascii_lower, ascii_strip, fresh_path, key128
+from tamarack.llm.common import ascii_lower, ascii_strip, fresh_path, key128, materialise, release
 
 NO_ID = -(2**63)
 RUN_SCHEMA = "_h1 long, _h2 long, _n_docs long, _last_doc long"
@@ -114,8 +114,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     runs = LineRuns(spark, min_docs, fanout)
     for part in _batches(docs, batches):
         runs.absorb(_lines(docs.filter(part), min_chars))
-    frequent = runs.frequent().select("_h1", "_h2", "_last_doc")
-    # lines of unique keys find no partner; a hot key is split by the adaptive skew join
+    # written, so that the join below shuffles two plain tables: then the adaptive skew join can split a hot key
+    frequent = materialise(runs.frequent().select("_h1", "_h2", "_last_doc"), "frequent-lines")
+    release(spark)
     dropped = (
         _lines(docs, min_chars).join(frequent, ["_h1", "_h2"]).filter(F.col("_doc") < F.col("_last_doc"))
         .groupBy("_doc", "_text").agg(F.sort_array(F.collect_set("_at")).alias("_drop"))
