@@ -52,8 +52,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = materialise(minhash.near_duplicates(docs, minhash.MinHash(shingle_words=5, percent=80)), "near-duplicates")
     ids = groups.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    # these ids grow with the corpus: joined by merging at every size
     gone = ids.filter(~F.col("kept")).select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     if not ids.filter("kept AND n > 1").isEmpty():
         again = _apart(kept, "doc_id").withColumn("_hash", F.sha2(F.col("_row.text").cast("binary"), 256))
         once = again.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "_hash"])

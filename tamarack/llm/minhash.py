@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.common import materialise
+from tamarack.llm.common import materialise, release
 
-WORDS_HELD = 400_000
+WORDS_HELD = 200_000
 OUT_ROWS = 2000
 
 
@@ -153,10 +153,10 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """node, component (smallest node reachable) of all nodes that have a link in ``links`` (a, b).
 
     Alternates large and small stars: every node links its larger neighbours, then its smaller ones, to its smallest
-    neighbour, until the links are stars. Each round is written to the shared folder.
+    neighbour, until the links are stars: each node has one link, and no centre is linked itself. Each round is
+    written to the shared folder.
     """
     links = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    state = None
     while True:
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -165,12 +165,13 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(
             down.select("u", F.col("m").alias("v"))).distinct()
         links = materialise(small, name)
-        # the links have settled when the set is the same as before: count and two sums of hashes
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (2**40)), F.sum(F.xxhash64("v", "u") % (2**40))).first()
-        if now == state:
+        # per node: its links upwards, and whether it is a centre
+        ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+            links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1")
+        if odd.isEmpty():
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = now
 
 
 def _star_pairs(members: DataFrame, order, method: MinHash, at: str = "node") -> DataFrame:
@@ -200,8 +201,12 @@ def near_duplicates(docs: DataFrame, method: MinHash | None = None) -> DataFrame
     rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("band", "bucket")
     members = materialise(rows.join(shared, ["band", "bucket"]), "bucket-members")
+    # these ids grow with the corpus: joined by merging at every size
     texts = materialise(
-        docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi"), "texts")
+        docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+        .join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "texts")
+    spark = docs.sparkSession
+    release(spark)
 
     tested = materialise(_star_pairs(members, F.col("node"), method), "pairs")
     links = materialise(confirmed(tested, texts, method), "links")
@@ -215,8 +220,10 @@ def near_duplicates(docs: DataFrame, method: MinHash | None = None) -> DataFrame
         new = materialise(confirmed(pairs, texts, method), "links")
         if new.isEmpty():
             break
-        tested, links = tested.union(pairs), links.union(new)
-        found = components(links)
+        tested = tested.union(pairs)
+        # components so far, joined by the new links
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
+        release(spark)
     placed = classes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
         F.col("digest").alias("_digest"), F.coalesce("component", "node").alias("_component"))
     whole = signed.join(placed, F.col("digest") == F.col("_digest"), "left")
