@@ -3,8 +3,9 @@
 One hash per shingle both picks a bin and competes in it, so a signature costs one pass. An empty bin takes the value of
 a random non-empty bin, by a fixed random order of bins per bin (optimal densification). Bands of the signature
 make buckets; a bucket of m documents gives m - 1 candidate pairs with its centre, never all pairs. Pairs are
-confirmed on the full shingle sets. Where a bucket still holds several components after that, other centres are
-tried: first the smallest document, then random ones, until a round finds no link.
+confirmed on the full shingle sets. The first centre is the smallest document, then random ones follow while they find
+links. What is left in buckets that still hold several components is settled exactly: small buckets test all their
+pairs across components, the documents of larger ones meet in a prefix-filter join on their rarest shingles.
 
 Documents of equal sets form a class; only its smallest document goes through the buckets.
 """
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import materialise, release
@@ -27,13 +28,17 @@ OUT_ROWS = 2000
 
 @dataclass(frozen=True)
 class MinHash:
-    """``bands`` of ``band_rows`` bins: at similarity 0.8 a pair shares no bucket with chance (1 - 0.8**4)**24 < 4e-6."""
+    """``bands`` of ``band_rows`` bins: at similarity 0.8 a pair shares no bucket with chance (1 - 0.8**4)**24 < 4e-6.
+
+    ``random_rounds`` and ``small_bucket`` divide the work between the ways of testing; all find the same links.
+    """
 
     shingle_words: int = 5
     percent: int = 80
     bands: int = 24
     band_rows: int = 4
     random_rounds: int = 8
+    small_bucket: int = 8
 
     @property
     def bins(self) -> int:
@@ -184,6 +189,65 @@ def _star_pairs(members: DataFrame, order, method: MinHash, at: str = "node") ->
     return joined.select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b")).distinct()
 
 
+def _bucket_pairs(members: DataFrame, method: MinHash) -> DataFrame:
+    """All pairs of each bucket's members across components, if their sizes allow a link."""
+    other = members.select("band", "bucket", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("at").alias("_at"))
+    joined = members.join(other, ["band", "bucket"]).filter(
+        (F.col("node") > F.col("_node")) & (F.col("at") != F.col("_at"))
+        & (100 * F.least("n", "_n") >= method.percent * F.greatest("n", "_n")))
+    return joined.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
+
+
+def _shingles(texts: DataFrame, method: MinHash) -> DataFrame:
+    """node and token of each distinct shingle of ``texts`` (node, text)."""
+    n = method.shingle_words
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sets, held = [], [], 0
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                members = shingle_set(text.as_py(), n)
+                nodes.append(np.full(len(members), node, np.int64))
+                sets.append(members.view(np.int64))
+                held += len(members)
+                if held >= WORDS_HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sets))], ["node", "token"])
+                    nodes, sets, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sets))], ["node", "token"])
+
+    return texts.select("node", "text").mapInArrow(explode, "node long, token long")
+
+
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame, method: MinHash) -> DataFrame:
+    """A superset of the linked pairs of ``nodes`` (node, n, at) across components ``at``.
+
+    Shingles are ordered by the number of nodes that hold them. Two sets of n and m shingles at the threshold have p (n + m) /
+    (100 + p) in common, so that many follow their first common one in each, itself included (``rest``). Shingles of
+    one node alone come first and are never common: what a family shares stands behind them, and falls out of
+    the prefix where its members are not linked. Members of a token are joined by pairs of components, so that a large
+    linked group forms no pairs within itself.
+    """
+    p = method.percent
+    tokens = _shingles(texts.join(nodes.select("node").hint("merge"), "node", "left_semi"), method)
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    last = Window.partitionBy("node").orderBy(F.desc("f"), F.desc("token"))
+    ranked = tokens.join(common, "token").withColumn("rest", F.row_number().over(last)).join(nodes.hint("merge"), "node")
+    prefix = materialise(ranked.filter(100 * F.col("rest") >= p * F.col("n")).select("token", "node", "n", "at", "rest"), "prefixes")
+    across = prefix.groupBy("token").agg(F.min("at").alias("_x"), F.max("at").alias("_y")).filter("_x < _y").select("token")
+    prefix = prefix.join(across, "token")
+    parts = prefix.select("token", "at").distinct()
+    facing = parts.join(parts.select("token", F.col("at").alias("_at")), "token").filter("at <> _at")
+    # the smaller set of a pair has the shorter prefix
+    small = prefix.filter((100 + p) * F.col("rest") >= 2 * p * F.col("n"))
+    large = prefix.select("token", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("rest").alias("_rest"))
+    joined = small.join(facing, ["token", "at"]).join(large, ["token", "_at"]).filter(
+        ((F.col("n") < F.col("_n")) | ((F.col("n") == F.col("_n")) & (F.col("node") < F.col("_node"))))
+        & (100 * F.col("n") >= p * F.col("_n"))
+        & ((100 + p) * F.least("rest", "_rest") >= p * (F.col("n") + F.col("_n"))))
+    return joined.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, method: MinHash | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text).
 
@@ -211,19 +275,46 @@ def near_duplicates(docs: DataFrame, method: MinHash | None = None) -> DataFrame
     tested = materialise(_star_pairs(members, F.col("node"), method), "pairs")
     links = materialise(confirmed(tested, texts, method), "links")
     found = components(links)
-    for r in range(1, method.random_rounds + 1):
+
+    def still_mixed() -> DataFrame:
+        """The members of buckets with several components: band, bucket, node, n, at (the component) and size of the bucket."""
         placed = members.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
             "band", "bucket", "node", "n", F.coalesce("component", "node").alias("at"))
-        mixed = placed.groupBy("band", "bucket").agg(F.min("at").alias("_x"), F.max("at").alias("_y")).filter("_x < _y").select("band", "bucket")
-        pairs = _star_pairs(placed.join(mixed, ["band", "bucket"]), F.xxhash64("node", "band", F.lit(r)), method, "at")
-        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = materialise(confirmed(pairs, texts, method), "links")
+        mixed = placed.groupBy("band", "bucket").agg(
+            F.min("at").alias("_x"), F.max("at").alias("_y"), F.count(F.lit(1)).alias("size")).filter("_x < _y").select("band", "bucket", "size")
+        return placed.join(mixed, ["band", "bucket"])
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """New links among ``pairs``; they count as tested from now on."""
+        nonlocal tested
+        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), name)
+        tested = tested.union(pairs)
+        return materialise(confirmed(pairs, texts, method), "links")
+
+    def joined_by(new: DataFrame) -> DataFrame:
+        return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
+
+    for r in range(1, method.random_rounds + 1):
+        new = linked(_star_pairs(still_mixed(), F.xxhash64("node", "band", F.lit(r)), method, "at"), "pairs")
         if new.isEmpty():
             break
-        tested = tested.union(pairs)
-        # components so far, joined by the new links
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
+        found = joined_by(new)
         release(spark)
+    # what no centre has met: every pair of small buckets, and the documents of larger ones by their rarest shingles
+    left = materialise(still_mixed().filter("size > 2"), "mixed-members")
+    small = left.filter(F.col("size") <= method.small_bucket)
+    if not small.isEmpty():
+        new = linked(_bucket_pairs(small, method), "bucket-pairs")
+        if not new.isEmpty():
+            found = joined_by(new)
+            left = materialise(still_mixed().filter("size > 2"), "mixed-members")
+    large = materialise(left.filter(F.col("size") > method.small_bucket).select("node", "n", "at").distinct(), "mixed-nodes")
+    if not large.isEmpty():
+        release(spark)
+        new = linked(_prefix_pairs(large, texts, method), "prefix-pairs")
+        if not new.isEmpty():
+            found = joined_by(new)
+    release(spark)
     placed = classes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
         F.col("digest").alias("_digest"), F.coalesce("component", "node").alias("_component"))
     whole = signed.join(placed, F.col("digest") == F.col("_digest"), "left")
