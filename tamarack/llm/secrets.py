@@ -3,6 +3,8 @@
 A candidate's novelty is its marginal compressed size: zstandard, primed with a dictionary of common identifiers
 followed by the text around the candidate (without it), compresses the candidate; the bytes that it takes beyond
 an empty input, per byte of the candidate, are high for random keys and low for words, identifiers and repeats.
+
+A context word stands near a candidate, on either side, or the candidate follows one in context (lines of a block).
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _CONTEXT = re.compile(
     r"pass(?:word|wd|phrase)|pwd|secret|token|api_?key|auth|bearer|credential|private|signature|session|access|\bkey\b", re.ASCII | re.IGNORECASE)
 
+# The last line of a block, too short for a candidate.
+_LAST_LINE = re.compile(r"(?:\\r)?(?:\\n|\r?\n)[ \t]*([A-Za-z0-9+/=]{1,15})(?=(?:\\r|\\n|\s)*-----END)")
+
 # Identifiers that code and configuration repeat; a parameter of the operator.
 IDENTIFIERS = (
     "access_key_id secret_access_key client_secret client_id api_key apikey auth_token access_token refresh_token id_token "
@@ -41,10 +46,14 @@ IDENTIFIERS = (
 
 @dataclass(frozen=True)
 class Novelty:
-    """``share``: least marginal compressed bytes per byte; ``near``: characters before a candidate that make its context."""
+    """``share``: least marginal compressed bytes per byte; ``near``: characters before and behind a candidate that make its context.
+
+    ``apart``: characters that may stand between two parts of one token or block.
+    """
 
     share: float = 0.5
     near: int = 64
+    apart: int = 2
     around: int = 1024
     level: int = 3
     identifiers: str = field(default=IDENTIFIERS, repr=False)
@@ -61,8 +70,41 @@ def marginal_share(candidate: str, around: str, novelty: Novelty) -> float:
     return (len(zstd.compress(raw)) - len(zstd.compress(b""))) / len(raw)
 
 
-def _mixed(s: str) -> bool:
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+def _judged(s: str) -> bool:
+    """Whether the compressed size is to decide: for digits with letters, and for letters whose case changes often.
+
+    Letters of one case and numbers are left out: a rare word is as new to the compressor as a key is.
+    """
+    if any(c.isdigit() for c in s):
+        return any(c.isalpha() for c in s)
+    letters = [c.isupper() for c in s if c.isalpha()]
+    return 4 * sum(a != b for a, b in zip(letters, letters[1:], strict=False)) >= len(s)
+
+
+def _in_context(text: str, novelty: Novelty) -> list[tuple[int, int]]:
+    """Spans of the candidates that have a context word within ``near`` characters, or belong to one that has.
+
+    Context goes on to the next candidate within ``near`` characters, so it reaches every line of a block, and back to
+    one at most ``apart`` characters before, so that a word behind a token of several parts counts for all of them.
+    """
+    spans = [m.span() for m in _CANDIDATE.finditer(text)]
+    if not spans:
+        return []
+    words = [m.span() for m in _CONTEXT.finditer(text)]
+    if not words:
+        return []
+    near, inside, at = novelty.near, [], 0
+    for i, (start, end) in enumerate(spans):
+        # a word counts if it lies whole within reach and outside the candidate
+        while at < len(words) and words[at][0] < start - near:
+            at += 1
+        j = at
+        while j < len(words) and words[j][1] > start and words[j][0] < end:
+            j += 1
+        inside.append(j < len(words) and words[j][1] <= end + near or i > 0 and inside[-1] and start - spans[i - 1][1] <= near)
+    for i in range(len(spans) - 2, -1, -1):
+        inside[i] = inside[i] or inside[i + 1] and spans[i + 1][0] - spans[i][1] <= novelty.apart
+    return [span for span, yes in zip(spans, inside, strict=True) if yes]
 
 
 def find_secrets(text: str | None, novelty: Novelty) -> list[tuple[str, int, int, float | None]]:
@@ -79,18 +121,24 @@ def find_secrets(text: str | None, novelty: Novelty) -> list[tuple[str, int, int
     found += [("hex", *m.span(), None) for m in _HEX.finditer(text)]
     base = sorted((s, e) for _, s, e, _ in found)
     at, covered = 0, -1  # base spans that start before the candidate ends, and how far they reach
-    for m in _CANDIDATE.finditer(text):
-        start, end = m.span()
+
+    def novel(start: int, end: int) -> float:
+        around = text[max(0, start - novelty.around):start] + " " + text[end:end + novelty.around]
+        around = around.replace(text[start:end], " ")  # a key that is written twice is novel twice
+        return marginal_share(text[start:end], around, novelty)
+
+    for start, end in _in_context(text, novelty):
         while at < len(base) and base[at][0] < end:
             covered = max(covered, base[at][1])
             at += 1
-        if covered > start or not _mixed(m.group()) or not _CONTEXT.search(text, max(0, start - novelty.near), start):
+        if covered > start or not _judged(text[start:end]):
             continue
-        around = text[max(0, start - novelty.around):start] + " " + text[end:end + novelty.around]
-        around = around.replace(m.group(), " ")  # a key that is written twice is novel twice
-        share = marginal_share(m.group(), around, novelty)
+        share = novel(start, end)
         if share >= novelty.share:
             found.append(("novel", start, end, share))
+            last = _LAST_LINE.match(text, end)
+            if last:
+                found.append(("novel", *last.span(1), novel(*last.span(1))))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
