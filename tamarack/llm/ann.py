@@ -5,7 +5,7 @@ shifted by a random vector, are ordered along a Hilbert curve. Spark range-parti
 A query looks at the ``window`` neighbours on either side of it on each curve; windows are cut from blocks of
 neighbouring ranks, in which candidates are ranked by their exact cosine, and the best of all curves are merged.
 
-Equal vectors form a class, which stands on the curves once; its smallest ids answer for it.
+Vectors of equal direction form a class, which stands on the curves once; its smallest ids answer for it.
 """
 
 from __future__ import annotations
@@ -23,11 +23,14 @@ from tamarack.llm.common import key128, materialise
 
 @dataclass(frozen=True)
 class Curves:
-    """``curves`` orderings of ``dims`` projected dimensions with ``bits`` bits each (64 bits at most in all)."""
+    """``curves`` orderings of ``dims`` projected dimensions with ``bits`` bits each.
+
+    The bits tell apart what lies in a dense group.
+    """
 
     curves: int = 32
     dims: int = 16
-    bits: int = 4
+    bits: int = 24
     window: int = 768
     seed: int = 7
 
@@ -40,8 +43,16 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Positions on the Hilbert curve of grid cells (points by dimensions, each below 2**bits), as unsigned 64-bit.
 
     Undoes the rotations and reflections of the sub-cubes from the coarsest bit to the finest, then reads the bits
-    of all dimensions in turn through a Gray code.
+    of all dimensions in turn through a Gray code. 64 bits at most in all.
     """
+    key = np.zeros(len(cells), np.uint64)
+    for bit in hilbert_bits(cells, bits):
+        key = (key << np.uint64(1)) | bit
+    return key
+
+
+def hilbert_bits(cells: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The bits of the positions, the first one first."""
     x = [c.astype(np.uint64) for c in cells.T]
     n = len(x)
     one = np.uint64(1)
@@ -58,11 +69,9 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     flip = np.zeros_like(x[0])
     for level in range(bits - 1, 0, -1):
         flip = np.where((x[n - 1] >> np.uint64(level)) & one == one, flip ^ np.uint64((1 << level) - 1), flip)
-    key = np.zeros_like(x[0])
     for level in range(bits - 1, -1, -1):
         for i in range(n):
-            key = (key << one) | (((x[i] ^ flip) >> np.uint64(level)) & one)
-    return key
+            yield ((x[i] ^ flip) >> np.uint64(level)) & one
 
 
 def _projection(dim: int, curve: int, c: Curves) -> tuple[np.ndarray, np.ndarray]:
@@ -73,11 +82,19 @@ def _projection(dim: int, curve: int, c: Curves) -> tuple[np.ndarray, np.ndarray
 
 
 def curve_keys(unit: np.ndarray, curve: int, c: Curves) -> np.ndarray:
-    """Sortable signed keys of unit vectors on one curve. The grid spans eight deviations of a projection and its shift."""
+    """Sortable keys of unit vectors on one curve, as rows of bytes. The grid spans eight deviations of a projection and its shift."""
     basis, shift = _projection(unit.shape[1], curve, c)
     scaled = (unit @ basis) * np.sqrt(unit.shape[1]) / 16 + 0.25 + shift / 2
     cells = np.clip(scaled * (1 << c.bits), 0, (1 << c.bits) - 1).astype(np.uint64)
-    return (hilbert_keys(cells, c.bits) ^ np.uint64(1 << 63)).view(np.int64)
+    return np.packbits(np.stack([b.astype(np.uint8) for b in hilbert_bits(cells, c.bits)], axis=1), axis=1)
+
+
+def _direction(v: Column) -> Column:
+    """The vector at length 1, in whole multiples of 2**-40."""
+    most = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    scaled = F.transform(v, lambda x: x.cast("double") / most)
+    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(scaled, lambda x: F.round(x / length * float(1 << 40)).cast("long"))
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -100,12 +117,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     Candidates are all rows but the query's own. The score is the cosine in double precision; ties go to the smaller
     id. Null vectors and ids, zero vectors and vectors with null or non-finite components take no part. Vectors are
     compared with those of the same length. Rows that repeat id and vector count once; other columns are not read; an
-    empty table gives an empty result. The number of candidates per query is bounded by curves * 2 * window, whatever
-    the number of vectors is: recall is measured against brute force in the tests and the README.
+    empty table gives an empty result. Candidates per query are bounded by curves * 2 * the window, which follows the
+    number of vectors: recall is measured against brute force in the tests and the README.
     """
     c = curves or Curves()
     usable = _usable(vectors, id_col, vector_col)
-    h1, h2 = key128(F.col("vec"))
+    h1, h2 = key128(_direction(F.col("vec")))
     keyed = usable.select("id", h1.alias("h1"), h2.alias("h2"), is_query.alias("asks"))
     ids = materialise(keyed.distinct(), "vector-ids")
     classes = ids.groupBy("h1", "h2").agg(F.min("id").alias("cls"), F.max("asks").alias("asks"))
@@ -114,7 +131,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         usable.withColumns({"h1": h1, "h2": h2}).join(classes, ["h1", "h2"]).filter("id = cls")
         .select("cls", "asks", "vec", F.size("vec").alias("dim")).dropDuplicates(["cls", "dim"]), "class-vectors")
 
-    key_schema = pa.schema([("dim", pa.int32()), ("curve", pa.int32()), ("key", pa.int64()), ("cls", pa.int64()), ("asks", pa.bool_())])
+    key_schema = pa.schema([("dim", pa.int32()), ("curve", pa.int32()), ("key", pa.binary()), ("cls", pa.int64()), ("asks", pa.bool_())])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,13 +143,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                 for curve in range(c.curves):
                     n = len(unit)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, curve, np.int32)), pa.array(curve_keys(unit, curve, c)),
+                        pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, curve, np.int32)), pa.array([k.tobytes() for k in curve_keys(unit, curve, c)], pa.binary()),
                         part["cls"].combine_chunks(), part["asks"].combine_chunks()], schema=key_schema)
 
     ordered = materialise(
-        reps.mapInArrow(keys, "dim int, curve int, key long, cls long, asks boolean")
+        reps.mapInArrow(keys, "dim int, curve int, key binary, cls long, asks boolean")
         .repartitionByRange("dim", "curve", "key", "cls").sortWithinPartitions("dim", "curve", "key", "cls")
-        .withColumn("place", F.monotonically_increasing_id()), "curve-order")
+        .withColumn("place", F.monotonically_increasing_id()).drop("key"), "curve-order")
+    window, length = c.window, c.block
     # ranks on a curve: rows of earlier partitions, then the place in the own one; one row per curve and partition
     part = F.shiftright("place", 33)
     before = Window.partitionBy("dim", "curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -140,8 +158,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         "dim", "curve", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
     ranked = ordered.withColumn("part", part).join(F.broadcast(starts), ["dim", "curve", "part"]).select(
         "dim", "curve", "cls", "asks", (F.col("place") + F.col("shift")).alias("rank"))
-    block = F.floor(F.col("rank") / c.block)
-    touched = F.sequence(F.floor(F.greatest(F.col("rank") - c.window, F.lit(0)) / c.block), F.floor((F.col("rank") + c.window) / c.block))
+    block = F.floor(F.col("rank") / length)
+    touched = F.sequence(F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / length), F.floor((F.col("rank") + window) / length))
     # every class stands in its own block as a candidate; a query also in each block that its window touches
     placed = ranked.select("dim", "curve", "cls", "rank", F.explode(F.when(
         F.col("asks"), F.concat(F.array(F.struct(block.alias("block"), F.lit(False).alias("asks"))),
@@ -160,7 +178,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         for at in range(0, len(q), 256):
             rows = q[at:at + 256]
             score = (m[rows] @ m[x].T) / norm[rows][:, None] / norm[x]
-            score[np.abs(rank[rows][:, None] - rank[x]) > c.window] = -np.inf
+            score[np.abs(rank[rows][:, None] - rank[x]) > window] = -np.inf
             top = min(k + 1, len(x))  # the query's own class may be one of them
             kth = np.partition(score, len(x) - top, axis=1)[:, len(x) - top] if len(x) else None
             for i, row in enumerate(rows if len(x) else ()):

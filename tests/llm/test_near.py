@@ -181,6 +181,26 @@ def test_nearest_recall_over_many_blocks(spark):
     assert sum(hits) >= 0.9 * 5 * len(hits)
 
 
+def test_nearest_in_a_dense_group(spark):
+    rng = np.random.default_rng(11)
+    m = rng.standard_normal((6000, 24))
+    m[:2000] = m[0] + 1e-4 * rng.standard_normal((2000, 24))  # a third are near copies of one vector
+    rng.shuffle(m)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = found(ann.nearest(df, F.col("id") % 10 == 0, curves=ann.Curves(curves=24, window=64)))
+    dense = [len({v for v, _ in got[q]} & set(best)) for q, best, score in neighbours_by_hand(m, 5) if np.sort(score)[-1000] > 0.9999]
+    assert len(dense) > 100 and sum(dense) >= 0.9 * 5 * len(dense)
+
+
+def test_nearest_among_scaled_copies(spark):
+    rng = np.random.default_rng(12)
+    m = rng.standard_normal((900, 24))
+    m[:600] = m[0] * (2.0 ** (np.arange(600) % 40))[:, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = found(ann.nearest(df, F.col("id") == 599, curves=ann.Curves(curves=4, window=16)))
+    assert [i for i, _ in got[599]] == [0, 1, 2, 3, 4]
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (20, [1.0])], "vec_id int, embedding array<double>")
     got = found(ann.nearest(df, F.col("id") % 10 == 0))
