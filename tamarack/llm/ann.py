@@ -20,23 +20,27 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.common import key128, materialise
 
+# Ranks of a block at most: it is held by one task, with its scores for some queries.
+BLOCK = 16_384
+
 
 @dataclass(frozen=True)
 class Curves:
     """``curves`` orderings of ``dims`` projected dimensions with ``bits`` bits each.
 
-    The bits tell apart what lies in a dense group.
+    The bits tell apart what lies in a dense group. A window takes in ``window`` ranks on either side, and one
+    row in ``share`` of larger tables, so that recall does not fall with the number of vectors.
     """
 
     curves: int = 32
     dims: int = 16
     bits: int = 24
     window: int = 768
+    share: int = 66
     seed: int = 7
 
-    @property
-    def block(self) -> int:
-        return 2 * self.window
+    def window_of(self, rows: int) -> int:
+        return max(self.window, -(-rows // self.share))
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -150,7 +154,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         reps.mapInArrow(keys, "dim int, curve int, key binary, cls long, asks boolean")
         .repartitionByRange("dim", "curve", "key", "cls").sortWithinPartitions("dim", "curve", "key", "cls")
         .withColumn("place", F.monotonically_increasing_id()).drop("key"), "curve-order")
-    window, length = c.window, c.block
+    window = c.window_of(reps.count())
+    length = min(2 * window, BLOCK)
     # ranks on a curve: rows of earlier partitions, then the place in the own one; one row per curve and partition
     part = F.shiftright("place", 33)
     before = Window.partitionBy("dim", "curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -201,6 +201,14 @@ def test_nearest_among_scaled_copies(spark):
     assert [i for i, _ in got[599]] == [0, 1, 2, 3, 4]
 
 
+def test_windows_follow_the_number_of_rows(spark):
+    _, df = vectors(spark, 700)
+    few = ann.Curves(curves=2, window=4, share=1)
+    got = found(ann.nearest(df, F.col("id") % 50 == 0, curves=few))
+    whole = found(ann.nearest(df, F.col("id") % 50 == 0, curves=ann.Curves(window=2000)))
+    assert got == whole and ann.Curves().window_of(660_000) == 10_000
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (20, [1.0])], "vec_id int, embedding array<double>")
     got = found(ann.nearest(df, F.col("id") % 10 == 0))
