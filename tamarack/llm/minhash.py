@@ -3,11 +3,10 @@
 One hash per shingle both picks a bin and competes in it, so a signature costs one pass. An empty bin takes the value of
 a random non-empty bin, by a fixed random order of bins per bin (optimal densification). Bands of the signature
 make buckets; a bucket of m documents gives m - 1 candidate pairs with its centre, never all pairs. Pairs are
-confirmed on the full shingle sets. The first centre is the smallest document, then random ones follow while they find
-links. What is left in buckets that still hold several components is settled exactly: small buckets test all their
-pairs across components, the documents of larger ones meet in a prefix-filter join on their rarest shingles.
+confirmed on the full shingle sets. The documents of buckets that still hold several components are settled exactly, on
+their sets, in prefix trees (:func:`tamarack.llm.ngram_join.joined_links`): no pair is formed but the links found there.
 
-Documents of equal sets form a class; only its smallest document goes through the buckets.
+Documents of equal sets form a class with an id of its own; only one of its documents goes through the buckets.
 """
 
 from __future__ import annotations
@@ -17,77 +16,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.common import materialise, release
-
-WORDS_HELD = 200_000
-OUT_ROWS = 2000
+from tamarack.llm.ngram_join import NgramJoin, joined_links
+from tamarack.llm.sets import class_texts, classes_of, components, is_rep, keyed, mix, shingle_set, with_components
 
 
 @dataclass(frozen=True)
 class MinHash:
-    """``bands`` of ``band_rows`` bins: at similarity 0.8 a pair shares no bucket with chance (1 - 0.8**4)**24 < 4e-6.
-
-    ``random_rounds`` and ``small_bucket`` divide the work between the ways of testing; all find the same links.
-    """
+    """``bands`` of ``band_rows`` bins: at similarity 0.8 a pair shares no bucket with chance (1 - 0.8**4)**24 < 4e-6."""
 
     shingle_words: int = 5
     percent: int = 80
     bands: int = 24
     band_rows: int = 4
-    random_rounds: int = 8
-    small_bucket: int = 8
 
     @property
     def bins(self) -> int:
         return self.bands * self.band_rows
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words; starts anew when it holds ``WORDS_HELD`` words."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= WORDS_HELD:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-_words = _WordHashes()
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads every bit."""
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
-def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the n-word shingles of a text; of all its words, if they are fewer.
-
-    Words are runs of anything but ASCII blanks, with A-Z lower-cased. No words: an empty set.
-    """
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    width = min(n, len(words))
-    total = np.full(len(words) - width + 1, width, np.uint64)
-    for i in range(width):
-        # a different odd factor for each position
-        total = _mix(total) + hashes[i:len(words) - width + 1 + i] * np.uint64(2 * i + 0x9E3779B97F4A7C15)
-    return np.unique(_mix(total))
-
-
 class _Signer:
     def __init__(self, method: MinHash):
         k = method.bins
@@ -105,29 +55,29 @@ class _Signer:
         filled = np.diff(np.append(starts, len(members))) > 0
         source = self.order[np.arange(len(starts)), filled[self.order].argmax(axis=1)]
         signature = members[starts[source]].reshape(self.method.bands, self.method.band_rows)
-        return _mix((_mix(signature) * self.factors).sum(axis=1, dtype=np.uint64)).view(np.int64)
+        return mix((mix(signature) * self.factors).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
-def signatures(docs: DataFrame, method: MinHash) -> DataFrame:
-    """doc_id, n_shingles, digest (16 bytes of the whole set; null for an empty set) and bands of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+def signatures(rows: DataFrame, method: MinHash) -> DataFrame:
+    """doc_id, h1, h2, n, digest (16 bytes of the whole set; null for an empty set) and bands of each row of ``keyed``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()),
+                        ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         signer = _Signer(method)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            n, digest, bands = [], [], []
+            for text in batch.column(1):
                 members = shingle_set(text.as_py(), method.shingle_words)
-                if len(members):
-                    rows.append((doc_id, len(members), xxhash.xxh128_digest(members.tobytes()), signer.bands(members)))
-                else:
-                    rows.append((doc_id, 0, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                n.append(len(members))
+                digest.append(xxhash.xxh128_digest(members.tobytes()) if len(members) else None)
+                bands.append(signer.bands(members) if len(members) else None)
+            columns = [batch.column(0), batch.column(2), batch.column(3), n, digest, bands]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    return narrow.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return rows.mapInArrow(sign, "doc_id long, h1 long, h2 long, n long, digest binary, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, method: MinHash) -> DataFrame:
@@ -154,98 +104,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, method: MinHash) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb").mapInArrow(check, "a long, b long").distinct()
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """node, component (smallest node reachable) of all nodes that have a link in ``links`` (a, b).
-
-    Alternates large and small stars: every node links its larger neighbours, then its smaller ones, to its smallest
-    neighbour, until the links are stars: each node has one link, and no centre is linked itself. Each round is
-    written to the shared folder.
-    """
-    links = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    while True:
-        both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(
-            down.select("u", F.col("m").alias("v"))).distinct()
-        links = materialise(small, name)
-        # per node: its links upwards, and whether it is a centre
-        ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
-            links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1")
-        if odd.isEmpty():
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def _star_pairs(members: DataFrame, order, method: MinHash, at: str = "node") -> DataFrame:
-    """Pairs of each bucket's members with its centre, the smallest by ``order``, if their sizes allow a link."""
-    centres = members.groupBy("band", "bucket").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("node"), F.col("n").alias("n"),
-                                                                   F.col(at).alias("at"))).alias("c"))
+def _star_pairs(members: DataFrame, method: MinHash) -> DataFrame:
+    """Pairs of each bucket's members with its centre, the smallest, if their sizes allow a link."""
+    centres = members.groupBy("band", "bucket").agg(F.min(F.struct("node", "n")).alias("c"))
     joined = members.join(centres, ["band", "bucket"]).filter(
-        (F.col("node") != F.col("c.node")) & (F.col(at) != F.col("c.at"))
+        (F.col("node") != F.col("c.node"))
         & (100 * F.least(F.col("n"), F.col("c.n")) >= method.percent * F.greatest(F.col("n"), F.col("c.n"))))
-    return joined.select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b")).distinct()
-
-
-def _bucket_pairs(members: DataFrame, method: MinHash) -> DataFrame:
-    """All pairs of each bucket's members across components, if their sizes allow a link."""
-    other = members.select("band", "bucket", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("at").alias("_at"))
-    joined = members.join(other, ["band", "bucket"]).filter(
-        (F.col("node") > F.col("_node")) & (F.col("at") != F.col("_at"))
-        & (100 * F.least("n", "_n") >= method.percent * F.greatest("n", "_n")))
-    return joined.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
-
-
-def _shingles(texts: DataFrame, method: MinHash) -> DataFrame:
-    """node and token of each distinct shingle of ``texts`` (node, text)."""
-    n = method.shingle_words
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sets, held = [], [], 0
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                members = shingle_set(text.as_py(), n)
-                nodes.append(np.full(len(members), node, np.int64))
-                sets.append(members.view(np.int64))
-                held += len(members)
-                if held >= WORDS_HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sets))], ["node", "token"])
-                    nodes, sets, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sets))], ["node", "token"])
-
-    return texts.select("node", "text").mapInArrow(explode, "node long, token long")
-
-
-def _prefix_pairs(nodes: DataFrame, texts: DataFrame, method: MinHash) -> DataFrame:
-    """A superset of the linked pairs of ``nodes`` (node, n, at) across components ``at``.
-
-    Shingles are ordered by the number of nodes that hold them. Two sets of n and m shingles at the threshold have p (n + m) /
-    (100 + p) in common, so that many follow their first common one in each, itself included (``rest``). Shingles of
-    one node alone come first and are never common: what a family shares stands behind them, and falls out of
-    the prefix where its members are not linked. Members of a token are joined by pairs of components, so that a large
-    linked group forms no pairs within itself.
-    """
-    p = method.percent
-    tokens = _shingles(texts.join(nodes.select("node").hint("merge"), "node", "left_semi"), method)
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
-    last = Window.partitionBy("node").orderBy(F.desc("f"), F.desc("token"))
-    ranked = tokens.join(common, "token").withColumn("rest", F.row_number().over(last)).join(nodes.hint("merge"), "node")
-    prefix = materialise(ranked.filter(100 * F.col("rest") >= p * F.col("n")).select("token", "node", "n", "at", "rest"), "prefixes")
-    across = prefix.groupBy("token").agg(F.min("at").alias("_x"), F.max("at").alias("_y")).filter("_x < _y").select("token")
-    prefix = prefix.join(across, "token")
-    parts = prefix.select("token", "at").distinct()
-    facing = parts.join(parts.select("token", F.col("at").alias("_at")), "token").filter("at <> _at")
-    # the smaller set of a pair has the shorter prefix
-    small = prefix.filter((100 + p) * F.col("rest") >= 2 * p * F.col("n"))
-    large = prefix.select("token", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("rest").alias("_rest"))
-    joined = small.join(facing, ["token", "at"]).join(large, ["token", "_at"]).filter(
-        ((F.col("n") < F.col("_n")) | ((F.col("n") == F.col("_n")) & (F.col("node") < F.col("_node"))))
-        & (100 * F.col("n") >= p * F.col("_n"))
-        & ((100 + p) * F.least("rest", "_rest") >= p * (F.col("n") + F.col("_n"))))
-    return joined.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
+    return joined.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, method: MinHash | None = None) -> DataFrame:
@@ -257,67 +122,35 @@ def near_duplicates(docs: DataFrame, method: MinHash | None = None) -> DataFrame
     is null and they are kept. Other columns are not read; an empty table gives an empty result.
     """
     method = method or MinHash()
-    signed = materialise(signatures(docs, method), "signatures")
-    part = signed.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    classes = materialise(part.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = part.join(classes, (part["digest"] == classes["digest"]) & (part["doc_id"] == classes["node"])).select(
-        "node", F.col("n_shingles").alias("n"), "bands")
-    rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
-    shared = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("band", "bucket")
-    members = materialise(rows.join(shared, ["band", "bucket"]), "bucket-members")
-    # these ids grow with the corpus: joined by merging at every size
-    texts = materialise(
-        docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-        .join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "texts")
     spark = docs.sparkSession
+    rows = keyed(docs)
+    signed = materialise(signatures(rows, method), "signatures")
+    narrow = signed.drop("bands")
+    classes = classes_of(narrow, "classes")
+    # these ids grow with the corpus: joined by merging at every size; a repeated row gives its bands again
+    reps = signed.join(classes.drop("digest").hint("merge"), is_rep()).select("node", "n", F.posexplode("bands").alias("band", "bucket")).distinct()
+    banded = materialise(reps, "bands")
+    shared = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("band", "bucket")
+    members = materialise(banded.join(shared, ["band", "bucket"]), "bucket-members")
+    candidates = classes.drop("digest").join(members.select("node").distinct().hint("merge"), "node", "left_semi")
+    texts = materialise(class_texts(rows, candidates), "texts")
     release(spark)
 
-    tested = materialise(_star_pairs(members, F.col("node"), method), "pairs")
+    tested = materialise(_star_pairs(members, method), "pairs")
     links = materialise(confirmed(tested, texts, method), "links")
     found = components(links)
-
-    def still_mixed() -> DataFrame:
-        """The members of buckets with several components: band, bucket, node, n, at (the component) and size of the bucket."""
-        placed = members.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
-            "band", "bucket", "node", "n", F.coalesce("component", "node").alias("at"))
-        mixed = placed.groupBy("band", "bucket").agg(
-            F.min("at").alias("_x"), F.max("at").alias("_y"), F.count(F.lit(1)).alias("size")).filter("_x < _y").select("band", "bucket", "size")
-        return placed.join(mixed, ["band", "bucket"])
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """New links among ``pairs``; they count as tested from now on."""
-        nonlocal tested
-        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), name)
-        tested = tested.union(pairs)
-        return materialise(confirmed(pairs, texts, method), "links")
-
-    def joined_by(new: DataFrame) -> DataFrame:
-        return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
-
-    for r in range(1, method.random_rounds + 1):
-        new = linked(_star_pairs(still_mixed(), F.xxhash64("node", "band", F.lit(r)), method, "at"), "pairs")
-        if new.isEmpty():
-            break
-        found = joined_by(new)
-        release(spark)
-    # what no centre has met: every pair of small buckets, and the documents of larger ones by their rarest shingles
-    left = materialise(still_mixed().filter("size > 2"), "mixed-members")
-    small = left.filter(F.col("size") <= method.small_bucket)
-    if not small.isEmpty():
-        new = linked(_bucket_pairs(small, method), "bucket-pairs")
-        if not new.isEmpty():
-            found = joined_by(new)
-            left = materialise(still_mixed().filter("size > 2"), "mixed-members")
-    large = materialise(left.filter(F.col("size") > method.small_bucket).select("node", "n", "at").distinct(), "mixed-nodes")
-    if not large.isEmpty():
+    release(spark)
+    placed = members.join(found.hint("merge"), "node", "left").select("band", "bucket", "node", F.coalesce("component", "node").alias("at"))
+    # two members have met as centre and member; larger buckets may hold links that no centre shows
+    mixed = placed.groupBy("band", "bucket").agg(F.min("at").alias("_x"), F.max("at").alias("_y"), F.count(F.lit(1)).alias("size")).filter(
+        "_x < _y AND size > 2").select("band", "bucket")
+    left = materialise(placed.join(mixed.hint("merge"), ["band", "bucket"]).select("node", "at").distinct(), "mixed-nodes")
+    if not left.isEmpty():
         release(spark)
-        new = linked(_prefix_pairs(large, texts, method), "prefix-pairs")
+        exact = NgramJoin(words=method.shingle_words, percent=method.percent)
+        new = joined_links(texts.join(left.select("node").hint("merge"), "node", "left_semi"), left, exact)
         if not new.isEmpty():
-            found = joined_by(new)
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
     release(spark)
-    placed = classes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
-        F.col("digest").alias("_digest"), F.coalesce("component", "node").alias("_component"))
-    whole = signed.join(placed, F.col("digest") == F.col("_digest"), "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("_component", "doc_id"))
-    return whole.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return with_components(narrow, classes, found).select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

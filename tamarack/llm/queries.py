@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import ann, byte_bpe, line_dedup, minhash, packing, quality, secrets, sharding, sql, token_counts, warc
+from tamarack.llm import ann, byte_bpe, line_dedup, minhash, ngram_join, packing, quality, secrets, sharding, sql, token_counts, warc
 from tamarack.llm.common import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHash(shingle_words=4))
 
 
+@query("op13_ngram_join", sql.NGRAM_JOIN)
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), ngram_join.NgramJoin(words=4, percent=85))
+
+
 @query("op1_secret_scans")
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan_secrets(table(spark, sf_dir, "documents"))

@@ -59,7 +59,7 @@ FROM x LEFT JOIN bad ON x.doc_id = bad.doc_id
 """
 
 # Pairs share at least one shingle, so the similarity join is an equality join on shingles.
-NEAR_DUPLICATES = r"""
+_COMPONENTS = r"""
 WITH RECURSIVE b AS (SELECT doc_id, translate(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),
 w AS (SELECT doc_id, CASE WHEN s = '' THEN CAST([] AS VARCHAR[]) ELSE regexp_split_to_array(s, '[\x20\x09-\x0D]+') END AS words FROM b),
@@ -67,8 +67,9 @@ g AS (SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN CAST([] AS VARCHAR[])
         ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END) AS shingle FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM g x JOIN g y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
-e AS (SELECT i.a, i.b FROM i JOIN n p ON p.doc_id = i.a JOIN n q ON q.doc_id = i.b WHERE 100 * common >= 80 * (p.n + q.n - common)),
+e AS (SELECT i.a, i.b FROM i JOIN n p ON p.doc_id = i.a JOIN n q ON q.doc_id = i.b WHERE 100 * common >= %d * (p.n + q.n - common)),
 r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON r.doc_id = e.a AND r.root < e.b),
 c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
-SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id
 """
+NEAR_DUPLICATES = _COMPONENTS % 80 + "SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id"
+NGRAM_JOIN = _COMPONENTS % 85 + "SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM c LEFT JOIN n ON n.doc_id = c.doc_id"

@@ -73,36 +73,24 @@ def template_family(members=500, pairs=60):
     return [f"{passage} {t}" for t in tails]
 
 
-@pytest.mark.parametrize("small_bucket", [8, 100_000])
-def test_near_duplicates_within_a_template_family(spark, small_bucket):
+def test_near_duplicates_within_a_template_family(spark):
     rows = list(enumerate(template_family()))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = minhash.near_duplicates(docs, minhash.MinHash(shingle_words=4, small_bucket=small_bucket)).collect()
+    got = minhash.near_duplicates(docs, minhash.MinHash(shingle_words=4)).collect()
     want = groups_by_hand(rows, 4)
     assert len({c for _, c in want.values()}) == len(rows) - 60
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
-def test_prefix_join_holds_all_links_and_few_others(spark):
-    texts = template_family(120, 30) + [prose(7, 200), edited(prose(7, 200), 60, "x"), " ".join(prose(7, 200).split()[:185])]
-    method = minhash.MinHash(shingle_words=4)
-    sets = [minhash.shingle_set(t, 4) for t in texts]
-    nodes = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(sets)], "node long, n long, at long")
-    table = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    got = {(r.a, r.b) for r in minhash._prefix_pairs(nodes, table, method).collect()}
-    want = {(a, b) for a in range(len(sets)) for b in range(a)
-            if 100 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - c)}
-    assert want and want <= got
-    assert len(got) <= 2 * len(want)  # of 7503 pairs: what the family shares forms none
-
-
 def test_near_duplicates_of_odd_rows(spark):
     text = prose(7, 80)
     rows = [(None, text), (None, None), (5, text), (5, text), (3, text), (9, None), (9, ""), (7, "same id"), (7, "another text")]
+    rows += [(7, edited(text, 60, "new")), (2, None), (2, "alone by its own text")]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows)
-    assert all(r.component_id == {5: 3, 3: 3, 9: 9, 7: 7, None: None}[r.doc_id] for r in got)
-    assert all(r.kept for r in got if r.doc_id != 5) and not any(r.kept for r in got if r.doc_id == 5)
+    own = {5: [3, 3], 3: [3], 9: [9, 9], 7: [3, 7, 7], 2: [2, 2], None: [None, None]}
+    assert {d: sorted((r.component_id for r in got if r.doc_id == d), key=str) for d in own} == own
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     assert minhash.near_duplicates(empty_documents(spark)).collect() == []
 
 
