@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import ann, byte_bpe, line_dedup, minhash, ngram_join, packing, quality, secrets, sharding, sql, token_counts, warc
+from tamarack.llm import ann, byte_bpe, filter_audit, hard_negatives, line_dedup, minhash, ngram_join, packing, quality, secrets, sharding, sql, token_counts, warc
 from tamarack.llm.common import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,17 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHash(shingle_words=4))
 
 
+@query("op11_filter_audit", sql.FILTER_AUDIT)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_hard_negatives", sql.HARD_NEGATIVES)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label, F.col("id") % 50 == 0)
+
+
 @query("op13_ngram_join", sql.NGRAM_JOIN)
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), ngram_join.NgramJoin(words=4, percent=85))

@@ -73,3 +73,46 @@ c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
 """
 NEAR_DUPLICATES = _COMPONENTS % 80 + "SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id"
 NGRAM_JOIN = _COMPONENTS % 85 + "SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM c LEFT JOIN n ON n.doc_id = c.doc_id"
+
+FILTER_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+b AS (SELECT *, trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM d),
+w AS (SELECT *, CASE WHEN s = '' THEN CAST([] AS VARCHAR[]) ELSE regexp_split_to_array(s, '[\x20\x09-\x0D]+') END AS words FROM b),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, doc_id, CASE WHEN len(words) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+             + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM w),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (l.good) AS good, count(*) FILTER (l.toxic) AS toxic
+      FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY part, mask),
+x(c, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT p.c || q.c || r.c || s.c || t.c AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits FROM x p, x q, x r, x s, x t
+      WHERE p.bit | q.bit | r.bit | s.bit | t.bit = 31),
+k AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS own, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS BIGINT) AS before
+      FROM o, generate_series(1, 5) AS g(step)),
+a AS (SELECT part, filter_order, step, own, sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c, k GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM a
+"""
+
+HARD_NEGATIVES = r"""
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a_id, a.label = x.label AS same, x.vec_id, CAST(list_dot_product(a.q, x.q) AS BIGINT) AS score
+      FROM v a JOIN v x ON a.vec_id <> x.vec_id AND len(a.q) = len(x.q) WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same),
+n AS (SELECT p.a_id, p.vec_id AS p_id, p.score AS p_score, s.vec_id AS n_id, s.score AS n_score,
+             row_number() OVER (PARTITION BY p.a_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS r
+      FROM p JOIN s ON p.a_id = s.a_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.r <= 5)
+SELECT a_id AS anchor_id, p_id AS positive_id, CAST(r AS INTEGER) AS rank, n_id AS negative_id, p_score AS positive_score, n_score AS negative_score
+FROM n WHERE r <= 3
+"""
