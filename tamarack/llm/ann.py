@@ -1,9 +1,10 @@
 """Nearest neighbours by cosine over shifted space-filling curves.
 
 Vectors are scaled to length 1 and projected to a few dimensions, differently for each curve; the projected points,
-shifted by a random vector, are ordered along a Hilbert curve. Spark range-partitions and sorts the keys of all curves.
-A query looks at the ``window`` neighbours on either side of it on each curve; windows are cut from blocks of
-neighbouring ranks, in which candidates are ranked by their exact cosine, and the best of all curves are merged.
+shifted by a random vector, are ordered along a Hilbert curve. The keys of a curve are cut into ranges, which Spark deals
+to its tasks. A query meets the candidates of its own range and of the neighbouring ones; they are ranked by their exact
+cosine, and the best of all curves are merged. A few curves run at a time, so that vectors are shuffled a few times over
+and no more, however many curves there are.
 
 Vectors of equal direction form a class, which stands on the curves once; its smallest ids answer for it.
 """
@@ -15,32 +16,38 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tamarack.llm.common import key128, materialise
-
-# Ranks of a block at most: it is held by one task, with its scores for some queries.
-BLOCK = 16_384
+from tamarack.llm.common import materialise, release
 
 
 @dataclass(frozen=True)
 class Curves:
     """``curves`` orderings of ``dims`` projected dimensions with ``bits`` bits each.
 
-    The bits tell apart what lies in a dense group. A window takes in ``window`` ranks on either side, and one
-    row in ``share`` of larger tables, so that recall does not fall with the number of vectors.
+    The bits tell apart what lies in a dense group. A curve is cut into ``slices`` ranges (fewer if they would hold less
+    than ``least_slice`` vectors) at quantiles of the keys of ``sample`` vectors; a window is a query's range and
+    ``reach`` ranges on either side, so that its share of the table, and with it recall, does not fall with the rows.
+    ``together`` curves are shuffled at once; a task holds about ``block_rows`` candidates and ``block_queries`` queries.
     """
 
-    curves: int = 32
+    curves: int = 16
     dims: int = 16
     bits: int = 24
-    window: int = 768
-    share: int = 66
+    slices: int = 64
+    reach: int = 2
+    least_slice: int = 512
+    sample: int = 8192
+    together: int = 2
+    block_rows: int = 16_384
+    block_queries: int = 4096
     seed: int = 7
 
-    def window_of(self, rows: int) -> int:
-        return max(self.window, -(-rows // self.share))
+    def slices_of(self, rows: int) -> int:
+        return max(1, min(self.slices, rows // self.least_slice))
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -93,121 +100,166 @@ def curve_keys(unit: np.ndarray, curve: int, c: Curves) -> np.ndarray:
     return np.packbits(np.stack([b.astype(np.uint8) for b in hilbert_bits(cells, c.bits)], axis=1), axis=1)
 
 
-def _direction(v: Column) -> Column:
-    """The vector at length 1, in whole multiples of 2**-40."""
-    most = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-    scaled = F.transform(v, lambda x: x.cast("double") / most)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(scaled, lambda x: F.round(x / length * float(1 << 40)).cast("long"))
-
-
-def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    v = F.col(vector_col)
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & fine).select(
-        F.col(id_col).cast("long").alias("id"), v.alias("vec"))
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks()
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of equal length as doubles; null components become NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-            curves: Curves | None = None) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the ``k`` nearest found for each row that ``is_query`` (on ``id``) marks.
+def directions(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str) -> DataFrame:
+    """id, asks, dim, (h1, h2) and vec of the rows that take part; the hash is that of the direction, to 2**-40."""
+    kind = vectors.schema[vector_col].dataType.elementType
+    element = kind if isinstance(kind, T.FloatType) else T.DoubleType()
+    own = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(T.ArrayType(element)).alias("vec"))
+    own = own.select("id", F.coalesce(is_query, F.lit(False)).alias("asks"), "vec")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    Candidates are all rows but the query's own. The score is the cosine in double precision; ties go to the smaller
-    id. Null vectors and ids, zero vectors and vectors with null or non-finite components take no part. Vectors are
-    compared with those of the same length. Rows that repeat id and vector count once; other columns are not read; an
-    empty table gives an empty result. Candidates per query are bounded by curves * 2 * the window, which follows the
-    number of vectors: recall is measured against brute force in the tests and the README.
-    """
-    c = curves or Curves()
-    usable = _usable(vectors, id_col, vector_col)
-    h1, h2 = key128(_direction(F.col("vec")))
-    keyed = usable.select("id", h1.alias("h1"), h2.alias("h2"), is_query.alias("asks"))
-    ids = materialise(keyed.distinct(), "vector-ids")
-    classes = ids.groupBy("h1", "h2").agg(F.min("id").alias("cls"), F.max("asks").alias("asks"))
-    # the vector of a class is that of its smallest id
-    reps = materialise(
-        usable.withColumns({"h1": h1, "h2": h2}).join(classes, ["h1", "h2"]).filter("id = cls")
-        .select("cls", "asks", "vec", F.size("vec").alias("dim")).dropDuplicates(["cls", "dim"]), "class-vectors")
-
-    key_schema = pa.schema([("dim", pa.int32()), ("curve", pa.int32()), ("key", pa.binary()), ("cls", pa.int64()), ("asks", pa.bool_())])
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for dim in table["dim"].unique().to_pylist():
-                part = table.filter(pa.compute.equal(table["dim"], dim))
-                m = _matrix(part["vec"])
-                unit = m / np.linalg.norm(m, axis=1)[:, None]
-                for curve in range(c.curves):
-                    n = len(unit)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, curve, np.int32)), pa.array([k.tobytes() for k in curve_keys(unit, curve, c)], pa.binary()),
-                        part["cls"].combine_chunks(), part["asks"].combine_chunks()], schema=key_schema)
-
-    ordered = materialise(
-        reps.mapInArrow(keys, "dim int, curve int, key binary, cls long, asks boolean")
-        .repartitionByRange("dim", "curve", "key", "cls").sortWithinPartitions("dim", "curve", "key", "cls")
-        .withColumn("place", F.monotonically_increasing_id()).drop("key"), "curve-order")
-    window = c.window_of(reps.count())
-    length = min(2 * window, BLOCK)
-    # ranks on a curve: rows of earlier partitions, then the place in the own one; one row per curve and partition
-    part = F.shiftright("place", 33)
-    before = Window.partitionBy("dim", "curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ordered.groupBy("dim", "curve", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).select(
-        "dim", "curve", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    ranked = ordered.withColumn("part", part).join(F.broadcast(starts), ["dim", "curve", "part"]).select(
-        "dim", "curve", "cls", "asks", (F.col("place") + F.col("shift")).alias("rank"))
-    block = F.floor(F.col("rank") / length)
-    touched = F.sequence(F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / length), F.floor((F.col("rank") + window) / length))
-    # every class stands in its own block as a candidate; a query also in each block that its window touches
-    placed = ranked.select("dim", "curve", "cls", "rank", F.explode(F.when(
-        F.col("asks"), F.concat(F.array(F.struct(block.alias("block"), F.lit(False).alias("asks"))),
-                                F.transform(touched, lambda b: F.struct(b.alias("block"), F.lit(True).alias("asks")))))
-        .otherwise(F.array(F.struct(block.alias("block"), F.lit(False).alias("asks"))))).alias("b")).select(
-        "dim", "curve", "cls", "rank", "b.block", "b.asks")
-    blocks = placed.join(reps.select("cls", "dim", "vec"), ["cls", "dim"])
-    found_schema = pa.schema([("q", pa.int64()), ("cls", pa.int64()), ("score", pa.float64())])
-
-    def rerank(table: pa.Table) -> pa.Table:
-        asks = table["asks"].to_numpy()
-        rank, cls, m = table["rank"].to_numpy(), table["cls"].to_numpy(), _matrix(table["vec"])
+            lengths = pc.list_value_length(batch.column(2))
+            for dim in [d for d in pc.unique(lengths).to_pylist() if d]:
+                part = batch.filter(pc.equal(lengths, dim))
+                m = _matrix(part.column(2))
+                fine = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
+                part, m = part.filter(pa.array(fine)), m[fine]
+                scaled = m / np.abs(m).max(axis=1, initial=0, keepdims=True)
+                length = np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+                whole = np.rint(scaled / length * float(1 << 40)).astype(np.int64)
+                keys = np.frombuffer(b"".join(xxhash.xxh128_digest(w.tobytes()) for w in whole), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(np.full(len(m), dim, np.int32)), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), part.column(2)],
+                    ["id", "asks", "dim", "h1", "h2", "vec"])
+
+    return own.mapInArrow(hashed, f"id long, asks boolean, dim int, h1 long, h2 long, vec array<{element.simpleString()}>")
+
+
+def _sortable(keys: np.ndarray) -> np.ndarray:
+    """Rows of bytes as byte strings, which numpy can search."""
+    return np.frombuffer(np.ascontiguousarray(keys).tobytes(), f"S{keys.shape[1]}")
+
+
+def _cuts(classes: DataFrame, rows: dict[int, int], c: Curves) -> dict[int, list[np.ndarray]]:
+    """Per vector length and curve, the keys at which ranges begin, from a bounded sample."""
+    sample = classes.orderBy(F.xxhash64("node"), "node").limit(c.sample).select("dim", "vec").collect()
+    cuts = {}
+    for dim in {r.dim for r in sample}:
+        m = np.array([r.vec for r in sample if r.dim == dim], np.float64)
+        unit = m / np.linalg.norm(m, axis=1)[:, None]
+        n = c.slices_of(rows[dim])
+        at = np.arange(1, n) * len(m) // n
+        cuts[dim] = [np.sort(_sortable(curve_keys(unit, curve, c)))[at] for curve in range(c.curves)]
+    return cuts
+
+
+def _ranked(k: int):
+    """The k best classes of each query in a block: rows of node, asks and vec."""
+    def run(table: pa.Table) -> pa.Table:
+        asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
+        node, m = table["node"].to_numpy(), _matrix(table["vec"])
         norm = np.linalg.norm(m, axis=1)
         q, x = np.flatnonzero(asks), np.flatnonzero(~asks)
         out_q, out_x, out_s = [], [], []
-        for at in range(0, len(q), 256):
+        top = min(k, len(x))
+        for at in range(0, len(q) if top else 0, 256):
             rows = q[at:at + 256]
             score = (m[rows] @ m[x].T) / norm[rows][:, None] / norm[x]
-            score[np.abs(rank[rows][:, None] - rank[x]) > window] = -np.inf
-            top = min(k + 1, len(x))  # the query's own class may be one of them
-            kth = np.partition(score, len(x) - top, axis=1)[:, len(x) - top] if len(x) else None
-            for i, row in enumerate(rows if len(x) else ()):
-                near = np.flatnonzero((score[i] >= kth[i] - 1e-12) & np.isfinite(score[i]))
-                exact = np.einsum("j,ij->i", m[row], m[x[near]]) / (norm[row] * norm[x[near]])
-                best = np.lexsort((cls[x[near]], -exact))[:top]
-                out_q.append(np.full(len(best), cls[row]))
-                out_x.append(cls[x[near]][best])
+            kth = np.partition(score, len(x) - top, axis=1)[:, len(x) - top]
+            for i, row in enumerate(rows):
+                near = x[score[i] >= kth[i] - 1e-12]
+                exact = np.einsum("j,ij->i", m[row], m[near]) / (norm[row] * norm[near])
+                best = np.lexsort((node[near], -exact))[:top]
+                out_q.append(np.full(len(best), node[row]))
+                out_x.append(node[near][best])
                 out_s.append(exact[best])
         columns = [np.concatenate(o) if o else np.empty(0) for o in (out_q, out_x, out_s)]
-        return pa.Table.from_arrays([pa.array(v.astype(t)) for v, t in zip(columns, (np.int64, np.int64, np.float64), strict=True)], schema=found_schema)
+        return pa.Table.from_arrays([pa.array(v.astype(t)) for v, t in zip(columns, (np.int64, np.int64, np.float64), strict=True)], names=["q", "node", "score"])
+
+    return run
 
-    found = blocks.groupBy("dim", "curve", "block").applyInArrow(rerank, "q long, cls long, score double")
-    pairs = found.groupBy("q", "cls").agg(F.max("score").alias("score"))
-    by_class = Window.partitionBy("q").orderBy(F.desc("score"), "cls")
-    best = pairs.withColumn("r", F.row_number().over(by_class)).filter(F.col("r") <= k + 1).select("q", "cls", "score")
+
+def _along(classes: DataFrame, curves: list[int], cuts: dict, shape: dict[int, tuple[int, int]], k: int, c: Curves) -> DataFrame:
+    """q, node and score of the best candidates of each query on some curves. ``shape``: blocks of candidates and of queries per range."""
+    kind = classes.schema["vec"].dataType.simpleString()
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for dim in pc.unique(table["dim"]).to_pylist():
+                part = table.filter(pc.equal(table["dim"], dim)).combine_chunks()
+                n_x, n_q = shape[dim]
+                m = _matrix(part["vec"])
+                unit = m / np.linalg.norm(m, axis=1)[:, None]
+                node, asks = part["node"].to_numpy(), np.flatnonzero(part["asks"].to_numpy(zero_copy_only=False).astype(bool))
+                for curve in curves:
+                    starts = cuts[dim][curve] if dim in cuts else np.zeros(0, "S1")
+                    own = np.searchsorted(starts, _sortable(curve_keys(unit, curve, c)), "right")
+
+                    def out(rows: np.ndarray, ranges: np.ndarray, x: np.ndarray, a: np.ndarray, asking: bool) -> pa.RecordBatch:
+                        n = len(rows)
+                        columns = [np.full(n, dim, np.int32), np.full(n, curve, np.int32), ranges.astype(np.int32), x.astype(np.int32), a.astype(np.int32)]
+                        return pa.RecordBatch.from_arrays(
+                            [*map(pa.array, columns), pa.array(node[rows]), pa.array(np.full(n, asking)), part["vec"].combine_chunks().take(pa.array(rows))],
+                            ["dim", "curve", "slice", "x", "a", "node", "asks", "vec"])
+
+                    every = np.arange(len(node))
+                    for a in range(n_q):
+                        yield out(every, own, node % n_x, np.full(len(node), a), False)
+                    for step in range(-c.reach, c.reach + 1):
+                        there = own[asks] + step
+                        rows, ranges = asks[(there >= 0) & (there <= len(starts))], there[(there >= 0) & (there <= len(starts))]
+                        for x in range(n_x if len(rows) else 0):
+                            yield out(rows, ranges, np.full(len(rows), x), node[rows] % n_q, True)
+
+    placed = classes.select("node", "asks", "dim", "vec").mapInArrow(
+        dealt, f"dim int, curve int, slice int, x int, a int, node long, asks boolean, vec {kind}")
+    return placed.groupBy("dim", "curve", "slice", "x", "a").applyInArrow(_ranked(k), "q long, node long, score double")
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
+            curves: Curves | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the ``k`` nearest found for each row that ``is_query`` (on ``id``) marks.
+
+    Candidates are all rows but the query's own. The score is the cosine in double precision (of vectors of equal
+    direction, that of the one with the smallest id); ties go to the smaller id. Null vectors and ids, zero vectors and
+    vectors with null or non-finite components take no part. Vectors are compared with those of the same length. Rows that
+    repeat an id count once if their directions are equal; an id with several directions counts by its best one, as
+    a query and as a neighbour, and never neighbours itself. Other columns are not read; an empty table gives an empty
+    result. Recall is measured against brute force in the tests and the README.
+    """
+    c = curves or Curves()
+    spark = vectors.sparkSession
+    usable = materialise(directions(vectors, is_query, id_col, vector_col), "directions")
+    # a class has an id of its own: vectors of several directions may share theirs
+    first = usable.groupBy("h1", "h2", "dim").agg(F.min(F.struct("id", "vec")).alias("r"), F.max("asks").alias("asks"))
+    classes = materialise(first.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "dim", "asks", F.col("r.vec").alias("vec")), "class-vectors")
+    ids = materialise(usable.select("id", "asks", "h1", "h2", "dim").distinct()
+                      .join(classes.select("node", "h1", "h2", "dim"), ["h1", "h2", "dim"]).select("id", "asks", "node"), "vector-ids")
+    # one row per vector length
+    counts = {r.dim: (r.n, r.q) for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asks").cast("long")).alias("q")).collect()}
+    cuts = _cuts(classes, {d: n for d, (n, _) in counts.items()}, c)
+    shape = {}
+    for dim, (n, q) in counts.items():
+        ranges = c.slices_of(n) if dim in cuts else 1
+        shape[dim] = max(1, -(-n // (ranges * c.block_rows))), max(1, -(-q * (2 * c.reach + 1) // (ranges * c.block_queries)))
+    several = 2 * (k + 1)
+    found = None
+    for at in range(0, c.curves, c.together):
+        part = materialise(_along(classes, list(range(at, min(c.curves, at + c.together))), cuts, shape, several, c), "found")
+        found = part if found is None else found.union(part)
+        release(spark)
+    pairs = found.groupBy("q", "node").agg(F.max("score").alias("score"))
+    by_class = Window.partitionBy("q").orderBy(F.desc("score"), "node")
+    best = pairs.withColumn("r", F.row_number().over(by_class)).filter(F.col("r") <= several).select("q", "node", "score")
     # the smallest ids of each class: more than k + 1 can never be needed
-    own = ids.join(classes.select("h1", "h2", "cls"), ["h1", "h2"]).select("id", "cls", "asks")
-    small = own.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).filter(F.col("r") <= k + 1).select("cls", F.col("id").alias("vec_id"))
-    answers = best.join(small, "cls").select("q", "vec_id", "score")
-    short = answers.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
-    asked = own.filter("asks").select(F.col("id").alias("query_id"), F.col("cls").alias("q"))
+    small = ids.select("id", "node").distinct().withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).filter(
+        F.col("r") <= k + 1).select("node", F.col("id").alias("vec_id"))
+    answers = best.join(small, "node").select("q", "vec_id", "score")
+    asked = ids.filter("asks").select(F.col("id").alias("query_id"), F.col("node").alias("q")).distinct()
+    per_id = asked.join(answers, "q").filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        asked.join(short, "q").filter("query_id <> vec_id").withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
-        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    )
+    return per_id.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -164,7 +164,7 @@ def test_nearest_is_exact_while_windows_cover_all(spark):
 
 def test_nearest_recall_over_many_blocks(spark):
     m, df = vectors(spark, 3000)
-    got = found(ann.nearest(df, F.col("id") % 10 == 0, curves=ann.Curves(curves=24, window=100)))
+    got = found(ann.nearest(df, F.col("id") % 10 == 0, curves=ann.Curves(curves=24, slices=45, reach=1, least_slice=1)))
     hits = [len({v for v, _ in got[q]} & set(best)) for q, best, _ in neighbours_by_hand(m, 5)]
     assert sum(hits) >= 0.9 * 5 * len(hits)
 
@@ -175,7 +175,7 @@ def test_nearest_in_a_dense_group(spark):
     m[:2000] = m[0] + 1e-4 * rng.standard_normal((2000, 24))  # a third are near copies of one vector
     rng.shuffle(m)
     df = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>").repartition(4)
-    got = found(ann.nearest(df, F.col("id") % 10 == 0, curves=ann.Curves(curves=24, window=64)))
+    got = found(ann.nearest(df, F.col("id") % 10 == 0, curves=ann.Curves(curves=24, slices=120, reach=1, least_slice=1, together=8)))
     dense = [len({v for v, _ in got[q]} & set(best)) for q, best, score in neighbours_by_hand(m, 5) if np.sort(score)[-1000] > 0.9999]
     assert len(dense) > 100 and sum(dense) >= 0.9 * 5 * len(dense)
 
@@ -185,16 +185,29 @@ def test_nearest_among_scaled_copies(spark):
     m = rng.standard_normal((900, 24))
     m[:600] = m[0] * (2.0 ** (np.arange(600) % 40))[:, None]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>").repartition(4)
-    got = found(ann.nearest(df, F.col("id") == 599, curves=ann.Curves(curves=4, window=16)))
+    got = found(ann.nearest(df, F.col("id") == 599, curves=ann.Curves(curves=4, slices=8, reach=1, least_slice=1)))
     assert [i for i, _ in got[599]] == [0, 1, 2, 3, 4]
 
 
-def test_windows_follow_the_number_of_rows(spark):
+def test_blocks_divide_the_work_only(spark):
     _, df = vectors(spark, 700)
-    few = ann.Curves(curves=2, window=4, share=1)
+    few = ann.Curves(curves=2, slices=4, reach=3, least_slice=1, block_rows=40, block_queries=3, together=1)
     got = found(ann.nearest(df, F.col("id") % 50 == 0, curves=few))
-    whole = found(ann.nearest(df, F.col("id") % 50 == 0, curves=ann.Curves(window=2000)))
-    assert got == whole and ann.Curves().window_of(660_000) == 10_000
+    whole = found(ann.nearest(df, F.col("id") % 50 == 0))
+    assert got == whole and ann.Curves().slices_of(700) == 1 and ann.Curves().slices_of(10**9) == 64
+
+
+def test_nearest_with_repeated_ids(spark):
+    """An id with several directions counts by its best one, is no neighbour of its own, and no neighbour comes twice."""
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.2]), (1, [2.0, 0.0]), (2, [1.0, 0.3]), (2, [0.0, 1.0]), (3, [-1.0, 0.1]), (4, [0.5, 0.5]), (4, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(ann.nearest(df, F.col("id") == 1, k=5))
+
+    def cosine(a, b):
+        return np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+
+    best = {j: max(cosine(a, b) for i, a in rows if i == 1 for x, b in rows if x == j) for j in (2, 3, 4)}
+    assert [(v, pytest.approx(s)) for v, s in got[1]] == sorted(best.items(), key=lambda x: -x[1])
 
 
 def test_nearest_of_few(spark):
