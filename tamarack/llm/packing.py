@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,11 +40,43 @@ _encoders: dict[str, UnitCache] = {}
 
 @dataclass(frozen=True)
 class Limits:
-    """Of one sequence; ``segments`` bounds the attention blocks, ``loss_tokens`` the tokens that bear loss."""
+    """Of one sequence; ``segments`` bounds the attention blocks, ``loss_tokens`` the tokens that bear loss.
+
+    The last one binds where a sequence has less than ``tokens - loss_tokens`` segments, whose first tokens bear none.
+    """
 
     tokens: int = 4096
     segments: int = 256
-    loss_tokens: int = 4096
+    loss_tokens: int = 4084
+
+    @property
+    def longest_piece(self) -> int:
+        """Tokens of a piece that fits a sequence, if all but the first bear loss."""
+        return min(self.tokens, self.loss_tokens + 1)
+
+
+class _Words(UnitCache):
+    """A cache that is asked once per word, repeated or not: most words of a batch are held."""
+
+    def values_of(self, units: list) -> list:
+        values = list(map(self.get, units))
+        if None not in values:
+            return values
+        gaps = [i for i, v in enumerate(values) if v is None]
+        missing = list({units[i]: None for i in gaps})
+        older = self.older
+        new = {u: older[u] for u in missing if u in older}
+        rest = [u for u in missing if u not in new] if new else missing
+        if rest:
+            new.update(zip(rest, self.encode(rest), strict=True))
+        if len(self) + len(new) > self.limit:
+            self.older = dict(self)
+            self.clear()
+        longest = self.longest
+        self.update(new if max(map(len, new)) <= longest else {u: v for u, v in new.items() if len(u) <= longest})
+        for i in gaps:
+            values[i] = new[units[i]]
+        return values
 
 
 def _word_encoder(path: str):
@@ -114,7 +147,7 @@ def _word_encoder(path: str):
 def _encoder(path: str) -> UnitCache:
     """The worker's cache of the ids (packed 32-bit integers) of words for a tokenizer file that drops white space and case."""
     if path not in _encoders:
-        _encoders[path] = UnitCache(_word_encoder(path))
+        _encoders[path] = _Words(_word_encoder(path))
     return _encoders[path]
 
 
@@ -131,14 +164,16 @@ def encode_words(texts: list[str | None], path: str) -> list[bytes]:
     return [b"".join(values[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def encode_pieces(docs: DataFrame, path: str, end_id: int, max_tokens: int = 4096) -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, end_id: int, max_tokens: int = Limits().longest_piece, checksums: bool = False) -> DataFrame:
     """Pieces of at most ``max_tokens`` ids of the documents (doc_id, text): doc_id, start, length, doc_tokens, ids.
 
+    With ``checksums``, ids_crc32 (unsigned) stands in place of the ids, which then never leave the worker.
+
     A document's ids are those of its text by the tokenizer file at ``path``, then ``end_id``; ``doc_tokens`` counts them
     all, ``start`` those before the piece; ``ids`` are little-endian unsigned 32-bit integers. All pieces but the last
     have ``max_tokens`` ids. Null and empty text has the end id alone. One document per row, repeated or not.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids_crc32", pa.int64()) if checksums else ("ids", pa.binary())])
     end = array("I", [end_id]).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +203,8 @@ def encode_pieces(docs: DataFrame, path: str, end_id: int, max_tokens: int = 409
             n = len(ids) // 4
             for start in range(0, n, max_tokens):
                 piece = ids[4 * start:4 * (start + max_tokens)]
-                rows.append((doc_id, start, len(piece) // 4, n, piece))
-                size += len(piece)
+                rows.append((doc_id, start, len(piece) // 4, n, zlib.crc32(piece) if checksums else piece))
+                size += 64 if checksums else len(piece)
             if size >= OUT_BYTES:
                 yield out()
                 rows, size = [], 0
@@ -177,7 +212,7 @@ def encode_pieces(docs: DataFrame, path: str, end_id: int, max_tokens: int = 409
             yield out()
 
     return docs.select("doc_id", "text").mapInArrow(
-        encode, "doc_id long, start long, length long, doc_tokens long, ids binary")
+        encode, f"doc_id long, start long, length long, doc_tokens long, {'ids_crc32 long' if checksums else 'ids binary'}")
 
 
 def dot_product_packing(demands: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,8 +291,3 @@ def pack(pieces: DataFrame, limits: Limits | None = None, loss: str | None = Non
         yield from rows.to_batches(max_chunksize=10_000)
 
     return pieces.select(*[F.col(f"`{c}`") for c in columns]).repartition(tasks).mapInArrow(packed, schema)
-
-
-def with_crc(pieces: DataFrame) -> DataFrame:
-    """Pieces with a checksum in place of their ids."""
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

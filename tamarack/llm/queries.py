@@ -65,8 +65,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return packing.pack(materialise(packing.with_crc(pieces), "pieces"))
+    pieces = packing.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, checksums=True)
+    return packing.pack(materialise(pieces, "pieces"))
 
 
 @query("op10_minhash", sql.NEAR_DUPLICATES)

@@ -115,17 +115,35 @@ def test_packing(spark, library):
             part = ids[at:at + 512]
             yield at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))
 
-    made = packing.with_crc(packing.encode_pieces(docs, WORDS, 2, max_tokens=512))
+    made = packing.encode_pieces(docs, WORDS, 2, max_tokens=512, checksums=True)
     for limits in (packing.Limits(512, 256, 512), packing.Limits(512, 3, 512), packing.Limits(512, 256, 511)):
         rows = packing.pack(made, limits).collect()
         n = check_packed(rows, limits, pieces)
         assert {r.doc_id for r in rows} == set(texts)
         if limits.segments == 256 and limits.loss_tokens == 512:
             assert sum(r.length for r in rows) > 0.9 * 512 * n
-    nothing = packing.with_crc(packing.encode_pieces(empty_documents(spark), WORDS, 2))
+    nothing = packing.encode_pieces(empty_documents(spark), WORDS, 2, checksums=True)
     assert packing.pack(nothing).collect() == []
 
 
+def test_limits_of_the_registered_query(spark, tmp_path):
+    """All three limits hold at the production parameters, the one on loss binds, and little is padded."""
+    from tamarack.llm.queries import QUERIES
+
+    docs = documents(spark, [prose(i, n) for i, n in enumerate([9000, 20_000, 3, 40, 2500] * 8)] + ["x"] * 3000, extra=False)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op9_packing"](spark, str(tmp_path)).collect()
+    limits = packing.Limits()
+    used = defaultdict(lambda: [0, 0, 0])
+    for r in rows:
+        for i, n in enumerate((r.length, 1, max(r.length - 1, 0))):
+            used[r.sequence_id][i] += n
+    assert all(t <= limits.tokens and s <= limits.segments and n <= limits.loss_tokens for t, s, n in used.values())
+    assert any(n == limits.loss_tokens and t < limits.tokens for t, _, n in used.values())
+    assert any(s == limits.segments for _, s, _ in used.values())
+    assert sum(t for t, _, _ in used.values()) > 0.9 * limits.tokens * len(used)
+
+
 def test_packing_keeps_columns_and_null_ids(spark):
     pieces = spark.createDataFrame([(None, 5, "x", 9), (2**60 + 1, None, "y", 8), (2**60 + 1, 7, None, None)], "doc_id long, length int, sequence_id string, own int")
     got = packing.pack(pieces, packing.Limits(8, 2, 8), loss="length")
