@@ -69,8 +69,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens, packed into sequences of at most 4096."""
-    pieces = packing.encode_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return packing.pack(materialise(packing.with_crc(pieces), "pieces"))
+    pieces = packing.encode_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, checksums=True)
+    return packing.pack(materialise(pieces, "pieces"))
 
 
 STAGES = [
