@@ -76,11 +76,12 @@ def alike(signed: DataFrame, classes: DataFrame) -> DataFrame:
     prefix and l more, holds the first l of them (in the order of the hashes).
     """
     # every join on ids of the corpus merges, at every size
-    reps = materialise(signed.join(classes.drop("digest").hint("merge"), is_rep()).select("node", "asked", "head"), "heads")
-    tokens = reps.select("node", "asked", F.explode("head").alias("token"))
+    reps = signed.join(classes.drop("digest").hint("merge"), is_rep())
+    tokens = reps.select("node", F.explode("head").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("node").alias("_x"), F.max("node").alias("_y")).filter("_x < _y").select("token")
     # a row that stands twice in the table counts twice: its class passes the filter the easier
-    enough = tokens.join(shared.hint("merge"), "token").groupBy("node", "asked").agg(F.count(F.lit(1)).alias("c")).filter("c >= asked")
+    hits = tokens.join(shared.hint("merge"), "token").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+    enough = hits.join(reps.select("node", "asked").hint("merge"), "node").filter("c >= asked")
     return materialise(classes.join(enough.select("node").hint("merge"), "node", "left_semi"), "alike")
 
 
