@@ -54,13 +54,18 @@ def clean_requests(requests: DataFrame) -> DataFrame:
     })
 
 
+# Words that state a place, a customer or a price in an idea.
 _PLACES_IN_IDEA = ("india", "us", "usa", "united states", "uk", "united kingdom", "canada", "australia", "germany", "singapore",
                    "uae", "chennai", "mumbai", "delhi", "bangalore", "hyderabad", "pune")
-_CUSTOMERS_IN_IDEA = terms.with_plurals((
-    "hospital", "clinic", "doctor", "dentist", "physician", "practice", "patient", "lab", "student", "developer", "college",
-    "school", "enterprise", "team", "user", "smb", "client", "firm", "startup", "organization", "merchant",
-)) + ("diagnostic", "pathology", "pharmacy", "pharmacies", "nursing home", "insurance", "payer", "radiology", "university",
-      "universities", "company", "companies", "business", "businesses")
+_CUSTOMERS_IN_IDEA = (
+    "hospital", "hospitals", "clinic", "clinics", "doctor", "doctors", "dentist", "dentists", "physician",
+    "physicians", "practice", "practices", "patient", "patients", "lab", "labs", "student", "students", "developer",
+    "developers", "college", "colleges", "school", "schools", "enterprise", "enterprises", "team", "teams", "user",
+    "users", "smb", "smbs", "client", "clients", "firm", "firms", "startup", "startups", "organization",
+    "organizations", "merchant", "merchants", "diagnostic", "pathology", "pharmacy", "pharmacies", "nursing home",
+    "insurance", "payer", "radiology", "university", "universities", "company", "companies", "business",
+    "businesses",
+)
 _PRICING_IN_IDEA = ("per month", "/month", "per year", "/year", "annual subscription", "monthly subscription", "per doctor",
                     "per clinic", "per hospital", "per user", "per seat", "per employee", "per team", "rs", "inr", "usd", "$", "₹",
                     "pricing", "subscription", "tier", "plan", "freemium")

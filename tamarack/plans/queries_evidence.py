@@ -145,13 +145,18 @@ def corroborated(spark, sf):
 
 
 @query("syndicated", """
-WITH d AS (SELECT source, regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') AS c FROM documents)
+WITH d AS (SELECT coalesce(source, '') AS source, 'd' || doc_id AS url, regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') AS c FROM documents)
 SELECT source, CAST(count(*) AS BIGINT) AS documents, count(*) FILTER (length(c) > 30) > count(DISTINCT c) FILTER (length(c) > 30) AS is_syndicated
 FROM d GROUP BY source""")
 def syndicated(spark, sf):
-    c = F.regexp_replace(tx.low(F.col("text")), r"\s+", " ")
-    d = corpus.table(spark, sf, "documents").select("source", F.when(F.length(c) > 30, F.xxhash64(c)).alias("c"))
-    return d.groupBy("source").agg(F.count("*").alias("documents"), (F.count("c") > F.countDistinct("c")).alias("is_syndicated"))
+    """Groups of one claim per source: whether a text of theirs is republished."""
+    none = F.lit(None).cast("double")
+    claims = corpus.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("candidate_id"), F.coalesce("source", F.lit("")).alias("metric"), F.lit("count").alias("metric_type"), F.lit(1.0).alias("value"),
+        none.alias("range_min"), none.alias("range_max"), F.lit("users").alias("unit"), F.lit("India").alias("geography"), F.lit(2024).alias("year"),
+        F.concat(F.lit("https://d.org/"), F.col("doc_id").cast("string")).alias("source_url"), F.col("text").alias("source_context"))
+    g = ev.duplicate_groups(claims)
+    return g.select(F.col("metric").alias("source"), F.col("n_claims").alias("documents"), "is_syndicated")
 
 
 @query("distinct_provenance", f"""

@@ -11,7 +11,6 @@ from tamarack.functions.operand import is_usable, operand
 from tamarack.operators import classify as cls
 from tamarack.operators import discovery as dis
 from tamarack.operators import requests as req
-from tamarack.operators.sizing import bottom_up
 from tamarack.plans import analyze as an
 from tamarack.plans import corpus
 from tamarack.plans.registry import query
@@ -143,10 +142,13 @@ SELECT CAST(k AS VARCHAR) AS request_id, concat_ws(',',
   CASE WHEN country = 0 AND k % 5 NOT IN (0, 3) THEN 'target_country' END,
   CASE WHEN k % 6 <> 0 AND k % 5 IN (1, 2, 4) AND NOT (k % 5 = 4) THEN 'customer_type' END,
   CASE WHEN NOT ((k % 7 = 0 AND round(abs(c_acctbal), 0) > 0) OR k % 11 = 0 OR k % 5 IN (0, 3, 4)) THEN 'pricing_basis' END,
+  CASE WHEN k % 5 = 1 AND k % 4 = 2 THEN 'clinical_use' END,
   CASE WHEN k % 5 = 1 THEN 'emr_ehr_integration_required' END) AS missing FROM c""")
 def missing_fields(spark, sf):
-    df = req.missing_fields(req.clean_requests(raw_requests(spark, sf)))
-    return df.select("request_id", F.array_join(F.filter("missing_fields", lambda x: x != "clinical_use"), ",").alias("missing"))
+    asked = raw_requests(spark, sf)
+    asked = asked.withColumn("clinical_use", F.when(F.col("request_id").cast("long") % 4 != 2, F.col("clinical_use")))
+    df = req.missing_fields(req.clean_requests(asked))
+    return df.select("request_id", F.array_join("missing_fields", ",").alias("missing"))
 
 
 @query("derive_business", """
@@ -159,7 +161,17 @@ def derive_business(spark, sf):
     return df.select("request_id", F.col("healthcare_saas_category").alias("category"), F.col("target_country").alias("country"), "pricing_model")
 
 
-@query("market_strategy")
+@query("market_strategy", """
+WITH c AS (SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'Clinic Management SaaS' WHEN 1 THEN 'EHR/EMR SaaS' WHEN 4 THEN 'Pharmacy Management SaaS' END AS category,
+    CASE WHEN c_custkey % 6 = 0 THEN c_mktsegment WHEN c_custkey % 5 = 0 THEN 'Clinics' WHEN c_custkey % 5 = 4 THEN 'Pharmacies' END AS customer,
+    CASE WHEN c_custkey % 3 = 0 THEN 'India' WHEN c_custkey % 4 = 0 THEN 'Germany' WHEN c_custkey % 5 = 0 THEN 'India' WHEN c_custkey % 5 = 3 THEN 'Germany' END AS country,
+    (['Clinic management software for clinics in India','EHR platform','Inventory tool','Per seat CRM for companies in Germany','Pharmacy stock app with monthly subscription'])[CAST(c_custkey % 5 + 1 AS INTEGER)] AS idea
+  FROM customer),
+w AS (SELECT k, list_distinct(regexp_extract_all(lower(concat_ws(' ', coalesce(category, idea), coalesce(category, 'B2B SaaS'), coalesce(customer, 'Businesses'), coalesce(customer, 'Businesses'),
+    'b2b saas hospital clinic medical emr ehr software platform')), '[a-zA-Z]{3,}')) AS words, category, customer, country FROM c)
+SELECT CAST(k AS VARCHAR) AS request_id, 'bottom_up_customer_arpu' AS tam_method,
+  coalesce(category, 'B2B SaaS') || ' market serving ' || coalesce(customer, 'Businesses') || CASE WHEN country IS NULL THEN '' ELSE ' in ' || country END AS market_definition,
+  array_to_string(list_sort(list_filter(words, lambda x: x NOT IN ('for', 'the', 'and', 'with', 'market', 'service', 'platform', 'app', 'software'))), ' ') AS terms FROM w""")
 def market_strategy(spark, sf):
     df = req.market_strategy(req.derive_business(req.clean_requests(raw_requests(spark, sf))))
     return df.select("request_id", "tam_method", "market_definition", F.array_join("relevant_terms", " ").alias("terms"))
@@ -183,6 +195,18 @@ def research_queries(spark, sf):
     return req.research_queries(req.clean_requests(raw_requests(spark, sf)), "saas").select("request_id", "query_no", "metric_required")
 
 
+@query("research_queries_general", """
+WITH r AS (SELECT CAST(c_custkey AS VARCHAR) AS request_id, CASE WHEN c_custkey % 3 = 0 THEN 'India' WHEN c_custkey % 4 = 0 THEN 'Germany' END AS geo,
+  CASE WHEN c_custkey % 6 = 0 THEN c_mktsegment END AS cust FROM customer),
+q AS (SELECT request_id, 1 AS query_no, concat_ws(' ', geo, CASE WHEN cust IS NULL THEN 'target customer population and market size'
+        ELSE cust || ' population count businesses number users' END) AS metric_required, CASE WHEN cust IS NOT NULL THEN 'market' END AS industry_topic, cust AS target_population FROM r
+  UNION ALL SELECT request_id, 2, concat_ws(' ', geo, 'market market size annual revenue'), 'market', NULL FROM r WHERE cust IS NOT NULL
+  UNION ALL SELECT request_id, 3, concat_ws(' ', geo, 'market pricing average annual spend subscription ARPU fee cost'), 'market', NULL FROM r WHERE cust IS NOT NULL)
+SELECT * FROM q""")
+def research_queries_general(spark, sf):
+    return req.research_queries(req.clean_requests(raw_requests(spark, sf))).select("request_id", "query_no", "metric_required", "industry_topic", "target_population")
+
+
 @query("query_strings", """
 SELECT CAST(c_custkey AS VARCHAR) AS request_id, concat_ws(' ', CASE WHEN c_custkey % 3 = 0 THEN 'India' WHEN c_custkey % 4 = 0 THEN 'Germany' ELSE '' END
   || CASE WHEN c_custkey % 3 = 0 OR c_custkey % 4 = 0 THEN ' ' ELSE '' END
@@ -203,27 +227,6 @@ def operand_constraints(spark, sf):
     return corpus.table(spark, sf, "orders").select("o_orderkey", is_usable(op).alias("usable"))
 
 
-@query("first_match_sizing", """
-WITH c AS (SELECT c_custkey AS k, round(abs(c_acctbal), 0) AS m FROM customer),
-p AS (SELECT *, CASE WHEN k % 8 = 0 AND k > 0 THEN k * 10.0 ELSE 1000.0 END AS n,
-  CASE WHEN k % 7 = 0 AND m > 0 THEN m * 12 WHEN k % 11 = 0 THEN 5000.0 WHEN k % 5 = 0 THEN 100.0 ELSE 48000.0 END AS rev FROM c)
-SELECT CAST(k AS VARCHAR) AS request_id, CAST(n * rev AS DOUBLE) AS tam, round(n * (CASE WHEN k % 9 = 0 THEN 30.0 ELSE 25.0 END / 100.0) * rev, 2) AS sam FROM p""")
-def first_match_sizing(spark, sf):
-    asked = req.derive_business(req.clean_requests(raw_requests(spark, sf))).withColumns({
-        "benchmark_customers": F.lit(1000.0), "benchmark_revenue": F.lit(48000.0), "benchmark_serviceable_pct": F.lit(25.0), "pricing_basis": F.lit("per_facility"),
-    })
-    none = _no_items(spark, sf)
-    out = bottom_up(req.first_match_requests(asked, none))
-    return out.select("request_id", F.col("bu_tam.estimate").alias("tam"), F.round("bu_sam.estimate", 2).alias("sam"))
-
-
-def _no_items(spark, sf):
-    """First-match inputs of triangulated items whose requests are others than these."""
-    from tamarack.plans.queries_evidence import _first_match
-
-    return _first_match(spark, sf)
-
-
 @query("competitor_matrix", """
 SELECT s_name AS product, 'Businesses' AS target_customer, n_name AS geography, 'Cloud SaaS' AS deployment_model FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def competitor_matrix(spark, sf):
