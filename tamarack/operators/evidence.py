@@ -256,10 +256,18 @@ def triangulate(claims: DataFrame, validated: bool = False, substring_domains: b
     needs two independent domains, one of them in tier 1 to 3, and no conflict. Rejected claims are left
     out here; read them from :func:`validate_claims`.
     """
-    scope = [c for c in ("request_id",) if c in claims.columns]
     checked = claims if validated else validate_claims(claims, substring_domains)
-    keep = ("source_quality_tier", "market_scope", "relevance_score", "suitability", "extraction_confidence")
-    groups = duplicate_groups(with_claim_keys(checked.filter("is_valid")), keep=keep)
+    groups = duplicate_groups(with_claim_keys(checked.filter("is_valid")), keep=KEPT)
+    return statuses(groups)
+
+
+# Columns of a claim that its group carries beyond the canonical ones.
+KEPT = ("source_quality_tier", "market_scope", "relevance_score", "suitability", "extraction_confidence")
+
+
+def statuses(groups: DataFrame) -> DataFrame:
+    """Status, stage and confidence of claim groups (rows as :func:`duplicate_groups` gives them, all groups of a subject)."""
+    scope = [c for c in ("request_id",) if c in groups.columns]
     # The subject totals come from the (much smaller) group table; the join key is the grouping key.
     hot = conflicts(groups).select(*scope, "subject_key", "n_values", "min_value", "max_value", "subject_claims")
     df = groups.join(hot, [*scope, "subject_key"], "left")
@@ -268,7 +276,7 @@ def triangulate(claims: DataFrame, validated: bool = False, substring_domains: b
     single = F.when(best >= 0.70, "medium").otherwise("low")
     verified = ~conflict & many & strong
     return df.select(
-        *scope, *_KEYS, *[c for c in (*_CANONICAL, *keep) if c in df.columns],
+        *scope, *_KEYS, *[c for c in (*_CANONICAL, *KEPT) if c in df.columns],
         F.col("max_quality_score").alias("source_quality_score"),
         F.when(conflict, "conflict").otherwise("valid").alias("validation_status"),
         F.when(verified, "verified").otherwise("validated").alias("lifecycle_stage"),

@@ -9,6 +9,7 @@ from tamarack.functions import claim_rules as rules
 from tamarack.functions import source_rules as src
 from tamarack.functions import text as tx
 from tamarack.operators import evidence as ev
+from tamarack.operators import incremental as inc
 from tamarack.operators import operands as opd
 from tamarack.operators import requests as req
 from tamarack.plans import corpus
@@ -137,6 +138,19 @@ def triangulation(spark, sf):
                     "conflicting_source_count", "is_syndicated")
 
 
+@query("triangulation_batches", f"""
+WITH {GROUPS}
+SELECT group_id, candidate_id, v AS value, validation_status, lifecycle_stage, confidence, n_claims, n_urls, n_domains AS corroborating_source_count,
+  CAST(CASE WHEN n_values IS NOT NULL THEN subject_claims - n_claims ELSE 0 END AS BIGINT) AS conflicting_source_count, is_syndicated FROM tri""")
+def triangulation_batches(spark, sf):
+    """Three batches of claims, each reduced to facts by itself; the facts merge to the statuses of one run."""
+    checked = ev.validate_claims(corpus.claims(spark, sf))
+    parts = [inc.claim_facts(checked.filter(F.col("supp_key") % 3 == i)) for i in range(3)]
+    t = inc.triangulate_facts(inc.merge_facts(inc.merge_facts(parts[0], parts[1]), parts[2]))
+    return t.select("group_id", "candidate_id", "value", "validation_status", "lifecycle_stage", "confidence", "n_claims", "n_urls",
+                    "corroborating_source_count", "conflicting_source_count", "is_syndicated")
+
+
 @query("corroborated", f"""
 WITH {GROUPS} SELECT group_id, metric, n_name AS geography, yr AS year, n_domains AS domains FROM tri WHERE lifecycle_stage = 'verified'""")
 def corroborated(spark, sf):

@@ -238,12 +238,15 @@ WITH {REQUESTS}, chain AS (
   SELECT request_id, 3, 50.0/100.0, macro FROM sized WHERE NOT bad AND nk % 2 = 1 UNION ALL
   SELECT request_id, 4, 25.0/100.0, macro FROM sized WHERE NOT bad UNION ALL
   SELECT request_id, 5, segf, macro FROM sized WHERE NOT bad AND nk % 7 <> 0 UNION ALL
-  SELECT request_id, 6, 10.0/100.0, macro FROM sized WHERE NOT bad AND nk % 8 <> 0)
-SELECT request_id, CAST(row_number() OVER w AS INTEGER) AS step_number, round(macro * product(f) OVER w, 1) AS result
-FROM chain WINDOW w AS (PARTITION BY request_id ORDER BY o ROWS UNBOUNDED PRECEDING)""")
+  SELECT request_id, 6, 10.0/100.0, macro FROM sized WHERE NOT bad AND nk % 8 <> 0),
+steps AS (
+  SELECT request_id, 'top_down' AS method, o, macro * product(f) OVER (PARTITION BY request_id ORDER BY o ROWS UNBOUNDED PRECEDING) AS result FROM chain UNION ALL
+  SELECT request_id, 'bottom_up', 7, rev FROM sized UNION ALL SELECT request_id, 'bottom_up', 8, bu_tam FROM sized UNION ALL
+  SELECT request_id, 'bottom_up', 9, bu_sam FROM sized UNION ALL SELECT request_id, 'bottom_up', 10, bu_som FROM sized WHERE bu_som_status = 'calculated')
+SELECT request_id, method, CAST(row_number() OVER (PARTITION BY request_id ORDER BY o) AS INTEGER) AS step_number, round(result, 1) AS result FROM steps""")
 def calculation_steps(spark, sf):
     steps = sizing.calculation_steps(sizing.bottom_up(sizing.top_down(corpus.sizing_requests(spark, sf))))
-    return steps.filter(F.col("method") == "top_down").select("request_id", "step_number", F.round("result", 1).alias("result"))
+    return steps.select("request_id", "method", "step_number", F.round("result", 1).alias("result"))
 
 
 @query("running_funnel", """

@@ -1,13 +1,16 @@
-"""Structured Streaming: run progress, document feeds, running corroboration."""
+"""Structured Streaming: run progress and transitions, document feeds, running corroboration and statuses."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions.text import domain_of
 from tamarack.operators.evidence import with_claim_keys
 from tamarack.operators.extract import extract_claims
+from tamarack.operators.incremental import status_changes
 
 
 def read_feed(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
@@ -60,3 +63,82 @@ def stream_corroboration(claims: DataFrame, event_time: str = "fetched_at", dela
     keyed = with_claim_keys(claims.withWatermark(event_time, delay)).withColumn("_d", domain_of(F.col("source_url")))
     by_domain = keyed.groupBy(F.window(event_time, window), "group_key", "group_id", "_d").agg(F.count("*").alias("_n"))
     return by_domain.groupBy("window", "group_key", "group_id").agg(F.count("_d").alias("n_domains"), F.sum("_n").alias("n_claims"))
+
+
+def stream_statuses(checked: DataFrame, facts_path: str, changes_path: str, checkpoint: str, buckets: int = 64):
+    """Running triangulation of a stream of validated claims: status changes of claim groups, batch after batch.
+
+    Returns the (unstarted) stream writer. Each micro-batch is reduced to facts by ordinary aggregation, so that a subject with a
+    third of all claims loads no single task, and merges with the stored facts of its own subjects. A micro-batch that
+    Spark runs again replaces what its first attempt wrote.
+    """
+    def take_in(batch: DataFrame, number: int) -> None:
+        status_changes(batch.sparkSession, batch, facts_path, changes_path, number, buckets)
+
+    return checked.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(take_in)
+
+
+# -- transitions --------------------------------------------------------------------------------
+
+TRANSITIONS_DDL = "from_stage string, to_stage string, duration_ms double, status string, ts timestamp, first_failure boolean"
+_EVENT = ("ts", "progress_percent", "stage", "status")
+
+
+def run_transitions(events: DataFrame, run: str = "pipeline_id") -> DataFrame:
+    """Every transition of every run with the time spent in the former state, and whether it is the run's first failure (batch).
+
+    Events that repeat run, time, percent, stage and status count once. Events of one run are ordered by these.
+    """
+    once = events.filter(F.col(run).isNotNull() & F.col("ts").isNotNull()).select(run, *_EVENT).distinct()
+    w = Window.partitionBy(run).orderBy(*_EVENT)
+    failed = F.coalesce(F.col("status") == "failed", F.lit(False))
+    earlier = F.coalesce(F.max(failed).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    return once.select(
+        run, F.lag("stage").over(w).alias("from_stage"), F.col("stage").alias("to_stage"),
+        (F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts")) / 1000.0).alias("duration_ms"), "status", "ts",
+        (failed & ~earlier).alias("first_failure"))
+
+
+def stream_transitions(events: DataFrame, delay: str = "10 minutes", idle: str = "1 day", run: str = "pipeline_id") -> DataFrame:
+    """The rows of :func:`run_transitions` from a stream, each once the watermark has passed its event (append mode).
+
+    The state of a run is its last stage and the events that the watermark has not passed, which are put in order; a timer at
+    the first of them wakes the run without new data. Events later than the watermark are left out, as in every watermarked
+    operator, so repeats of events already passed do no harm. ``idle`` after its last event a run is forgotten.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    keep_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def advance(key, parts, state):
+        stage, since, failed, done, waiting = state.get if state.exists else (None, None, False, 0, "[]")
+        pending = {tuple(e) for e in json.loads(waiting)}
+        for part in parts:
+            micros = part["ts"].astype("datetime64[us]").astype("int64")
+            rows = part.astype(object).where(part.notna(), None)
+            for at, percent, to_stage, status in zip(micros, rows["progress_percent"], rows["stage"], rows["status"], strict=True):
+                if at >= done * 1000:
+                    pending.add((int(at), None if percent is None else int(percent), to_stage, status))
+        passed = max(done, state.getCurrentWatermarkMs())
+        ready = sorted((e for e in pending if e[0] < passed * 1000), key=lambda e: [(x is not None, x) for x in e])
+        out = []
+        for event in ready:
+            at, _, to_stage, status = event
+            out.append((*key, stage, to_stage, None if since is None else (at - since) / 1000.0, status, pd.Timestamp(at, unit="us"),
+                        status == "failed" and not failed))
+            stage, since, failed = to_stage, at, failed or status == "failed"
+            pending.discard(event)
+        if pending or since is None or passed < since // 1000 + keep_ms:
+            state.update((stage, since, failed, passed, json.dumps(sorted(pending, key=repr))))
+            wake = min(e[0] for e in pending) // 1000 + 1 if pending else (since or 0) // 1000 + keep_ms
+            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+        else:
+            state.remove()
+        columns = [run, "from_stage", "to_stage", "duration_ms", "status", "ts", "first_failure"]
+        yield pd.DataFrame(out, columns=columns).astype({"ts": "datetime64[us]", "duration_ms": "float64"})
+
+    named = events.filter(F.col(run).isNotNull()).select(F.col(run).cast("string").alias(run), *_EVENT).withWatermark("ts", delay)
+    return named.groupBy(run).applyInPandasWithState(
+        advance, f"{run} string, {TRANSITIONS_DDL}", "stage string, since long, failed boolean, done long, waiting string", "append",
+        GroupStateTimeout.EventTimeTimeout)
