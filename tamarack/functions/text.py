@@ -200,10 +200,33 @@ def place_of_text(text: Column) -> Column:
     return F.coalesce(first_place(F.regexp_replace(text, _WORLD_DENOMINATOR, "")), first_place(text))
 
 
-def place_of_match(text: Column, start: Column, end: Column, whole: Column | None = None) -> Column:
+# Characters of a chunk, and of the text around a match that is looked at.
+_CHUNK, AROUND = 1024, 60
+
+
+def chunks_of(text: Column) -> Column:
+    """A text in pieces, so that a look at any place in a long one costs no walk from its begin."""
+    n = F.char_length(text)
+    many = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK).cast("int")), lambda i: F.substring(text, i * _CHUNK + 1, F.lit(_CHUNK)))
+    return F.when(n <= _CHUNK, F.array(text)).otherwise(many)
+
+
+def _look(chunks: Column, start: Column, length: Column) -> Column:
+    """Characters from ``start`` (from 0) on, at most as many as a chunk."""
+    at = F.floor(start / _CHUNK).cast("int")
+    two = F.concat(*[F.coalesce(F.try_element_at(chunks, at + i), F.lit("")) for i in (1, 2)])
+    return F.substring(two, start - at * _CHUNK + 1, length)
+
+
+def around_match(chunks: Column, start: Column, end: Column) -> Column:
+    """``struct(before, after)``: the text on both sides of a match, from the chunks of its sentence."""
+    return F.struct(_look(chunks, F.greatest(start - AROUND, F.lit(0)), F.least(start, F.lit(AROUND))).alias("before"),
+                    _look(chunks, end, F.lit(AROUND)).alias("after"))
+
+
+def place_of_match(around: Column, whole: Column) -> Column:
     """Place of a match: last in the 60 characters before, first in the 60 after, else ``whole`` (:func:`place_of_text`)."""
-    before = F.substring(text, F.greatest(start - 60, F.lit(0)) + 1, F.least(start, F.lit(60)))
-    after = F.substring(text, end + 1, F.lit(60))
+    before, after = around["before"], around["after"]
     last_before = canonical_place(
         F.try_element_at(F.regexp_extract_all(before, F.lit(_LAST_PLACE_PATTERN), F.lit(0)), F.lit(-1))
     )
@@ -212,7 +235,7 @@ def place_of_match(text: Column, start: Column, end: Column, whole: Column | Non
     return F.coalesce(
         last_before,
         usable_after,
-        place_of_text(text) if whole is None else whole,
+        whole,
     )
 
 
@@ -228,11 +251,9 @@ def years_of_text(text: Column) -> Column:
     return find_all(text, _YEAR, 1)
 
 
-def year_of_match(text: Column, start: Column, end: Column, years: Column | None = None) -> Column:
+def year_of_match(around: Column, start: Column, end: Column, years: Column) -> Column:
     """Year attached after the match, else before it, else the nearest of ``years`` (:func:`years_of_text`)."""
-    after = F.substring(text, end + 1, F.lit(30))
-    before = F.substring(text, F.greatest(start - 30, F.lit(0)) + 1, F.least(start, F.lit(30)))
-    years = years_of_text(text) if years is None else years
+    after, before = F.substring(around["after"], 1, 30), F.right(around["before"], F.lit(30))
 
     def ranked(y):
         dist = F.when(y["e"] <= start, start - y["e"]).when(y["s"] >= end, y["s"] - end).otherwise(F.lit(0))

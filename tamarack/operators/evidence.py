@@ -16,6 +16,7 @@ from tamarack.functions import claim_rules as rules
 from tamarack.functions import source_rules as src
 from tamarack.functions import text as tx
 from tamarack.functions.once import computed_once
+from tamarack.operators.domain_rules import rate_sources
 
 # Business columns that ``validate_claims`` reads when the claims carry them.
 BUSINESS_COLUMNS = (
@@ -27,10 +28,17 @@ def _optional(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
-def score_sources(claims: DataFrame, substring: bool = False) -> DataFrame:
-    """Add ``domain, source_quality_score, source_quality_tier``."""
+def score_sources(claims: DataFrame, substring: bool = False, rules: DataFrame | None = None) -> DataFrame:
+    """Add ``domain, source_quality_score, source_quality_tier``.
+
+    With ``rules`` (a table as :func:`tamarack.operators.domain_rules.default_rules` gives it) hosts are rated by a join with it, and
+    ``source_rule`` says by which rule; without, by the built-in lists as column expressions.
+    """
     df = claims.withColumn("domain", tx.domain_of(F.col("source_url")))
-    df = computed_once(df, {"_b": src.quality_base(F.col("source_url"), F.col("domain"), F.col("source_name"), substring)})
+    if rules is not None:
+        df = computed_once(rate_sources(df, rules), {"_b": F.struct(F.col("source_rule.base").alias("base"), F.col("source_rule.tier").alias("tier"))})
+    else:
+        df = computed_once(df, {"_b": src.quality_base(F.col("source_url"), F.col("domain"), F.col("source_name"), substring)})
     points = src.quality_adjustment(
         F.col("year"), F.col("source_name"), F.col("source_context"), _optional(df, "raw_value_expression")
     )

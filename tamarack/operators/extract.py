@@ -300,11 +300,15 @@ def _percent_candidates(sentence: Column, lowered: Column, seen) -> Column:
     return F.when(_mentions(lowered, ("%", "percent")), F.transform(parsed, build)).otherwise(_no_candidates())
 
 
+# Candidates of a sentence above which overlaps are looked up in blocks.
+MANY_CANDIDATES = 200
+
+
 def _keep_disjoint(candidates: Column, sentence: Column) -> Column:
     """Candidates in order, without those that overlap one kept before.
 
-    A mask of the sentence marks what is reserved, so a candidate is tested by one look at its own span, not by a
-    walk over all that were kept.
+    In a common sentence a mask marks what is reserved, so that a candidate is tested by one look at its own span. Where
+    there are many, that would copy the mask once for each; those are settled family by family instead.
     """
     def step(acc, c):
         taken = F.substring(acc["mask"], c["s"] + 1, c["e"] - c["s"]).contains("1")
@@ -313,7 +317,54 @@ def _keep_disjoint(candidates: Column, sentence: Column) -> Column:
         return F.when(taken, acc).otherwise(F.struct(marked.alias("mask"), F.concat(acc["kept"], F.array(c)).alias("kept")))
 
     start = F.struct(F.repeat(F.lit("0"), F.char_length(sentence)).alias("mask"), _no_candidates().alias("kept"))
-    return F.aggregate(F.filter(candidates, lambda c: c["ok"]), start, step, lambda acc: acc["kept"])
+    few = F.aggregate(F.filter(candidates, lambda c: c["ok"]), start, step, lambda acc: acc["kept"])
+    return F.when(F.size(candidates) <= MANY_CANDIDATES, few).otherwise(_keep_disjoint_of_many(candidates))
+
+
+_SPAN = "struct<rs:int,re:int>"
+_BLOCKS = f"array<struct<lo:int,hi:int,spans:array<{_SPAN}>>>"
+
+
+def _span_blocks(kept: Column) -> Column:
+    """Reserved spans in blocks of about the square root of their number, with the reach of each block."""
+    n = F.size(kept)
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+
+    def block(i):
+        spans = F.transform(F.slice(kept, i * width + 1, width), lambda k: F.struct(k["rs"].alias("rs"), k["re"].alias("re")))
+        return F.struct(F.array_min(F.transform(spans, lambda k: k["rs"])).alias("lo"), F.array_max(F.transform(spans, lambda k: k["re"])).alias("hi"), spans.alias("spans"))
+
+    numbers = F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int"))
+    return F.when(n > 0, F.transform(numbers, block)).otherwise(F.array()).cast(_BLOCKS)
+
+
+def _keep_disjoint_of_many(candidates: Column) -> Column:
+    """The same as a fold over the families.
+
+    Within a family candidates come by position, so one that was kept before can only reach into the next from the left: its
+    end is all that must be remembered. What earlier families reserved is searched in blocks by their reach.
+    """
+    kind = f"array<{_CANDIDATE}>"
+
+    def family(acc, number):
+        def free(c):
+            def meets(x):
+                return (x["rs"] < c["e"]) & (x["re"] > c["s"])
+
+            taken = F.exists(acc["blocks"], lambda b: (b["lo"] < c["e"]) & (b["hi"] > c["s"]) & F.exists(b["spans"], meets))
+            return c["ok"] & (c["family"] == number) & ~taken
+
+        def step(own, c):
+            return F.when(c["s"] < own["end"], own).otherwise(F.struct(F.greatest(own["end"], c["re"]).alias("end"), F.concat(own["kept"], F.array(c)).alias("kept")))
+
+        nothing = F.struct(F.lit(-1).alias("end"), _no_candidates().alias("kept"))
+        own = F.aggregate(F.filter(candidates, free), nothing, step, lambda own: own["kept"])
+        # bound once: the kept ones are read for the result and for the blocks
+        both = F.transform(F.array(F.concat(acc["kept"], own)), lambda k: F.struct(k.alias("kept"), _span_blocks(k).alias("blocks")))
+        return F.element_at(both, 1)
+
+    start = F.struct(F.array().cast(kind).alias("kept"), F.array().cast(_BLOCKS).alias("blocks"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(FAMILIES) - 1)), start, family, lambda acc: acc["kept"])
 
 
 # -- sentences ----------------------------------------------------------------------------------
@@ -375,12 +426,15 @@ def claims_from_sentences(rows: DataFrame, sentence: str = "sentence", families=
         "percent": lambda: _percent_candidates(s, lowered, seen),
     }
     found = F.concat(_no_candidates(), *[makers[f]() for f in FAMILIES if f in families])
-    kept = computed_once(cleaned, {"_kept": _keep_disjoint(found, s)}).filter(F.size("_kept") > 0)
-    whole = computed_once(kept, {"_place": tx.place_of_text(s), "_years": tx.years_of_text(s)})
-    rows = whole.select(*rest, "_s", *[f"_f_{k}" for k in flags], "_place", "_years", F.explode("_kept").alias("c"))
+    asked = computed_once(cleaned, {"_found": found})
+    kept = computed_once(asked, {"_kept": _keep_disjoint(F.col("_found"), s)}).drop("_found").filter(F.size("_kept") > 0)
+    whole = computed_once(kept, {"_place": tx.place_of_text(s), "_years": tx.years_of_text(s), "_chunks": tx.chunks_of(s)})
+    looked = computed_once(whole, {"_kept": F.transform(
+        "_kept", lambda c: F.struct(c.alias("c"), tx.around_match(F.col("_chunks"), c["ms"], c["me"]).alias("around")))})
+    rows = looked.select(*rest, "_s", *[f"_f_{k}" for k in flags], "_place", "_years", F.inline("_kept"))
     placed = computed_once(rows, {
-        "geography": tx.place_of_match(s, F.col("c.ms"), F.col("c.me"), F.col("_place")),
-        "year": tx.year_of_match(s, F.col("c.ms"), F.col("c.me"), F.col("_years")),
+        "geography": tx.place_of_match(F.col("around"), F.col("_place")),
+        "year": tx.year_of_match(F.col("around"), F.col("c.ms"), F.col("c.me"), F.col("_years")),
     })
     typed = computed_once(placed, {
         "metric_type": F.coalesce(

@@ -106,6 +106,23 @@ def category_names(spark, sf):
     return df.select("p_partkey", cls.normalize_category(F.col("name")).alias("category_id"))
 
 
+# Names that only hold a term: a subcategory anywhere, else the longest synonym, else the longest keyword between word boundaries.
+_INSIDE = (
+    ("our payroll softwares", "hr_workforce"), ("presales crms", "crm_sales"), ("a sales crm and lead management", "crm_sales"),
+    ("payroll run for hotels", "hr_workforce"), ("best hotel pms", "hospitality_restaurant"), ("an online agritech thing", "vertical_saas"),
+    ("the factory machinery maintenance of mills", "manufacturing_operations"), ("hrmsx", None), ("sales-crm!", "crm_sales"), ("(cpq)", "crm_sales"), ("knitting", None), ("  ", None),
+)
+
+
+@query("category_names_inside", f"""
+WITH m(i, category_id) AS (VALUES {", ".join(f"({i}, {repr(c) if c else 'NULL'})" for i, (_, c) in enumerate(_INSIDE))})
+SELECT p_partkey, category_id FROM part JOIN m ON p_partkey % {len(_INSIDE)} = i""")
+def category_names_inside(spark, sf):
+    k = F.col("p_partkey")
+    name = F.initcap(corpus.pick([n for n, _ in _INSIDE], k % len(_INSIDE)))
+    return corpus.table(spark, sf, "part").select("p_partkey", cls.normalize_category(name).alias("category_id"))
+
+
 @query("scope_check", f"""
 WITH {_IDEAS_SQL} SELECT p_partkey, p_partkey % 10 = 7 AS ambiguous, p_partkey % 10 = 4 AS consumer FROM ideas""")
 def scope_check(spark, sf):

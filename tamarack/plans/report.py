@@ -10,6 +10,7 @@ from tamarack.functions.measures import cagr
 from tamarack.functions.once import computed_once
 from tamarack.functions.text import display_value, low
 from tamarack.operators import reliability as rel
+from tamarack.operators.discovery import competitor_matrix
 from tamarack.operators import sizing
 
 
@@ -184,6 +185,63 @@ def report_sections(reports: DataFrame) -> DataFrame:
     return reports.select("request_id", F.explode(rows).alias("s")).select("request_id", "s.section", "s.json")
 
 
+def _section(rows: DataFrame, section: str, order_key: Column, content: Column) -> DataFrame:
+    return rows.select("request_id", F.lit(section).alias("section"), F.coalesce(order_key.cast("string"), F.lit("")).alias("order_key"), F.to_json(content).alias("json"))
+
+
+def _fields(rows: DataFrame, **named: str) -> Column:
+    """A struct of the columns that the rows have, under the names of the section."""
+    return F.struct(*[F.col(c).alias(n) for n, c in named.items() if c in rows.columns])
+
+
+def child_sections(reports: DataFrame, growth: DataFrame | None = None, competitors: DataFrame | None = None, sources: DataFrame | None = None,
+                   evidence: DataFrame | None = None) -> DataFrame:
+    """Sections that hold rows of other tables: ``request_id, section, order_key, json``, one row per item.
+
+    ``reports`` gives the customer counts and prices (operand columns ``customers, pricing``) and the provenance; ``growth`` comes from
+    :func:`market_growth`; ``competitors``, ``sources`` and ``evidence`` (triangulated claims) have any number of rows per request,
+    which stay rows: within a section ``order_key`` orders them, and no request is gathered in one place.
+    """
+    def operand(name: str) -> Column:
+        o = F.col(name)
+        fields = ("name", "value", "unit", "currency", "year", "geography", "source_name", "source_url", "source_quality_tier", "is_assumption", "assumption_justification")
+        return F.struct(*[o[f].alias(f) for f in fields], display_value(o["value"], F.coalesce(o["currency"], F.lit(""))).alias("display"))
+
+    none = F.lit("")
+    parts = [
+        _section(reports.filter(F.col("customers.value").isNotNull()), "customer_count", none, operand("customers")),
+        _section(reports.filter(F.col("pricing.value").isNotNull()), "price_evidence", none, operand("pricing")),
+    ]
+    if growth is not None:
+        kind = F.when(F.col("cagr_type") == "CALCULATED_CAGR", " (Calculated)").when(F.col("cagr_type") == "BENCHMARK_CAGR", " (Industry Benchmark)").otherwise("")
+        text = F.concat(F.format_number(F.col("cagr") * 100, 1), F.lit("% CAGR"), kind)
+        told = growth.filter(F.col("cagr").isNotNull()).withColumn("_text", text)
+        parts.append(_section(told, "market_growth", none, _fields(
+            told, cagr="cagr", cagr_percentage="_text", cagr_type="cagr_type", current_market_size="current_market_size", projected_market_size="projected_market_size")))
+    if competitors is not None:
+        parts.append(_section(competitors, "competitor_analysis", F.lower("name"), _fields(
+            competitors, name="name", product="product", market="target_customer", geography="geography", source="source_name", url="source_url")))
+        matrix = competitor_matrix(competitors)
+        parts.append(_section(matrix, "competitor_comparison", F.lower("product"), F.struct(*[c for c in matrix.columns if c != "request_id"])))
+    if sources is not None:
+        parts.append(_section(sources, "evidence_and_sources", F.col("url"), _fields(
+            sources, title="title", url="url", source_name="source_name", tier="source_quality_tier", year="published_year")))
+    if evidence is not None:
+        parts.append(_section(evidence, "validated_evidence", F.concat_ws(" ", "source_url", "candidate_id"), _fields(
+            evidence, metric="metric", value="value", unit="unit", geography="geography", year="year", status="validation_status", stage="lifecycle_stage",
+            confidence="confidence", sources="corroborating_source_count", url="source_url", tier="source_quality_tier")))
+    counted = reports
+    if sources is not None:
+        counted = reports.join(sources.groupBy("request_id").agg(F.count(F.lit(1)).alias("_sources")), "request_id", "left")
+    total = F.coalesce(F.col("_sources"), F.lit(0)) if sources is not None else F.lit(None).cast("bigint")
+    known = [F.col(c).alias(n) for n, c in (("confidence_level", "report_confidence"), ("evidence_quality_rating", "report_quality")) if c in reports.columns]
+    parts.append(_section(counted, "data_provenance", none, F.struct(total.alias("total_sources_evaluated"), *known)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def evidence_summary(sources: DataFrame, documents: DataFrame, checked: DataFrame, triangulated: DataFrame) -> DataFrame:
     """Counts per request: discovered, fetched, extracted, validated, verified, conflicts."""
     def counted(df: DataFrame, **aggs) -> DataFrame:
