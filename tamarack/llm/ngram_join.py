@@ -32,7 +32,7 @@ class NgramJoin:
 
     words: int = 4
     percent: int = 85
-    sample_percent: int = 12
+    sample_percent: int = 8
     block_tokens: int = 1_500_000
 
     def least_common(self, n):
@@ -78,8 +78,8 @@ def alike(signed: DataFrame, classes: DataFrame) -> DataFrame:
     # every join on ids of the corpus merges, at every size
     reps = signed.join(classes.drop("digest").hint("merge"), is_rep())
     tokens = reps.select("node", F.explode("head").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("_x"), F.max("node").alias("_y")).filter("_x < _y").select("token")
-    # a row that stands twice in the table counts twice: its class passes the filter the easier
+    # a row that stands twice in the table shares its n-grams with itself: its class passes the filter the easier
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     hits = tokens.join(shared.hint("merge"), "token").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
     enough = hits.join(reps.select("node", "asked").hint("merge"), "node").filter("c >= asked")
     return materialise(classes.join(enough.select("node").hint("merge"), "node", "left_semi"), "alike")
