@@ -212,6 +212,17 @@ def history_page(spark, sf):
     return store.history_page(runs, limit=500, offset=100)
 
 
+@query("history_after", """
+WITH runs AS (SELECT CAST(o_orderkey AS VARCHAR) AS analysis_id, strftime(o_orderdate, '%Y-%m-%d') AS created_at, o_orderstatus AS status FROM orders),
+c AS (SELECT min(created_at) AS lo, max(created_at) AS hi FROM runs)
+SELECT runs.* FROM runs, c WHERE created_at < '1996-01-01' OR (created_at = '1996-01-01' AND analysis_id > '3') ORDER BY created_at DESC, analysis_id LIMIT 100""")
+def history_after(spark, sf):
+    runs = corpus.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("analysis_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), F.col("o_orderstatus").alias("status")
+    )
+    return store.history_after(runs, limit=100, after=("1996-01-01", "3"))
+
+
 @query("stored_versions", """
 WITH l AS (SELECT CAST(o_custkey AS VARCHAR) AS id, o_orderkey AS ver, 'idea ' || o_orderkey AS idea, o_orderstatus AS status, o_orderkey % 13 = 0 AS del FROM orders),
 f AS (SELECT id, max(ver) FILTER (del) AS fence FROM l GROUP BY id)

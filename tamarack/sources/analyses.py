@@ -8,21 +8,12 @@ state to a new place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEPT = ("business_idea", "created_at")
 
 
-def to_json_text(col: Column) -> Column:
-    """Nested value to JSON text."""
-    return F.to_json(col)
-
-
-def from_json_text(col: Column, schema: str) -> Column:
-    return F.from_json(col, schema)
-
-
 def latest_versions(log: DataFrame, key: str = "analysis_id", version: str = "version", deleted: str = "is_deleted") -> DataFrame:
     """Current rows of a version log.
 
@@ -61,6 +52,18 @@ def history_page(analyses: DataFrame, limit: int = 50, offset: int = 0) -> DataF
     return analyses.orderBy(F.desc("created_at"), "analysis_id").offset(max(0, offset)).limit(max(1, min(limit, 200)))
 
 
+def history_after(analyses: DataFrame, limit: int = 50, after: tuple[str, str] | None = None) -> DataFrame:
+    """The next newest analyses behind the last row (created_at, analysis_id) of a page; the first page without it.
+
+    The rows are those of :func:`history_page`, but a later page sorts nothing that earlier ones had, and the bound on
+    ``created_at`` reaches the Parquet scan, where a layout by time (:meth:`AnalysisLog.compact`) skips what is newer.
+    """
+    if after is not None:
+        at, key = after
+        analyses = analyses.filter((F.col("created_at") <= at) & ((F.col("created_at") < at) | (F.col("analysis_id") > key)))
+    return history_page(analyses, limit)
+
+
 class AnalysisLog:
     """The version log at a path."""
 
@@ -98,8 +101,9 @@ class AnalysisLog:
         return history_page(self.current(), limit, offset)
 
     def compact(self, new_path: str) -> AnalysisLog:
-        """Current state as a fresh log elsewhere."""
-        self.current().withColumn("is_deleted", F.lit(False)).withColumn("version", F.lit(0).cast("bigint")).write.parquet(new_path)
+        """Current state as a fresh log elsewhere, in files and row groups by time."""
+        rows = self.current().withColumn("is_deleted", F.lit(False)).withColumn("version", F.lit(0).cast("bigint"))
+        rows.repartitionByRange("created_at", "analysis_id").sortWithinPartitions("created_at", "analysis_id").write.parquet(new_path)
         return AnalysisLog(self.spark, new_path)
 
     def _append(self, rows: DataFrame, version: int) -> None:

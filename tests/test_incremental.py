@@ -133,3 +133,21 @@ def test_transitions_of_a_stream_equal_batch(spark, folder):  # noqa: F811
     batch = feeds.run_transitions(spark.createDataFrame(first + second + third, EVENTS))
     assert got == sorted(map(key, batch.collect()), key=repr)
     assert len(got) == 12 and sum(r[-1] for r in got) == 2
+
+
+def test_pages_by_cursor_equal_pages_by_offset(spark, folder):  # noqa: F811
+    from tamarack.sources import analyses as store
+
+    rows = [(f"a{i:03d}", f"2024-01-{1 + i % 9:02d}", "idea", "done") for i in range(60)]
+    log = store.AnalysisLog(spark, folder + "/log")
+    log.save(spark.createDataFrame(rows, "analysis_id string, created_at string, business_idea string, status string"), 1)
+    kept = log.compact(folder + "/by-time").log()
+    after, seen_ids = None, []
+    for page in range(7):
+        got = store.history_after(kept, 10, after).collect()
+        assert [r.analysis_id for r in got] == [r.analysis_id for r in store.history_page(kept, 10, 10 * page).collect()]
+        seen_ids += [r.analysis_id for r in got]
+        after = (got[-1].created_at, got[-1].analysis_id) if got else after
+    assert sorted(seen_ids) == sorted(r[0] for r in rows)
+    plan = store.history_after(kept, 10, ("2024-01-03", "a007"))._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(created_at,2024-01-03)" in plan
