@@ -1,10 +1,13 @@
 """Quality rules with risk-controlled cutoffs. DataFrame functions only.
 
-Each rule rejects a document whose feature exceeds a cutoff. Cutoffs come from a fixed grid, per stratum (language):
-on the labelled documents, the tightest cutoff is taken for which the exact binomial test shows, with family-wise
-error ``delta`` over all strata, rules and grid points (Bonferroni), that at most ``alpha`` of the good documents are
-rejected. A rule for which no cutoff passes is not applied in that stratum. The risks of the rules add up, so each
-gets its share of the stratum's ``alpha``.
+Each rule rejects a document whose feature exceeds a cutoff. Cutoffs come from fixed grids, per stratum (language). The
+exact binomial test asks of the labelled documents whether at most ``alpha`` of the good ones are lost to the rules,
+base rules aside. Along a path of ever tighter cutoffs the tests run in a fixed order, loosest first, and stop at the
+first that fails, so a path as a whole costs one test (fixed-sequence testing). The family-wise error ``delta`` is
+shared by Bonferroni over the strata, and within a stratum half of it goes to the path on which all rules tighten
+together, the other half to one path per rule. If the common path gets anywhere, its cutoffs hold; else (one rule rejects
+good documents however loose) each rule holds as far as its own path got, with its share of ``alpha``, as the
+risks of the rules add up. A rule whose path fails at once is not applied in that stratum.
 """
 
 from __future__ import annotations
@@ -34,21 +37,36 @@ GRIDS: Mapping[str, Sequence[float]] = {
 
 @dataclass(frozen=True)
 class RiskControl:
-    """``alpha``: share of good documents that may be rejected in a stratum; ``delta``: chance that the bound fails."""
+    """``alpha``: share of good documents that may be rejected in a stratum; ``delta``: chance that the bound fails.
 
-    alpha: float = 0.02
+    ``grids``: cutoffs of each rule, ascending. A stratum needs about 210 good labelled documents before a cutoff can pass.
+    """
+
+    alpha: float = 0.025
     delta: float = 0.05
     strata: Sequence[str] = STRATA
     grids: Mapping[str, Sequence[float]] = field(default_factory=lambda: GRIDS)
 
-    @property
-    def rule_alpha(self) -> float:
-        return self.alpha / len(self.grids)
+    def paths(self) -> list[Path]:
+        """The common path, then one of each rule. The strata count one more: the other languages."""
+        share = self.delta / 2 / (len(self.strata) + 1)
+        longest = max(len(g) for g in self.grids.values())
+        common = [{r: g[max(len(g) - 1 - i, 0)] for r, g in self.grids.items()} for i in range(longest)]
+        alone = [Path(r, [{r: c} for c in reversed(g)], self.alpha / len(self.grids), share / len(self.grids)) for r, g in self.grids.items()]
+        return [Path(COMMON, common, self.alpha, share), *alone]
+
+
+COMMON = "all"
+
 
-    @property
-    def level(self) -> float:
-        """Level of one test: ``delta`` over the number of tests (the other languages are a stratum, too)."""
-        return self.delta / ((len(self.strata) + 1) * sum(len(g) for g in self.grids.values()))
+@dataclass(frozen=True)
+class Path:
+    """Cutoffs (by rule) from the loosest step to the tightest, the risk that each test bounds, and the level of the tests."""
+
+    name: str
+    steps: Sequence[Mapping[str, float]]
+    alpha: float
+    level: float
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
@@ -143,18 +161,34 @@ def risk_controlled_cutoffs(labelled: DataFrame, control: RiskControl) -> DataFr
 
     ``labelled`` has lang, good (boolean) and the statistics. At most ``len(strata) + 1`` rows. All labelled rows count.
     """
-    rules = features()
-    names = [(r, c) for r, grid in control.grids.items() for c in grid]
-    sums = [F.sum(F.when(rules[r] > c, 1).otherwise(0)) for r, c in names]
+    rules, paths = features(), control.paths()
+
+    def lost(step: Mapping[str, float]) -> Column:
+        """Good documents that only these cutoffs reject."""
+        over = F.greatest(F.lit(False), *[rules[r] > c for r, c in step.items()])
+        return F.count_if(over & ~base_failed())
+
     counted = (
         labelled.filter("good").groupBy(stratum(control).alias("_stratum"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.array(*sums).alias("_false"))
+        .agg(F.count(F.lit(1)).alias("_n"), *[F.array(*[lost(step) for step in p.steps]).alias(p.name) for p in paths])
     )
-    cases = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff")) for r, c in names])
-    rows = counted.select("_stratum", "_n", F.posexplode("_false").alias("_i", "_k")).withColumn("_case", cases[F.col("_i")])
-    passed = rows.filter(binomial_tail(F.col("_k"), F.col("_n"), control.rule_alpha) <= control.level)
-    chosen = passed.groupBy("_stratum", F.col("_case.rule").alias("_rule")).agg(F.min("_case.cutoff").alias("_cutoff"))
-    return chosen.groupBy("_stratum").agg(F.map_from_entries(F.collect_list(F.struct("_rule", "_cutoff"))).alias("_cutoffs"))
+
+    def reached(p: Path) -> Column:
+        """Steps of a path before the first that fails."""
+        fails = F.transform(F.col(p.name), lambda k: binomial_tail(k, F.col("_n"), p.alpha) > p.level)
+        first = F.array_position(fails, True)
+        return F.when(first == 0, F.lit(len(p.steps))).otherwise(first - 1).cast("int")
+
+    # a step is looked up by its number: no step, no cutoff
+    far = counted.select("_stratum", *[reached(p).alias(p.name) for p in paths])
+    common, *alone = paths
+    entries = [
+        F.struct(F.lit(p.name).alias("rule"), F.when(
+            F.col(common.name) > 0, F.get(F.array(*[F.lit(step[p.name]) for step in common.steps]), F.col(common.name) - 1)
+        ).otherwise(F.get(F.array(*[F.lit(step[p.name]) for step in p.steps]), F.col(p.name) - 1)).alias("cutoff"))
+        for p in alone
+    ]
+    return far.select("_stratum", F.map_from_entries(F.filter(F.array(*entries), lambda e: e["cutoff"].isNotNull())).alias("_cutoffs"))
 
 
 def learn_cutoffs(statistics: DataFrame, labels: DataFrame, control: RiskControl | None = None) -> DataFrame:

@@ -19,8 +19,10 @@ FROM j GROUP BY doc_id, k
 
 
 def quality_sql(control: RiskControl) -> str:
-    """Statistics, exact binomial cutoffs and verdicts, restated with windows and the log-gamma function."""
-    grid = ", ".join(f"('{r}', CAST({c!r} AS DOUBLE))" for r, g in control.grids.items() for c in g)
+    """Statistics, exact binomial tests along the paths and verdicts, restated with windows and the log-gamma function."""
+    steps = ", ".join(
+        f"('{p.name}', {i}, '{r}', CAST({c!r} AS DOUBLE), CAST({p.alpha!r} AS DOUBLE), CAST({p.level!r} AS DOUBLE))"
+        for p in control.paths() for i, step in enumerate(p.steps) for r, c in step.items())
     strata = ", ".join(f"'{s}'" for s in control.strata)
     return rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
@@ -37,24 +39,28 @@ st AS (SELECT w.doc_id, w.lang, len(words) AS n_words, length(array_to_string(wo
               len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(r.n, 0) AS n_repeat_words
        FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
 x AS (SELECT *, CASE WHEN lang IN ({strata}) THEN lang ELSE 'other' END AS stratum,
+             n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base,
              CASE WHEN word_chars > 0 THEN n_symbols::DOUBLE / word_chars ELSE 0 END AS symbol_share,
              CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS dup_line_share,
              CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS repeat_share,
              CASE WHEN word_chars > 0 THEN n_upper::DOUBLE / word_chars ELSE 0 END AS upper_share FROM st),
-f AS (SELECT doc_id, stratum, rule, share FROM (SELECT doc_id, stratum, symbol_share, dup_line_share, repeat_share, upper_share FROM x)
+f AS (SELECT doc_id, stratum, base, rule, share FROM (SELECT doc_id, stratum, base, symbol_share, dup_line_share, repeat_share, upper_share FROM x)
       UNPIVOT (share FOR rule IN (symbol_share, dup_line_share, repeat_share, upper_share))),
-grid(rule, cutoff) AS (VALUES {grid}),
+step(path, i, rule, cutoff, alpha, level) AS (VALUES {steps}),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
-c AS (SELECT f.stratum, f.rule, grid.cutoff, count(*) AS n, count(*) FILTER (f.share > grid.cutoff) AS k
-      FROM f JOIN good ON f.doc_id = good.doc_id JOIN grid ON f.rule = grid.rule GROUP BY ALL),
-cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM c
-        WHERE k <= n * {control.rule_alpha!r} AND list_sum(list_transform(range(k + 1), lambda i: exp(
-            lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({control.rule_alpha!r}) + (n - i) * ln(1 - {control.rule_alpha!r})))) <= {control.level!r}
-        GROUP BY stratum, rule),
+g2 AS (SELECT x.stratum, count(*) AS n FROM x JOIN good ON x.doc_id = good.doc_id GROUP BY x.stratum),
+lost AS (SELECT f.stratum, path, i, count(DISTINCT f.doc_id) AS k FROM f JOIN good ON f.doc_id = good.doc_id JOIN step ON f.rule = step.rule AND f.share > step.cutoff
+         WHERE NOT f.base GROUP BY ALL),
+c AS (SELECT g2.stratum, s.path, s.i, s.alpha, s.level, g2.n, coalesce(lost.k, 0) AS k FROM g2 CROSS JOIN (SELECT DISTINCT path, i, alpha, level FROM step) s
+      LEFT JOIN lost ON lost.stratum = g2.stratum AND lost.path = s.path AND lost.i = s.i),
+ok AS (SELECT *, k <= n * alpha AND list_sum(list_transform(range(k + 1), lambda j: exp(
+            lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(alpha) + (n - j) * ln(1 - alpha)))) <= level AS passes FROM c),
+far AS (SELECT stratum, path, coalesce(min(i) FILTER (NOT passes), max(i) + 1) AS reached FROM ok GROUP BY ALL),
+o AS (SELECT stratum, bool_or(path = 'all' AND reached > 0) AS together FROM far GROUP BY stratum),
+cut AS (SELECT far.stratum, step.rule, step.cutoff FROM far JOIN o ON o.stratum = far.stratum JOIN step ON step.path = far.path AND step.i = far.reached - 1
+        WHERE (far.path = 'all') = o.together),
 bad AS (SELECT DISTINCT f.doc_id FROM f JOIN cut ON f.stratum = cut.stratum AND f.rule = cut.rule WHERE f.share > cut.cutoff)
-SELECT x.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND bad.doc_id IS NULL AS kept
+SELECT x.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base AS base_failed, NOT base AND bad.doc_id IS NULL AS kept
 FROM x LEFT JOIN bad ON x.doc_id = bad.doc_id
 """
 

@@ -153,6 +153,42 @@ def test_cutoffs_bound_false_rejections(spark):
         assert rejected == (400 if found else 0)
 
 
+def cutoffs_by_hand(rows, control):
+    """Cutoffs of one stratum from its good documents (features by rule, base_failed)."""
+    def reached(path):
+        for i, step in enumerate(path.steps):
+            k = sum(any(x[r] > c for r, c in step.items()) and not base for x, base in rows)
+            if k > path.alpha * len(rows) or tail_by_hand(k, len(rows), path.alpha) > path.level:
+                return i
+        return len(path.steps)
+
+    common, *alone = control.paths()
+    if reached(common):
+        return dict(common.steps[reached(common) - 1])
+    return {p.name: p.steps[reached(p) - 1][p.name] for p in alone if reached(p)}
+
+
+@pytest.mark.parametrize("n, noisy", [(150, 0), (260, 0), (260, 1), (3000, 0), (3000, 40), (6000, 40), (6000, 400), (6000, 2000)])
+def test_cutoffs_along_paths(spark, n, noisy):
+    """``noisy`` good documents have ever more symbols; every seventh fails the base rule and costs the cutoffs nothing."""
+    docs = [(i, "fr", 10 if i % 7 == 3 else 100, 1000, 10 * (i % 45) if i < noisy else 0, 0, 5, 0, 4 * (i % 30)) for i in range(n)]
+    stats = spark.createDataFrame(docs, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
+                                        " n_lines_with_words long, n_repeat_words long, n_upper long")
+    control = quality.RiskControl()
+    got = quality.learn_cutoffs(stats, stats.selectExpr("doc_id", "1 AS quality")).collect()
+    rows = [({"symbol_share": s / 1000, "dup_line_share": 0, "repeat_share": 0, "upper_share": u / 1000}, w < 50) for _, _, w, _, s, _, _, _, u in docs]
+    want = cutoffs_by_hand(rows, control)
+    assert [(r._stratum, r._cutoffs) for r in got] == [("fr", want)]
+    if n == 150:
+        assert want == {}  # too few labels to show anything
+    elif noisy in (0, 40) and n != 260:
+        assert len(want) == 4
+    elif noisy == 400:
+        assert want["symbol_share"] == 0.3  # the common path ends half way
+    elif noisy == 2000:
+        assert "symbol_share" not in want and len(want) == 3  # the common path fails, the others go on alone
+
+
 def test_cutoffs_without_labels(spark):
     docs = quality.text_statistics(documents(spark, extra=False))
     labels = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, quality int")
