@@ -12,6 +12,7 @@ from tamarack.plans.registry import CLAIMS, query
 from tamarack.sources import analyses as store
 from tamarack.sources import catalog
 from tamarack.sources import pages as pg
+from tamarack.sources.shared import fresh_path
 from tamarack.streaming import feeds
 
 
@@ -167,11 +168,13 @@ def catalog_search(spark, sf):
     return catalog.search_catalog(queries, s).select("request_id", "url", "query_used")
 
 
-@query("search_results", """
+_SEARCH_SQL = """
 WITH p AS (SELECT page_id, url, CAST(floor(page_id / 20) AS BIGINT) AS r FROM pages WHERE page_id % 6 <> 5 AND page_id % 20 <> 1)
 SELECT 'r' || r AS request_id, url, 'P' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 1.0 ELSE 0.5 END AS relevance_score
-FROM p QUALIFY row_number() OVER (PARTITION BY r ORDER BY page_id) <= 4""")
-def search_results(spark, sf):
+FROM p QUALIFY row_number() OVER (PARTITION BY r ORDER BY page_id) <= 4"""
+
+
+def _payloads(spark, sf):
     """Payloads of twenty results in four shapes; every sixth result has no web address and one is no object: neither counts."""
     k = F.col("page_id")
     link = F.when(k % 6 == 5, F.concat(F.lit("ftp://"), k.cast("string"))).otherwise(F.col("url"))
@@ -183,12 +186,23 @@ def search_results(spark, sf):
     lists = corpus.table(spark, sf, "pages").groupBy(F.floor(k / 20).alias("r")).agg(F.array_sort(F.collect_list(item)).alias("items"))
     body = F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["j"]), ","), F.lit("]"))
     shaped = corpus.pick(("%s", '{"results": %s}', '{"data": %s}', '{"webPages": {"value": %s}}'), F.col("r") % 4)
-    payloads = lists.select(
+    return lists.select(
         F.concat(F.lit("r"), F.col("r").cast("string")).alias("request_id"), F.lit("q").alias("query_used"),
         F.replace(shaped, F.lit("%s"), body).alias("payload"), F.lit(4).alias("max_results"),
     )
-    out = catalog.parse_search_results(payloads)
-    return out.select("request_id", "url", "title", "relevance_score")
+
+
+@query("search_results", _SEARCH_SQL)
+def search_results(spark, sf):
+    return catalog.parse_search_results(_payloads(spark, sf)).select("request_id", "url", "title", "relevance_score")
+
+
+@query("payload_files", _SEARCH_SQL)
+def payload_files(spark, sf):
+    """The same results through saved files."""
+    path = fresh_path(spark, "payloads")
+    catalog.write_payloads(_payloads(spark, sf), path)
+    return catalog.parse_search_results(catalog.read_payloads(spark, path)).select("request_id", "url", "title", "relevance_score")
 
 
 # -- stored analyses ----------------------------------------------------------------------------
@@ -243,6 +257,29 @@ def upsert_analyses(spark, sf):
     return store.merge_analyses(old, new)
 
 
+@query("upsert_buckets", """
+WITH old AS (SELECT o_orderkey AS id, 'idea ' || o_orderkey AS idea, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0),
+new AS (SELECT o_orderkey AS id, 'new ' || o_orderkey AS idea, 'R' AS status FROM orders WHERE o_custkey % 10 = 0),
+gone AS (SELECT o_orderkey AS id FROM orders WHERE o_custkey % 7 = 0),
+again AS (SELECT o_orderkey AS id, 'again ' || o_orderkey AS idea, 'A' AS status FROM orders WHERE o_custkey % 14 = 0),
+u AS (SELECT coalesce(n.id, o.id) AS id, coalesce(o.idea, n.idea) AS idea, coalesce(n.status, o.status) AS status FROM old o FULL JOIN new n ON o.id = n.id),
+d AS (SELECT * FROM u WHERE id NOT IN (SELECT id FROM gone))
+SELECT coalesce(a.id, d.id) AS analysis_id, coalesce(d.idea, a.idea) AS business_idea, coalesce(a.status, d.status) AS status
+FROM d FULL JOIN again a ON a.id = d.id""")
+def upsert_buckets(spark, sf):
+    """A store in buckets: created, merged with a batch, some ids deleted, some of these saved again."""
+    o, k = corpus.table(spark, sf, "orders"), F.col("o_orderkey")
+
+    def rows(where, idea, status):
+        return o.filter(where).select(k.alias("analysis_id"), F.concat(F.lit(idea + " "), k.cast("string")).alias("business_idea"), status.alias("status"))
+
+    kept = store.AnalysisBuckets(spark, fresh_path(spark, "analyses"), buckets=16).create(rows(k % 3 != 0, "idea", F.col("o_orderstatus")))
+    kept.upsert(rows(F.col("o_custkey") % 10 == 0, "new", F.lit("R")))
+    kept.delete(o.filter(F.col("o_custkey") % 7 == 0).select(k.alias("analysis_id")))
+    kept.upsert(rows(F.col("o_custkey") % 14 == 0, "again", F.lit("A")))
+    return kept.current()
+
+
 # -- run events (batch form of the streaming operators) -----------------------------------------
 
 

@@ -1,14 +1,14 @@
-"""Stored analyses: an append-only Parquet log of versions.
+"""Stored analyses: an append-only Parquet log of versions, or the current state in buckets of ids.
 
 Saving appends rows, which Spark's file commit makes all-or-nothing; nothing is rewritten, so a lost
 executor or a failed job leaves the former state. Reading takes the latest version per id but keeps the
 first ``business_idea`` and ``created_at``. A deletion is a row too. ``compact`` writes the current
-state to a new place.
+state to a new place. :class:`AnalysisBuckets` keeps no versions: an upsert rewrites the buckets that it touches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEPT = ("business_idea", "created_at")
@@ -108,3 +108,65 @@ class AnalysisLog:
 
     def _append(self, rows: DataFrame, version: int) -> None:
         rows.withColumn("version", F.lit(version).cast("bigint")).write.mode("append").parquet(self.path)
+
+
+class AnalysisBuckets:
+    """Current analyses at a path, one row per id, in ``buckets`` partitions by a hash of the id.
+
+    A batch reads and rewrites only the buckets of its own ids, by dynamic partition overwrite: files of other buckets
+    stay as they are, and lost executors leave the former state, as new files are moved in after the last task. A
+    deleted id stays as a mark, so that a bucket whose last analysis goes is rewritten like any other. The number of
+    buckets belongs to the store; a bucket may be written as several files.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 256) -> None:
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def create(self, analyses: DataFrame) -> AnalysisBuckets:
+        """Write a new store with ``analyses`` (analysis_id and any other columns, one row per id); fails on an existing one."""
+        self._write(analyses.withColumn("is_deleted", F.lit(False)), "error")
+        return self
+
+    def upsert(self, incoming: DataFrame) -> None:
+        """Merge analyses (one row per id, the store's columns) as :func:`merge_analyses` does; a deleted id starts anew."""
+        old = self._touched(incoming)
+        alive = old.filter(~F.col("is_deleted")).drop("is_deleted")
+        marks = old.filter("is_deleted").join(incoming.select("analysis_id"), "analysis_id", "left_anti")
+        merged = merge_analyses(alive, incoming.select(alive.columns)).withColumn("is_deleted", F.lit(False))
+        self._write(merged.unionByName(marks), "overwrite")
+
+    def delete(self, ids: DataFrame) -> None:
+        """Mark the ids of a table with ``analysis_id`` as deleted; unknown ids change nothing."""
+        gone = ids.select("analysis_id").filter("analysis_id IS NOT NULL").distinct().withColumn("_gone", F.lit(True))
+        marked = self._touched(ids).join(gone, "analysis_id", "left")
+        columns = [c for c in marked.columns if c not in ("analysis_id", "is_deleted", "_gone")]
+        kept = [F.when(F.col("_gone").isNull(), F.col(f"`{c}`")).alias(c) for c in columns]  # a mark keeps the id alone
+        self._write(marked.select("analysis_id", *kept, (F.col("is_deleted") | F.col("_gone").isNotNull()).alias("is_deleted")), "overwrite")
+
+    def current(self) -> DataFrame:
+        return self._stored().filter(~F.col("is_deleted")).drop("bucket", "is_deleted")
+
+    def get(self, analysis_id: str) -> DataFrame:
+        """One analysis: only files of its bucket are read."""
+        key = F.lit(analysis_id).cast(self._stored().schema["analysis_id"].dataType)
+        one = self._stored().filter((F.col("bucket") == self._bucket(key)) & (F.col("analysis_id") == key) & ~F.col("is_deleted"))
+        return one.drop("bucket", "is_deleted")
+
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def _touched(self, ids: DataFrame) -> DataFrame:
+        """Rows of the buckets that hold these ids."""
+        stored = self._stored()
+        key = F.col("analysis_id").cast(stored.schema["analysis_id"].dataType)
+        buckets = ids.filter("analysis_id IS NOT NULL").select(self._bucket(key).alias("b")).distinct()
+        touched = [r.b for r in buckets.collect()]  # as many numbers as there are buckets at most
+        return stored.filter(F.col("bucket").isin(touched)).drop("bucket")
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        placed = rows.filter("analysis_id IS NOT NULL").withColumn("bucket", self._bucket(F.col("analysis_id")))
+        writer = placed.hint("rebalance", "bucket").write.option("partitionOverwriteMode", "dynamic")
+        writer.mode(mode).partitionBy("bucket").parquet(self.path)

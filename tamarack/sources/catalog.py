@@ -26,6 +26,25 @@ def search_catalog(queries: DataFrame, catalog: DataFrame, on=("request_id",)) -
     return first_rows(joined, F.col("max_results"), [*on, "query_no"], ["ord", "url"], ["ord", "url"]).drop("max_results")
 
 
+PAYLOAD_SCHEMA = "request_id string, query_used string, max_results int, payload string"
+
+
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """Saved search API responses, one JSON object a line, as :func:`parse_search_results` takes them.
+
+    ``payload`` may be an object, a list or a text that holds one. Files are split at lines, and a filter on the columns
+    (``request_id``) is applied by the reader before a line's other fields are parsed. Lines that are no JSON
+    object or name no request are left out; without a limit 5 results stay.
+    """
+    lines = spark.read.schema(PAYLOAD_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    return lines.filter(F.col("request_id").isNotNull()).fillna({"max_results": 5})
+
+
+def write_payloads(payloads: DataFrame, path: str) -> None:
+    """Save responses (request_id, query_used, max_results, payload) for :func:`read_payloads`; adds to what the folder has."""
+    payloads.select("request_id", "query_used", F.col("max_results").cast("int").alias("max_results"), "payload").write.mode("append").json(path)
+
+
 def parse_search_results(payloads: DataFrame) -> DataFrame:
     """Search API payloads (JSON text) to source rows.
 
