@@ -14,17 +14,17 @@ _SEP = "\u0001"
 
 def has_any(col: Column, words) -> Column:
     """True when any term occurs in ``col`` (substring test, one regex pass; null counts as empty)."""
-    return F.coalesce(col, F.lit("")).rlike(terms.alternation(words))
+    return F.coalesce(col, F.lit("")).rlike(terms.prefix_alternation(words))
 
 
 def has_any_word(col: Column, words) -> Column:
     """True when any term occurs in ``col`` on word boundaries."""
-    return F.coalesce(col, F.lit("")).rlike(r"\b" + terms.alternation(words) + r"\b")
+    return F.coalesce(col, F.lit("")).rlike(r"\b" + terms.prefix_alternation(words) + r"\b")
 
 
 def is_one_of(col: Column, words) -> Column:
     """True when the whole text is one of many words: one literal pattern instead of a literal per word."""
-    return F.coalesce(col, F.lit("")).rlike("^" + terms.alternation(words) + "$")
+    return F.coalesce(col, F.lit("")).rlike("^" + terms.prefix_alternation(words) + "$")
 
 
 def low(col: Column) -> Column:
@@ -57,7 +57,7 @@ def on_domain(domain: Column, names, substring: bool = False) -> Column:
     """
     if substring:
         return has_any(domain, names)
-    return F.coalesce(domain, F.lit("")).rlike(r"(?:^|\.)" + terms.alternation(names) + r"(?:\.|:|$)")
+    return F.coalesce(domain, F.lit("")).rlike(r"(?:^|\.)" + terms.prefix_alternation(names) + r"(?:\.|:|$)")
 
 
 # -- normalisation ------------------------------------------------------------------------------
@@ -176,19 +176,21 @@ def group(match: Column, i: int) -> Column:
 
 # -- places and years ---------------------------------------------------------------------------
 
-_PLACE_PATTERN = r"(?iU)\b" + terms.alternation(terms.PLACES) + r"\b"
+_PLACE_PATTERN = r"(?iU)\b" + terms.prefix_alternation(terms.PLACES, ignore_case=True) + r"\b"
 # The nearest place before a match is the one that starts last: of "Southeast Asia" that is "Asia".
-_LAST_PLACE_PATTERN = r"(?iU)\b" + terms.alternation([p for p in terms.PLACES if p != "Southeast Asia"]) + r"\b"
+_LAST_PLACE_PATTERN = r"(?iU)\b" + terms.prefix_alternation([p for p in terms.PLACES if p != "Southeast Asia"], ignore_case=True) + r"\b"
 _WORLD_SHARE = r"(?iU)^\s*(?:of\s+(?:the\s+)?(?:global|worldwide|world))"
 _WORLD_DENOMINATOR = r"(?iU)\bof\s+(?:the\s+)?(?:global|worldwide|world)\b"
 
 
+def _bound(value: Column, make) -> Column:
+    """``make`` of a value that is computed once, however often it is read."""
+    return F.transform(F.array(value), make)[0]
+
+
 def canonical_place(place: Column) -> Column:
-    p = F.lower(place)
-    out = F.when(place.isNull() | (place == ""), F.lit(None).cast("string"))
-    for alias, name in terms.PLACE_ALIASES.items():
-        out = out.when(p == alias, name)
-    return out.otherwise(F.initcap(p))
+    aliases = F.create_map(*[F.lit(word) for pair in terms.PLACE_ALIASES.items() for word in pair])
+    return _bound(place, lambda p: F.when(p != "", F.coalesce(F.try_element_at(aliases, F.lower(p)), F.initcap(p))))
 
 
 def first_place(text: Column) -> Column:
@@ -230,8 +232,8 @@ def place_of_match(around: Column, whole: Column) -> Column:
     last_before = canonical_place(
         F.try_element_at(F.regexp_extract_all(before, F.lit(_LAST_PLACE_PATTERN), F.lit(0)), F.lit(-1))
     )
-    first_after = first_place(after)
-    usable_after = F.when(~(after.rlike(_WORLD_SHARE) & first_after.isin("Global", "Worldwide")), first_after)
+    usable_after = _bound(first_place(after), lambda p: F.when(
+        p.isNotNull() & ~(p.isin("Global", "Worldwide") & after.rlike(_WORLD_SHARE)), p))
     return F.coalesce(
         last_before,
         usable_after,
@@ -275,11 +277,11 @@ def _in(word: str, words) -> str:
     return f"{word} in (" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")"
 
 
-_SINGULAR = "substring(lower(w), 1, length(w) - 1)"
-# A recognised market entity: noise wins, then the word or its form without a final s.
+_SINGULAR = "substring(x.l, 1, length(x.w) - 1)"
+# A recognised market entity, of a word ``x.w`` and its lower case ``x.l``: noise wins, then the word or its form without a final s.
 _ENTITY_SQL = (
-    f"(not {_in('lower(w)', terms.NOISE_WORDS)} and ({_in('lower(w)', terms.ENTITY_TERMS)} or "
-    f"(lower(w) like '%s' and length(w) > 3 and {_in(_SINGULAR, terms.ENTITY_TERMS)})))"
+    f"(not {_in('x.l', terms.NOISE_WORDS)} and ({_in('x.l', terms.ENTITY_TERMS)} or "
+    f"(x.l like '%s' and length(x.w) > 3 and {_in(_SINGULAR, terms.ENTITY_TERMS)})))"
 )
 
 
@@ -296,10 +298,11 @@ def noun_phrase(words: Column, verbs, noise_ends: bool) -> Column:
     whether the last word is a recognised entity. No word of the phrase is noise.
     """
     tags = (
-        f"w -> named_struct('w', w, 'stop', {_in('lower(w)', terms.STOP_WORDS)}, 'verb', {_in('lower(w)', verbs)}, "
-        f"'noise', {_in('lower(w)', terms.NOISE_WORDS)}, 'entity', {_ENTITY_SQL})"
+        f"x -> named_struct('w', x.w, 'stop', {_in('x.l', terms.STOP_WORDS)}, 'verb', {_in('x.l', verbs)}, "
+        f"'noise', {_in('x.l', terms.NOISE_WORDS)}, 'entity', {_ENTITY_SQL})"
     )
-    tagged = F.call_function("transform", words, F.expr(tags))
+    lowered = F.transform(words, lambda w: F.struct(w.alias("w"), F.lower(w).alias("l")))
+    tagged = F.call_function("transform", lowered, F.expr(tags))
     start = F.expr("named_struct('np', cast(array() as array<string>), 'entity', false, 'done', false)")
     grow = "named_struct('np', concat(acc.np, array(t.w)), 'entity', t.entity, 'done', {done})"
     keep = "named_struct('np', acc.np, 'entity', acc.entity, 'done', {done})"

@@ -31,6 +31,8 @@ RANGE_PATTERN = (
     rf"{_CUR}\s*{_PLAIN}\s*{_MULT}\s*(?:–|-|to|and)\s*{_CUR}\s*{_PLAIN}\s*{_MULT}\s*"
     r"([a-zA-Z%]+(?:\s+[a-zA-Z%]+){0,3})?\b)"
 )
+# What stands between the numbers of every range: a sentence without it needs no look for the rest.
+_RANGE_JOINT = rf"(?iU)[0-9]\s*{_MULT}\s*(?:–|-|to|and)\s*{_CUR}\s*[0-9]"
 MONEY_PATTERN = (
     r"(?iU)(?:(?:\b(?:valued at|revenue of|market size of|worth|spending of|cost of|fee of|price of)\s+)?"
     rf"(?:(USD|\$|INR|₹|EUR|€|GBP|£)\s*{_GROUPED}\s*{_MULT}|"
@@ -57,7 +59,7 @@ FAMILIES = ("range", "approximate", "money", "count", "percent")
 # A number has at most one qualifier directly before it, so one pass finds them all. The words that
 # follow are only looked at, not consumed: they may hold the next qualifier.
 APPROX_PATTERN = (
-    rf"(?iU)\b({terms.alternation(terms.QUALIFIERS)})\s+{_GROUPED}\s*{_MULT}"
+    rf"(?iU)\b({terms.prefix_alternation(terms.QUALIFIERS, ignore_case=True)})\s+{_GROUPED}\s*{_MULT}"
     r"(?=(\s+[a-zA-Z%]+(?:\s+[a-zA-Z%]+){0,4})\b)"
 )
 
@@ -104,13 +106,14 @@ def _is_macro_word(mult: Column) -> Column:
 
 def _sentence_flags(s: Column, lowered: Column) -> dict[str, Column]:
     """What the claim families ask of a whole sentence, once for all matches in it."""
+    rated = lowered.contains("per")  # what both patterns of a rate begin with
     return {
         **context_flags(lowered),
-        "range_per_unit": tx.has_any(lowered, terms.UNIT_SPEND_TERMS) | s.rlike(terms.PER_UNIT_PATTERN),
+        "range_per_unit": tx.has_any(lowered, terms.UNIT_SPEND_TERMS) | (rated & s.rlike(terms.PER_UNIT_PATTERN)),
         "range_priced": tx.has_any(lowered, terms.RANGE_PRICE_TERMS) & ~tx.has_any(lowered, terms.RANGE_MACRO_TERMS),
         "growing": tx.has_any(lowered, terms.GROWTH_TERMS),
         "growing_or_scaled": tx.has_any(lowered, terms.GROWTH_TERMS + ("scaled",)),
-        "money_per_unit": tx.has_any(lowered, terms.MONEY_UNIT_SPEND_TERMS) | s.rlike(terms.MONEY_PER_UNIT_PATTERN),
+        "money_per_unit": tx.has_any(lowered, terms.MONEY_UNIT_SPEND_TERMS) | (rated & s.rlike(terms.MONEY_PER_UNIT_PATTERN)),
         "usage_rate": tx.has_any(lowered, terms.USAGE_RATE_TERMS),
         "survey": tx.has_any(lowered, terms.SURVEY_TERMS),
     }
@@ -174,7 +177,7 @@ def _range_candidates(s: Column, lowered: Column, seen) -> Column:
             & (is_money | (unit == "%") | m["words"]["entity"] | (F.size(m["words"]["np"]) == 0)),
         )
 
-    likely = s.rlike(r"(?is)[0-9].*(?:–|-|to|and).*[0-9]")
+    likely = s.rlike(_RANGE_JOINT)
     return F.when(likely & s.rlike(RANGE_PATTERN), F.transform(named, build)).otherwise(_no_candidates())
 
 
@@ -257,6 +260,7 @@ def _count_candidates(sentence: Column, lowered: Column, seen) -> Column:
     named = _bind(
         parsed,
         noun=lambda x: F.array_join(x["words"]["np"], " "),
+        lowered=lambda x: F.lower(F.array_join(x["words"]["np"], " ")),
         unit=lambda x: F.lower(_last(x["words"]["np"])),
     )
 
@@ -265,7 +269,7 @@ def _count_candidates(sentence: Column, lowered: Column, seen) -> Column:
         m, number, value = p["m"], p["number"], p["value"]
         bare_year = p["mult"].isNull() & F.regexp_replace(number, ",", "").rlike(r"^(?:19[0-9][0-9]|20[0-3][0-9])$")
         kind = metric_type_in_context(
-            F.lower(x["noun"]), x["unit"], seen, F.lit(None).cast("double"), F.lit(None).cast("string")
+            x["lowered"], x["unit"], seen, F.lit(None).cast("double"), F.lit(None).cast("string")
         )
         tiny = p["mult"].isNull() & (value < 50) & ~survey & F.coalesce(kind.isin(*_HEAD_COUNT_TYPES), F.lit(False))
         raw = F.concat_ws(" ", number, p["mult"], x["noun"])
@@ -370,10 +374,14 @@ def _keep_disjoint_of_many(candidates: Column) -> Column:
 # -- sentences ----------------------------------------------------------------------------------
 
 
+_MARKS = "‘’‚‛�\u0001\u0002"
+
+
 def clean_sentence(sentence: Column) -> Column:
     """Trim, plain apostrophes, no control marks."""
-    plain = F.translate(F.coalesce(sentence, F.lit("")), "‘’‚‛�\u0001\u0002", "'''''  ")
-    return tx.strip_all(plain)
+    text = F.coalesce(sentence, F.lit(""))
+    plain = F.translate(text, _MARKS, "'''''  ")
+    return tx.strip_all(F.when(text.rlike(f"[{_MARKS}]"), plain).otherwise(text))
 
 
 def sentences(documents: DataFrame, content: str = "content") -> DataFrame:
@@ -408,12 +416,8 @@ def claims_from_sentences(rows: DataFrame, sentence: str = "sentence", families=
     lifecycle_stage``. ``families`` may name fewer families, in the same order of precedence.
     """
     rest = [c for c in rows.columns if c != sentence]
-    cleaned = (
-        rows.filter(F.col(sentence).rlike("[0-9]"))
-        .withColumn("_s", clean_sentence(F.col(sentence)))
-        .filter(may_hold_claims(F.col("_s")))
-        .withColumn("_l", F.lower("_s"))
-    )
+    numbered = rows.filter(F.col(sentence).rlike("[0-9]"))
+    cleaned = computed_once(numbered, {"_s": clean_sentence(F.col(sentence))}).filter(may_hold_claims(F.col("_s"))).withColumn("_l", F.lower("_s"))
     s, lowered = F.col("_s"), F.col("_l")
     flags = _sentence_flags(s, lowered)
     cleaned = computed_once(cleaned, {f"_f_{k}": v for k, v in flags.items()})
@@ -436,12 +440,12 @@ def claims_from_sentences(rows: DataFrame, sentence: str = "sentence", families=
         "geography": tx.place_of_match(F.col("around"), F.col("_place")),
         "year": tx.year_of_match(F.col("around"), F.col("c.ms"), F.col("c.me"), F.col("_years")),
     })
+    named = F.array(F.struct(F.lower("c.metric").alias("metric"), F.lower("c.unit").alias("unit")))
     typed = computed_once(placed, {
         "metric_type": F.coalesce(
             F.col("c.fixed_type"),
-            metric_type_in_context(
-                F.lower("c.metric"), F.lower("c.unit"), seen, F.col("c.type_value"), F.lower("c.mult")
-            ),
+            F.transform(named, lambda x: metric_type_in_context(
+                x["metric"], x["unit"], seen, F.col("c.type_value"), F.lower("c.mult")))[0],
             F.col("c.default_type"),
         ),
     })

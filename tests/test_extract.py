@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tamarack import terms
 from tamarack.functions import text as tx
 from tamarack.operators import extract as ex
 
@@ -184,3 +185,22 @@ def test_offsets_over_block_borders(spark):
     text = " ".join(str(i) for i in range(1500))
     got = spark.createDataFrame([(text,)], "t string").select(tx.find_all(F.col("t"), "([0-9]+)", 1).alias("m")).first().m
     assert [(m.s, m.e, m.g[0]) for m in got] == [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", text)]
+
+
+def test_terms_with_shared_beginnings_match_as_a_plain_alternation():
+    words = ("asia", "as", "asian", "b$", "a", "b", "US", "usa")
+    for ignore_case in (False, True):
+        flags = re.IGNORECASE if ignore_case else 0
+        plain, shared = terms.alternation(words), terms.prefix_alternation(words, ignore_case)
+        for text in ("asian usa b$ a", "xUSA asias b", "", "AsiaUS"):
+            for end in ("", r"(?!n)", r"\b"):
+                assert re.findall(plain + end, text, flags) == re.findall(shared + end, text, flags)
+        assert shared.startswith("(?:(?=[")  # places where no term begins are passed over
+    assert terms.prefix_alternation(("", "a")) == terms.alternation(("", "a"))
+
+
+def test_a_place_is_searched_once(spark):
+    df = spark.createDataFrame([("in the USA",), ("new DELHI sells",), ("none",), (None,)], "t string")
+    out = df.select("t", tx.first_place(F.col("t")).alias("p"))
+    assert {r.t: r.p for r in out.collect()} == {"in the USA": "United States", "new DELHI sells": "Delhi", "none": None, None: None}
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_extract(") == 1
