@@ -15,6 +15,7 @@ from tamarack.operators import requests as req
 from tamarack.plans import corpus
 from tamarack.plans import report as rep
 from tamarack.plans.registry import CLAIMS, GROUPS, query
+from tamarack.sources.shared import written_once
 
 _RELEVANCE = CLAIMS + """,
 rel AS (
@@ -205,6 +206,7 @@ FROM d LEFT JOIN x USING (n_name) LEFT JOIN t USING (n_name)""")
 def evidence_summary(spark, sf):
     checked = ev.validate_claims(corpus.claims(spark, sf).withColumn("request_id", F.col("geography")))
     tri = ev.triangulate(checked, validated=True)
+    checked = written_once(checked.select("request_id", "is_valid", "domain", "source_quality_score", *ev._CANONICAL, *ev.KEPT), "checked-claims")
     nation = corpus.table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("request_id"))
     sources = corpus.table(spark, sf, "supplier").join(nation, "s_nationkey").select("request_id", "s_suppkey")
     status = F.when(F.col("s_suppkey") % 4 == 3, "fetch_failed").when(F.col("s_suppkey") % 4 == 2, "snippet_fallback").otherwise("success")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -21,3 +21,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="tamarack-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/tamarack/{name}-{uuid.uuid4().hex}"
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read back, for one that is costly and read several times."""
+    spark = df.sparkSession
+    path, schema = fresh_path(spark, name), df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
