@@ -147,7 +147,8 @@ def triangulation_batches(spark, sf):
     """Three batches of claims, each reduced to facts by itself; the facts merge to the statuses of one run."""
     checked = ev.validate_claims(corpus.claims(spark, sf))
     parts = [inc.claim_facts(checked.filter(F.col("supp_key") % 3 == i)) for i in range(3)]
-    t = inc.triangulate_facts(inc.merge_facts(inc.merge_facts(parts[0], parts[1]), parts[2]))
+    groups = inc.groups_of_facts(inc.merge_facts(inc.merge_facts(parts[0], parts[1]), parts[2]))
+    t = ev.statuses(written_once(groups, "claim-groups"))
     return t.select("group_id", "candidate_id", "value", "validation_status", "lifecycle_stage", "confidence", "n_claims", "n_urls",
                     "corroborating_source_count", "conflicting_source_count", "is_syndicated")
 
