@@ -264,9 +264,15 @@ def triangulate(claims: DataFrame, validated: bool = False, substring_domains: b
     needs two independent domains, one of them in tier 1 to 3, and no conflict. Rejected claims are left
     out here; read them from :func:`validate_claims`.
     """
-    checked = claims if validated else validate_claims(claims, substring_domains)
-    groups = duplicate_groups(with_claim_keys(checked.filter("is_valid")), keep=KEPT)
-    return statuses(groups)
+    return statuses(claim_groups(claims if validated else validate_claims(claims, substring_domains)))
+
+
+def claim_groups(checked: DataFrame) -> DataFrame:
+    """Groups of the valid claims, as :func:`statuses` takes them.
+
+    It reads them twice, for the totals of subjects too: write them first where the claims are costly to derive.
+    """
+    return duplicate_groups(with_claim_keys(checked.filter("is_valid")), keep=KEPT)
 
 
 # Columns of a claim that its group carries beyond the canonical ones.

@@ -247,7 +247,8 @@ def evidence_items(spark, sf):
 def _items(spark, sf):
     """Triangulated claims of every nation, joined with that nation's request."""
     checked = ev.validate_claims(corpus.claims(spark, sf).withColumn("request_id", F.col("geography")))
-    return ev.triangulate(checked, validated=True).withColumns({
+    groups = written_once(ev.claim_groups(checked), "claim-groups")
+    return ev.statuses(groups).withColumns({
         "business_idea": F.lit("Economy goods platform"), "target_geography": F.col("request_id"), "target_year": F.lit(1998),
     })
 
