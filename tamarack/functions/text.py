@@ -142,8 +142,7 @@ def find_all(text: Column, pattern: str, groups: int) -> Column:
         F.array().cast("array<struct<s:int,e:int,g:array<string>>>").alias("out"),
     )
 
-    def step(acc, piece):
-        g = F.split(piece, _SEP)
+    def step(acc, g):
         is_match = F.size(g) > 1
         end = acc["pos"] + F.length(g[0])
         hit = F.struct(acc["pos"].alias("s"), end.alias("e"), g.alias("g"))
@@ -158,15 +157,20 @@ def find_all(text: Column, pattern: str, groups: int) -> Column:
             F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _BLOCK).cast("int")),
             lambda i: F.aggregate(F.slice(p, i * _BLOCK + 1, F.lit(_BLOCK)), start, step))
 
-    placed = F.aggregate(
-        F.transform(F.array(F.struct(pieces.alias("p"))), lambda x: block(x["p"]))[0],
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<at:int,b:array<struct<s:int,e:int,g:array<string>>>>>").alias("out")),
-        lambda acc, b: F.struct(
-            (acc["pos"] + b["pos"]).alias("pos"),
-            F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("at"), b["out"].alias("b")))).alias("out")),
-        lambda acc: acc["out"])
-    return F.flatten(F.transform(placed, lambda b: F.transform(b["b"], lambda m: F.struct(
-        (b["at"] + m["s"]).alias("s"), (b["at"] + m["e"]).alias("e"), m["g"].alias("g")))))
+    def in_blocks(p):
+        placed = F.aggregate(
+            block(p),
+            F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<at:int,b:array<struct<s:int,e:int,g:array<string>>>>>").alias("out")),
+            lambda acc, b: F.struct(
+                (acc["pos"] + b["pos"]).alias("pos"),
+                F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("at"), b["out"].alias("b")))).alias("out")),
+            lambda acc: acc["out"])
+        return F.flatten(F.transform(placed, lambda b: F.transform(b["b"], lambda m: F.struct(
+            (b["at"] + m["s"]).alias("s"), (b["at"] + m["e"]).alias("e"), m["g"].alias("g")))))
+
+    # a text of one block, as nearly all are, needs no second level
+    split = F.transform(pieces, lambda piece: F.split(piece, _SEP))
+    return _bound(split, lambda p: F.when(F.size(p) <= _BLOCK, F.aggregate(p, start, step, lambda acc: acc["out"])).otherwise(in_blocks(p)))
 
 
 def group(match: Column, i: int) -> Column:

@@ -50,7 +50,7 @@ _CANDIDATE = (
     "unit:string,range_min:double,range_max:double,type_value:double,mult:string,fixed_type:string,"
     "default_type:string,ok:boolean>"
 )
-_FIELDS = tuple(part.split(":")[0] for part in _CANDIDATE[len("struct<"):-1].split(","))
+_FIELDS = dict(part.split(":") for part in _CANDIDATE[len("struct<"):-1].split(","))
 _MONEY_UNITS = ("USD", "INR", "EUR", "GBP")
 _PRICE_TITLE, _SIZE_TITLE, _USAGE_TITLE = "annual pricing / ARPU", "market size / revenue", "tariff / usage rate"
 _GROWTH_TITLE, _SHARE_TITLE = "growth rate / CAGR", "market share / segment percentage"
@@ -67,7 +67,8 @@ APPROX_PATTERN = (
 def _candidate(**given) -> Column:
     cols = [given.get(n, F.lit(None)) for n in _FIELDS]
     cols = [c if isinstance(c, Column) else F.lit(c) for c in cols]
-    return F.struct(*[c.alias(n) for c, n in zip(cols, _FIELDS)]).cast(_CANDIDATE)
+    # field by field: of a field that has its type already nothing is left to do for a row
+    return F.struct(*[c.cast(kind).alias(n) for c, (n, kind) in zip(cols, _FIELDS.items())])
 
 
 def _no_candidates() -> Column:
@@ -321,8 +322,12 @@ def _keep_disjoint(candidates: Column, sentence: Column) -> Column:
         return F.when(taken, acc).otherwise(F.struct(marked.alias("mask"), F.concat(acc["kept"], F.array(c)).alias("kept")))
 
     start = F.struct(F.repeat(F.lit("0"), F.char_length(sentence)).alias("mask"), _no_candidates().alias("kept"))
-    few = F.aggregate(F.filter(candidates, lambda c: c["ok"]), start, step, lambda acc: acc["kept"])
-    return F.when(F.size(candidates) <= MANY_CANDIDATES, few).otherwise(_keep_disjoint_of_many(candidates))
+
+    def settled(usable):  # one alone overlaps nothing
+        few = F.aggregate(usable, start, step, lambda acc: acc["kept"])
+        return F.when(F.size(usable) <= 1, usable).when(F.size(candidates) <= MANY_CANDIDATES, few).otherwise(_keep_disjoint_of_many(candidates))
+
+    return F.transform(F.array(F.filter(candidates, lambda c: c["ok"])), settled)[0]
 
 
 _SPAN = "struct<rs:int,re:int>"

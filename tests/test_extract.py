@@ -204,3 +204,17 @@ def test_a_place_is_searched_once(spark):
     out = df.select("t", tx.first_place(F.col("t")).alias("p"))
     assert {r.t: r.p for r in out.collect()} == {"in the USA": "United States", "new DELHI sells": "Delhi", "none": None, None: None}
     assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_extract(") == 1
+
+
+def test_offsets_over_block_edges(spark):
+    texts = ["", "no digit", "7", *[" ".join(str(i % 10) for i in range(n)) for n in (126, 127, 128, 129, 300)]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", tx.find_all(F.col("t"), "([0-9])", 1).alias("m")).collect():
+        assert [(m.s, m.e, list(m.g)) for m in r.m] == [(m.start(), m.end(), [m.group(), m.group()]) for m in re.finditer("[0-9]", r.t)]
+
+
+def test_candidates_are_not_cast_as_a_whole(spark):
+    """Fields get their types one by one; a cast of the struct would rebuild every candidate."""
+    df = spark.createDataFrame([("It has 12 users.",)], "sentence string")
+    plan = ex.claims_from_sentences(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "as struct<" not in plan
