@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -36,14 +37,18 @@ def business_columns(requests: DataFrame) -> DataFrame:
     )
 
 
-def analyze(requests: DataFrame, source_table: DataFrame, document_table: DataFrame, gate: str = "ranked", policy: str = "orchestrator") -> Analysis:
+def analyze(requests: DataFrame, source_table: DataFrame, document_table: DataFrame, gate: str = "ranked", policy: str = "orchestrator",
+            store: Callable[[DataFrame, str], DataFrame] | None = None) -> Analysis:
     """Build the analysis of every request.
 
     ``source_table`` has one row per discovered source with ``request_id, ord`` and the source columns;
     ``document_table`` the fetched documents by url. ``gate`` chooses operands by ``ranked`` scores or by
     ``first_match``. Shuffles: sources by url, claims by claim key and by subject, operands by request.
+    Requests and claim groups are read several times; with ``store`` (such as :func:`tamarack.sources.shared.written_once`)
+    they are written first, so that texts are extracted once for the reports.
     """
-    wanted = req.derive_business(req.clean_requests(requests))
+    store = store or (lambda df, name: df)
+    wanted = store(req.derive_business(req.clean_requests(requests)), "requests")
     business = business_columns(wanted)
     queries = req.unified_query(wanted)
     paired = source_table.join(queries.drop("query_no", "year"), "request_id")
@@ -54,7 +59,7 @@ def analyze(requests: DataFrame, source_table: DataFrame, document_table: DataFr
     documents = catalog.attach_documents(sources, document_table)
     claims = extract.extract_claims(documents)
     checked = evidence.validate_claims(claims.join(business, "request_id"))
-    tri = evidence.triangulate(checked, validated=True)
+    tri = evidence.statuses(store(evidence.claim_groups(checked), "claim-groups"))
     if gate == "ranked":
         best = operands.best_operands(operands.operand_candidates(tri.join(business.drop("preferred_year"), "request_id")))
         asked = wanted.select("request_id", "assumptions", "pricing_basis").join(

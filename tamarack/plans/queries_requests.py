@@ -14,6 +14,7 @@ from tamarack.operators import requests as req
 from tamarack.plans import analyze as an
 from tamarack.plans import corpus
 from tamarack.plans.registry import query
+from tamarack.sources.shared import written_once
 
 _PHRASES = (
     "Cloud CRM to manage the sales pipeline of", "Payroll and hiring software for", "Dental clinic scheduling for", "Fleet and freight routing for",
@@ -264,10 +265,10 @@ def merged_competitors(spark, sf):
 
 def analysis_inputs(spark, sf):
     """Requests per place, the derived documents as their sources and pages."""
-    docs = corpus.sentences(spark, sf)
     place = F.regexp_extract("content", r"market in ([A-Z][a-z]+) reached", 1)
+    docs = written_once(corpus.sentences(spark, sf).withColumn("request_id", place), "documents")
     sources = docs.select(
-        place.alias("request_id"), F.col("doc_id").alias("ord"), F.col("original_url").alias("url"), F.lit("market report").alias("title"),
+        "request_id", F.col("doc_id").alias("ord"), F.col("original_url").alias("url"), F.lit("market report").alias("title"),
         F.lit("enterprise market size").alias("snippet"), "source_name", F.lit("other").alias("category"), F.lit(0.8).alias("relevance_score"),
     )
     documents = docs.groupBy("original_url").agg(F.min_by(F.struct("source_name", "content"), "doc_id").alias("d")).select(
@@ -285,6 +286,6 @@ def analysis_inputs(spark, sf):
 @query("analysis_reports")
 def analysis_reports(spark, sf):
     """The whole chain: sources, documents, claims, triangulation, ranked operands, both funnels, headline."""
-    a = an.analyze(*analysis_inputs(spark, sf))
+    a = an.analyze(*analysis_inputs(spark, sf), store=written_once)
     return a.reports.select("request_id", "report_status", "headline_method", F.col("tam.estimate").alias("tam"), F.col("macro.name").alias("macro"),
                             F.col("customers.value").alias("customers"), "report_confidence", "final_status")

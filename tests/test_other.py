@@ -10,6 +10,7 @@ from tamarack.operators import classify as cls
 from tamarack.operators import requests as req
 from tamarack.plans import analyze as an
 from tamarack.sources import analyses as store
+from tamarack.sources.shared import written_once
 from tamarack.sources import catalog
 from tamarack.sources import pages as pg
 
@@ -108,6 +109,16 @@ def test_whole_analysis(spark):
     assert r.td_tam.estimate == 850e6
     stages = {(x.value, x.lifecycle_stage) for x in a.triangulated.collect()}
     assert (150000.0, "verified") in stages and not any(v == 900000.0 for v, _ in stages)
+    written = {}
+
+    def keep(df, name):
+        written[name] = written_once(df, name)
+        return written[name]
+
+    b = an.analyze(requests, sources, docs, store=keep)
+    assert set(written) == {"requests", "claim-groups"} and b.reports.collect() == a.reports.collect()
+    # statuses come from the written groups alone: texts are extracted once
+    assert sorted(b.triangulated.inputFiles()) == sorted(written["claim-groups"].inputFiles())
 
 
 def test_search_payload_with_a_bad_element(spark):
