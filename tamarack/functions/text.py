@@ -98,14 +98,8 @@ def unit_currency(unit: Column) -> Column:
 
 
 def multiplier_value(mult: Column) -> Column:
-    m = F.lower(mult)
-    by_value: dict[float, list[str]] = {}
-    for word, value in terms.MULTIPLIERS.items():
-        by_value.setdefault(value, []).append(word)
-    out = None
-    for value, words in by_value.items():
-        out = F.when(m.isin(*words), value) if out is None else out.when(m.isin(*words), value)
-    return out.otherwise(F.lit(1.0))
+    values = F.create_map(*[F.lit(part) for pair in terms.MULTIPLIERS.items() for part in pair])
+    return F.when(mult != "", F.coalesce(F.try_element_at(values, F.lower(mult)), F.lit(1.0))).otherwise(F.lit(1.0))
 
 
 def parse_number(number: Column, mult: Column) -> Column:
@@ -169,8 +163,17 @@ def find_all(text: Column, pattern: str, groups: int) -> Column:
             (b["at"] + m["s"]).alias("s"), (b["at"] + m["e"]).alias("e"), m["g"].alias("g")))))
 
     # a text of one block, as nearly all are, needs no second level
-    split = F.transform(pieces, lambda piece: F.split(piece, _SEP))
-    return _bound(split, lambda p: F.when(F.size(p) <= _BLOCK, F.aggregate(p, start, step, lambda acc: acc["out"])).otherwise(in_blocks(p)))
+    def many(pieces):
+        split = F.transform(pieces, lambda piece: F.split(piece, _SEP))
+        return _bound(split, lambda p: F.when(F.size(p) <= _BLOCK, F.aggregate(p, start, step, lambda acc: acc["out"])).otherwise(in_blocks(p)))
+
+    # texts and matches take turns: one match, as is common, needs no sums
+    def one(pieces):
+        at = F.length(pieces[0])
+        return F.transform(F.array(F.split(pieces[1], _SEP)), lambda g: F.struct(at.alias("s"), (at + F.length(g[0])).alias("e"), g.alias("g")))
+
+    none = F.array().cast("array<struct<s:int,e:int,g:array<string>>>")
+    return _bound(pieces, lambda p: F.when(F.size(p) == 3, one(p)).when(F.size(p) == 1, none).otherwise(many(p)))
 
 
 def group(match: Column, i: int) -> Column:
@@ -180,11 +183,12 @@ def group(match: Column, i: int) -> Column:
 
 # -- places and years ---------------------------------------------------------------------------
 
-_PLACE_PATTERN = r"(?iU)\b" + terms.prefix_alternation(terms.PLACES, ignore_case=True) + r"\b"
+_PLACE_PATTERN = "(?iU)" + terms.first_of(terms.PLACES, ignore_case=True) + r"\b" + terms.prefix_alternation(terms.PLACES, ignore_case=True) + r"\b"
 # The nearest place before a match is the one that starts last: of "Southeast Asia" that is "Asia".
-_LAST_PLACE_PATTERN = r"(?iU)\b" + terms.prefix_alternation([p for p in terms.PLACES if p != "Southeast Asia"], ignore_case=True) + r"\b"
+_LAST_PLACES = [p for p in terms.PLACES if p != "Southeast Asia"]
+_LAST_PLACE_PATTERN = "(?iU)" + terms.first_of(_LAST_PLACES, ignore_case=True) + r"\b" + terms.prefix_alternation(_LAST_PLACES, ignore_case=True) + r"\b"
 _WORLD_SHARE = r"(?iU)^\s*(?:of\s+(?:the\s+)?(?:global|worldwide|world))"
-_WORLD_DENOMINATOR = r"(?iU)\bof\s+(?:the\s+)?(?:global|worldwide|world)\b"
+_WORLD_DENOMINATOR = r"(?iU)(?=o)\bof\s+(?:the\s+)?(?:global|worldwide|world)\b"
 
 
 def _bound(value: Column, make) -> Column:
@@ -247,10 +251,10 @@ def place_of_match(around: Column, whole: Column) -> Column:
 
 _YEAR_AFTER = r"(?iU)^\s*(?:in|by|for|during|of|to|target)?\s*\(?(19[0-9][0-9]|20[0-3][0-9])\b"
 _YEAR_BEFORE = (
-    r"(?iU)\b(19[0-9][0-9]|20[0-3][0-9])\s*"
+    r"(?iU)(?=[12])\b(19[0-9][0-9]|20[0-3][0-9])\s*"
     r"(?::|market|revenue|size|value|valuation|spending|reached|was|is)?\s*$"
 )
-_YEAR = r"(?U)\b(199[0-9]|20[0-3][0-9])\b"
+_YEAR = r"(?U)(?=[12])\b(199[0-9]|20[0-3][0-9])\b"
 
 
 def years_of_text(text: Column) -> Column:

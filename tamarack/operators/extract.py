@@ -14,33 +14,38 @@ from pyspark.sql import functions as F
 
 from tamarack import terms
 from tamarack.functions import text as tx
-from tamarack.functions.claim_rules import context_flags, metric_type_in_context
+from tamarack.functions.claim_rules import CONTEXT_TERMS, context_flags, metric_type_in_context
 from tamarack.functions.once import computed_once
 
 _MULT = r"(thousand|million|billion|trillion|crore|lakh|mn|bn|k|b|m)?"
 _CUR = r"(?:USD|\$|INR|₹|EUR|€|GBP|£)?"
-_PLAIN = r"([0-9]+(?:\.[0-9]+)?)"
+# Under the flags iU a range of digits is compared in both cases of each character; without i it finds the same digits faster.
+_PLAIN = r"((?-i)[0-9]+(?:\.[0-9]+)?)"
 # Thousands groups are taken possessively, which the regex engine does in a loop: no number of groups exhausts its
 # stack. What could be given back is the last group alone, where something else than a claim follows it: the
 # second branch.
 _NUMBER = r"(?:[0-9]+(?:,[0-9]+)*+(?:\.[0-9]+)?|[0-9]+(?:,[0-9]+(?=,[0-9]))*+)"
-_GROUPED = f"({_NUMBER})"
+_GROUPED = f"((?-i){_NUMBER})"
+# A look ahead of each pattern passes over the places where none of its matches begins, before a word boundary is tested there.
+_DIGITS = "0123456789"
 
 RANGE_PATTERN = (
-    r"(?iU)(\b(?:(?:from|between|ranged from|jump from|increased from|grew from|rose from)\s+)?"
+    rf"(?iU)((?=[$₹€£{_DIGITS}]|\s+[{_DIGITS}]|(?=[fbrjiueg])(?:from|between|ranged|jump|increased|grew|rose|usd|inr|eur|gbp))"
+    r"\b(?:(?:from|between|ranged from|jump from|increased from|grew from|rose from)\s+)?"
     rf"{_CUR}\s*{_PLAIN}\s*{_MULT}\s*(?:–|-|to|and)\s*{_CUR}\s*{_PLAIN}\s*{_MULT}\s*"
     r"([a-zA-Z%]+(?:\s+[a-zA-Z%]+){0,3})?\b)"
 )
 # What stands between the numbers of every range: a sentence without it needs no look for the rest.
-_RANGE_JOINT = rf"(?iU)[0-9]\s*{_MULT}\s*(?:–|-|to|and)\s*{_CUR}\s*[0-9]"
+_RANGE_JOINT = rf"(?U)[0-9](?i)\s*{_MULT}\s*(?:–|-|to|and)\s*{_CUR}\s*[0-9]"
 MONEY_PATTERN = (
-    r"(?iU)(?:(?:\b(?:valued at|revenue of|market size of|worth|spending of|cost of|fee of|price of)\s+)?"
+    rf"(?iU)(?=[vrmwscfpuieg$₹€£{_DIGITS}])"
+    r"(?:(?:\b(?:valued at|revenue of|market size of|worth|spending of|cost of|fee of|price of)\s+)?"
     rf"(?:(USD|\$|INR|₹|EUR|€|GBP|£)\s*{_GROUPED}\s*{_MULT}|"
     rf"\b{_GROUPED}\s*{_MULT}\s*(USD|dollars?|INR|rupees?|EUR|euros?|GBP|pounds?))\b)"
 )
-COUNT_PATTERN = rf"(?iU)\b{_GROUPED}\s*{_MULT}\s+([a-zA-Z]+(?:\s+[a-zA-Z]+){{0,4}})"
+COUNT_PATTERN = rf"(?iU)(?=[{_DIGITS}])\b{_GROUPED}\s*{_MULT}\s+([a-zA-Z]+(?:\s+[a-zA-Z]+){{0,4}})"
 PERCENT_PATTERN = (
-    r"(?iU)([0-9]+(?:\.[0-9]+)?)\s*(%|percent|percentage)(?:\s+(?:of\s+)?([a-zA-Z]+(?:\s+[a-zA-Z]+){0,4}))?"
+    r"(?U)([0-9]+(?:\.[0-9]+)?)(?i)\s*(%|percent|percentage)(?:\s+(?:of\s+)?([a-zA-Z]+(?:\s+[a-zA-Z]+){0,4}))?"
 )
 
 # One candidate claim: where it is looked at (s, e), what it would block (rs, re), where place and year
@@ -59,7 +64,7 @@ FAMILIES = ("range", "approximate", "money", "count", "percent")
 # A number has at most one qualifier directly before it, so one pass finds them all. The words that
 # follow are only looked at, not consumed: they may hold the next qualifier.
 APPROX_PATTERN = (
-    rf"(?iU)\b({terms.prefix_alternation(terms.QUALIFIERS, ignore_case=True)})\s+{_GROUPED}\s*{_MULT}"
+    rf"(?iU){terms.first_of(terms.QUALIFIERS, ignore_case=True)}\b({terms.prefix_alternation(terms.QUALIFIERS, ignore_case=True)})\s+{_GROUPED}\s*{_MULT}"
     r"(?=(\s+[a-zA-Z%]+(?:\s+[a-zA-Z%]+){0,4})\b)"
 )
 
@@ -120,6 +125,23 @@ def _sentence_flags(s: Column, lowered: Column) -> dict[str, Column]:
     }
 
 
+# The terms that a sentence without any of the flags above has none of, but those that hold another one of them.
+_FLAG_TERMS = terms.shortest((
+    "per", *[w for words in CONTEXT_TERMS.values() for w in words], *terms.UNIT_SPEND_TERMS, *terms.RANGE_PRICE_TERMS, *terms.GROWTH_TERMS,
+    "scaled", *terms.MONEY_UNIT_SPEND_TERMS, *terms.USAGE_RATE_TERMS, *terms.SURVEY_TERMS,
+))
+
+
+def _may_match(s: Column, families) -> Column:
+    """Whether any family can match at all: of other sentences nothing else need be asked."""
+    patterns = {"count": COUNT_PATTERN, "percent": PERCENT_PATTERN, "money": MONEY_PATTERN, "approximate": APPROX_PATTERN, "range": _RANGE_JOINT}
+    out = F.lit(False)
+    for family, pattern in patterns.items():  # the commonest first
+        if family in families:
+            out = out | s.rlike(pattern)
+    return out
+
+
 def _range_candidates(s: Column, lowered: Column, seen) -> Column:
     """At most one range per sentence; its value stays null."""
     # One pass: text before the first range, then its groups, between marks.
@@ -250,8 +272,12 @@ _HEAD_COUNT_TYPES = ("population", "customer_count", "users", "student_count", "
 
 def _count_candidates(sentence: Column, lowered: Column, seen) -> Column:
     survey = seen["survey"]
+    # a noun phrase that ends before its first word holds no entity: what follows is not asked of such a number
+    def may_count(m):
+        return ~F.lower(F.split(m["g"][3], r"(?U)\s+", 2)[0]).isin(*terms.STOP_WORDS, *terms.NOISE_WORDS)
+
     parsed = _bind(
-        tx.find_all(sentence, COUNT_PATTERN, 3),
+        F.filter(tx.find_all(sentence, COUNT_PATTERN, 3), may_count),
         before=lambda m: F.substring(sentence, m["s"], F.when(m["s"] > 0, 1).otherwise(0)),
         number=lambda m: tx.group(m, 1),
         mult=lambda m: tx.group(m, 2),
@@ -422,10 +448,12 @@ def claims_from_sentences(rows: DataFrame, sentence: str = "sentence", families=
     """
     rest = [c for c in rows.columns if c != sentence]
     numbered = rows.filter(F.col(sentence).rlike("[0-9]"))
-    cleaned = computed_once(numbered, {"_s": clean_sentence(F.col(sentence))}).filter(may_hold_claims(F.col("_s"))).withColumn("_l", F.lower("_s"))
+    cleaned = computed_once(numbered, {"_s": clean_sentence(F.col(sentence))}).filter(may_hold_claims(F.col("_s")) & _may_match(F.col("_s"), families))
     s, lowered = F.col("_s"), F.col("_l")
     flags = _sentence_flags(s, lowered)
-    cleaned = computed_once(cleaned, {f"_f_{k}": v for k, v in flags.items()})
+    cleaned = computed_once(cleaned.withColumn("_l", F.lower("_s")), {"_flagged": tx.has_any(lowered, _FLAG_TERMS)})
+    # one pass for the terms of all flags: most sentences hold none, and then no flag is looked for by itself
+    cleaned = computed_once(cleaned, {f"_f_{k}": F.col("_flagged") & v for k, v in flags.items()})
     seen = {k: F.col(f"_f_{k}") for k in flags}
     makers = {
         "range": lambda: _range_candidates(s, lowered, seen),

@@ -218,3 +218,60 @@ def test_candidates_are_not_cast_as_a_whole(spark):
     df = spark.createDataFrame([("It has 12 users.",)], "sentence string")
     plan = ex.claims_from_sentences(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "as struct<" not in plan
+
+
+_N = r"((?:[0-9]+(?:,[0-9]+)*+(?:\.[0-9]+)?|[0-9]+(?:,[0-9]+(?=,[0-9]))*+))"
+_P = r"([0-9]+(?:\.[0-9]+)?)"
+_PLAIN_PATTERNS = {  # as they are without a look ahead
+    "range": (r"(?iU)(\b(?:(?:from|between|ranged from|jump from|increased from|grew from|rose from)\s+)?"
+              rf"{ex._CUR}\s*{_P}\s*{ex._MULT}\s*(?:–|-|to|and)\s*{ex._CUR}\s*{_P}\s*{ex._MULT}\s*([a-zA-Z%]+(?:\s+[a-zA-Z%]+){{0,3}})?\b)", ex.RANGE_PATTERN, 6),
+    "money": (r"(?iU)(?:(?:\b(?:valued at|revenue of|market size of|worth|spending of|cost of|fee of|price of)\s+)?"
+              rf"(?:(USD|\$|INR|₹|EUR|€|GBP|£)\s*{_N}\s*{ex._MULT}|"
+              rf"\b{_N}\s*{ex._MULT}\s*(USD|dollars?|INR|rupees?|EUR|euros?|GBP|pounds?))\b)", ex.MONEY_PATTERN, 6),
+    "count": (rf"(?iU)\b{_N}\s*{ex._MULT}\s+([a-zA-Z]+(?:\s+[a-zA-Z]+){{0,4}})", ex.COUNT_PATTERN, 3),
+    "percent": (r"(?iU)([0-9]+(?:\.[0-9]+)?)\s*(%|percent|percentage)(?:\s+(?:of\s+)?([a-zA-Z]+(?:\s+[a-zA-Z]+){0,4}))?", ex.PERCENT_PATTERN, 3),
+    "approximate": (rf"(?iU)\b({terms.alternation(terms.QUALIFIERS)})\s+{_N}\s*{ex._MULT}(?=(\s+[a-zA-Z%]+(?:\s+[a-zA-Z%]+){{0,4}})\b)", ex.APPROX_PATTERN, 4),
+    "place": (r"(?iU)\b" + terms.alternation(terms.PLACES) + r"\b", tx._PLACE_PATTERN, 0),
+    "denominator": (r"(?iU)\bof\s+(?:the\s+)?(?:global|worldwide|world)\b", tx._WORLD_DENOMINATOR, 0),
+    "year": (r"(?U)\b(199[0-9]|20[0-3][0-9])\b", tx._YEAR, 1),
+    "released": (terms.RELEASE_YEAR_PATTERN.replace("(?=[rfepldcsv])", ""), terms.RELEASE_YEAR_PATTERN, 0),
+}
+
+
+def test_patterns_with_a_look_ahead_match_as_without(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["from", "Between", "ranged from", "ROSE FROM", "to", "and", "–", "-", "USD", "uſd", "$", "₹", "INR", "ınr", "€", "£", "gbp", "12", "1,234.5", "1,2,", "3", "2024", "٣",
+             "million", "mn", "K", "k", "%", "percent", "of the world", "More than", "at least", "eſtimated", "over", "about", "users", "kids ſold", "India", "US", "uk", "Uſa", "ASIA",
+             "southeast asia", "worth", "valued at", "price of", "dollars", "ſince", "since", "v.", "version", "é", " ", "\t", "_", ".", ","]
+    words += 5 * ["12", "7", "to", "and", "–"] + 2 * ["million", "USD", "more than", "2024"]
+    rows = [("".join(rng.choice(words) + rng.choice(["", " ", " ", " ", "  "]) for _ in range(rng.randint(1, 16))),) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "t string")
+    for name, (plain, mine, groups) in _PLAIN_PATTERNS.items():
+        marks = "<" + "|".join(f"${i}" for i in range(groups + 1)) + ">"
+        a, b = (F.regexp_replace("t", p, marks) for p in (plain, mine))
+        assert plain != mine and ("(?=" in mine or name == "percent"), name
+        assert df.filter(a != b).count() == 0 and df.filter(b != F.col("t")).count() > 20, name
+
+
+def test_flag_terms_find_what_all_terms_find():
+    assert terms.shortest(("per user", "per", "aov", "per", "order value")) == ["per", "aov", "order value"]
+    held = [*terms.MONEY_UNIT_SPEND_TERMS, *terms.RANGE_PRICE_TERMS, *terms.USAGE_TYPE_TERMS, *terms.SURVEY_TERMS, *terms.GROWTH_TERMS, *terms.FUNDING_TERMS]
+    assert all(any(f in w for f in ex._FLAG_TERMS) for w in held) and len(ex._FLAG_TERMS) < len(held)
+
+
+def test_sentences_without_a_match_are_left_before_anything_else_is_asked(spark):
+    df = spark.createDataFrame([("It has 12 users in 2024.",)], "sentence string")
+    plan = ex.claims_from_sentences(df, families=("approximate",))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert any("RLIKE" in line and "estimated"[1:] in line for line in filters)
+    assert ex.claims_from_sentences(df, families=("approximate",)).count() == 0 and ex.claims_from_sentences(df, families=()).count() == 0
+
+
+def test_one_match_needs_no_sums(spark):
+    rows = [("a 7",), ("7",), ("7 b",), ("none",), ("",), (None,), ("1 2",)]
+    got = spark.createDataFrame(rows, "t string").select("t", tx.find_all(F.col("t"), "([0-9])", 1).alias("m")).collect()
+    for r in got:
+        want = None if r.t is None else [(m.start(), m.end(), [m.group(), m.group()]) for m in re.finditer("[0-9]", r.t)]
+        assert (r.m if r.m is None else [(m.s, m.e, list(m.g)) for m in r.m]) == want
