@@ -121,6 +121,21 @@ def test_whole_analysis(spark):
     assert sorted(b.triangulated.inputFiles()) == sorted(written["claim-groups"].inputFiles())
 
 
+def test_texts_are_extracted_by_many_tasks(spark):
+    requests = spark.createDataFrame([("r", "Clinic management software for clinics in India", "India")], "request_id string, business_idea string, target_country string")
+    rows = spark.range(400).withColumn("url", F.concat(F.lit("https://s"), "id", F.lit(".example.gov/a")))
+    sources = rows.select(F.lit("r").alias("request_id"), F.col("id").alias("ord"), "url", F.lit("Clinics in India").alias("title"), F.lit("clinics in India").alias("snippet"),
+                          F.lit("S").alias("source_name"), F.lit("official_government").alias("category"), F.lit(0.9).alias("relevance_score"))
+    requests = requests.withColumn("max_sources", F.lit(0))
+    docs = rows.select(F.col("url").alias("original_url"), F.col("url").alias("final_url"), F.lit(None).cast("string").alias("title"),
+                       F.concat(F.lit("India has "), F.col("id") + 10000, F.lit(" private clinics in 2024.")).alias("content"), F.lit("text/plain").alias("content_type"),
+                       F.lit(200).alias("http_status"), F.lit("success").alias("fetch_status"), F.lit("S").alias("source_name"))
+    claims = written_once(an.analyze(requests, sources, docs).claims, "claims-of-many")
+    # a few kilobytes of text: adaptive execution would leave them all to one task
+    files = claims.groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 4 and max(r["count"] for r in files) <= 200 and sum(r["count"] for r in files) == 400
+
+
 def test_search_payload_with_a_bad_element(spark):
     payload = '{"results": [{"url": "https://a.org/x", "title": "A"}, "bare text", null, 7, [1], {"url": "https://b.org/y", "n": {"deep": 1}}]}'
     df = spark.createDataFrame([("r", "q", payload, 5), ("r", "q", "no json", 5), ("r", "q", None, 5)], "request_id string, query_used string, payload string, max_results int")
