@@ -277,11 +277,11 @@ def market_scope(metric, context, unit, notes, product, customer, industry, geog
 _CITIES = ("chennai", "mumbai", "delhi", "bangalore", "hyderabad", "pune")
 
 
-def suitability(claim, target) -> Column:
-    """Six matches and a rating of a claim against a business.
+def suitability_tests(claim, target) -> dict[str, Column]:
+    """What :func:`suitability_of` asks of a claim and a business. It reads most of the answers several times.
 
     ``claim`` gives metric, unit, geography, year, source_context, source_url; ``target`` gives
-    geography, customer_type, preferred_year. Without a business (``has_target`` false) it is MEDIUM.
+    geography, customer_type, preferred_year.
     """
     tg = low(F.coalesce(target["geography"], F.lit("India")))
     place, m, u = low(claim["geography"]), low(claim["metric"]), low(claim["unit"])
@@ -307,31 +307,43 @@ def suitability(claim, target) -> Column:
         )
         .otherwise(text.contains(cust))
     )
-    unrelated = has_any(text, ("pet care", "meal delivery", "solar", "ev charging", "food delivery",
-                               "retail e-commerce", "gaming", "automotive"))
-    direct = has_any(text, ("clinic management", "practice management", "clinic software", "clinic saas",
-                            "emr for clinics", "outpatient clinic")) | (
-        clinic_target & text.contains("clinic") & text.contains("software"))
-    billing = has_any(text, ("revenue cycle", "rcm", "medical billing", "billing software", "claims processing"))
-    adjacent = has_any(text, ("telemedicine", "ehr", "emr", "lis", "lims", "pacs", "workforce", "patient engagement"))
-    parent = has_any(text, ("healthcare it", "healthcare saas", "health tech", "digital health",
-                            "healthcare software", "hospital market", "total healthcare"))
+    both = F.concat_ws(" ", u, m)
+    return {
+        "geo": geo, "customer": customer,
+        "unrelated": has_any(text, ("pet care", "meal delivery", "solar", "ev charging", "food delivery",
+                                    "retail e-commerce", "gaming", "automotive")),
+        "direct": has_any(text, ("clinic management", "practice management", "clinic software", "clinic saas",
+                                 "emr for clinics", "outpatient clinic")) | (
+            clinic_target & text.contains("clinic") & text.contains("software")),
+        "billing": has_any(text, ("revenue cycle", "rcm", "medical billing", "billing software", "claims processing")),
+        "adjacent": has_any(text, ("telemedicine", "ehr", "emr", "lis", "lims", "pacs", "workforce", "patient engagement")),
+        "parent": has_any(text, ("healthcare it", "healthcare saas", "health tech", "digital health",
+                                 "healthcare software", "hospital market", "total healthcare")),
+        "small": has_any(text, ("small", "medium", "smb", "sme", "independent", "single doctor", "solo practitioner",
+                                "private practice")),
+        "large": has_any(text, ("enterprise hospital", "500+ beds", "multi-chain", "hospital chain", "tertiary care",
+                                "corporate hospital")),
+        "gap": F.abs(F.coalesce(claim["year"], F.lit(2024)) - F.coalesce(target["preferred_year"], F.lit(2025))),
+        "metric_ok": (
+            has_any(both, ("clinic", "hospital", "facility", "facilities", "organization", "practice", "center",
+                           "doctor", "unit"))
+            | has_any(both, ("inr", "usd", "price", "spend", "cost", "fee", "subscription", "arpu", "/year", "/month"))
+            | has_any(m, ("market", "industry", "revenue", "spending", "tam"))
+        ),
+    }
+
+
+def suitability_of(tests: dict[str, Column], known: Column) -> Column:
+    """Six matches and a rating of a claim against a business, from its :func:`suitability_tests`.
+
+    Without a business (``known`` false) it is MEDIUM.
+    """
+    geo, customer, billing, parent = (tests[k] for k in ("geo", "customer", "billing", "parent"))
     definition = (
-        F.when(unrelated, "UNRELATED").when(direct, "DIRECT_MATCH").when(billing | adjacent, "RELATED_MARKET")
+        F.when(tests["unrelated"], "UNRELATED").when(tests["direct"], "DIRECT_MATCH").when(billing | tests["adjacent"], "RELATED_MARKET")
         .when(parent, "BROAD_PARENT_MARKET").otherwise("RELATED_MARKET")
     )
-    small = has_any(text, ("small", "medium", "smb", "sme", "independent", "single doctor", "solo practitioner",
-                           "private practice"))
-    large = has_any(text, ("enterprise hospital", "500+ beds", "multi-chain", "hospital chain", "tertiary care",
-                           "corporate hospital"))
-    gap = F.abs(F.coalesce(claim["year"], F.lit(2024)) - F.coalesce(target["preferred_year"], F.lit(2025)))
-    both = F.concat_ws(" ", u, m)
-    metric_ok = (
-        has_any(both, ("clinic", "hospital", "facility", "facilities", "organization", "practice", "center",
-                       "doctor", "unit"))
-        | has_any(both, ("inr", "usd", "price", "spend", "cost", "fee", "subscription", "arpu", "/year", "/month"))
-        | has_any(m, ("market", "industry", "revenue", "spending", "tam"))
-    )
+    small, large, gap, metric_ok = (tests[k] for k in ("small", "large", "gap", "metric_ok"))
     rating = (
         F.when(~geo | (definition == "UNRELATED"), "UNSUITABLE")
         .when((definition == "DIRECT_MATCH") & customer, "HIGH")
@@ -341,7 +353,6 @@ def suitability(claim, target) -> Column:
         )
         .otherwise("MEDIUM")
     )
-    known = target["has_target"]
 
     def field(value, default, name):
         return F.when(known, value).otherwise(F.lit(default)).alias(name)

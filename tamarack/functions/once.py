@@ -15,3 +15,15 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     rest = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     return df.select(*rest, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
+def compiled_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """:func:`computed_once` for long expressions over many rows.
+
+    A generator whose expressions hold a higher-order function is interpreted as a whole, and what its columns have in common is
+    evaluated for each of them. Here a projection computes the struct, which is compiled and shares common parts; the generator
+    only unfolds it. Compiling costs more than it gains where there are few rows.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    made = df.select(*rest, F.struct(*[v.alias(k) for k, v in columns.items()]).alias("_once"))
+    return made.select(*rest, F.inline(F.array("_once")))

@@ -15,7 +15,7 @@ from tamarack import terms
 from tamarack.functions import claim_rules as rules
 from tamarack.functions import source_rules as src
 from tamarack.functions import text as tx
-from tamarack.functions.once import computed_once
+from tamarack.functions.once import compiled_once
 from tamarack.operators.domain_rules import rate_sources
 
 # Business columns that ``validate_claims`` reads when the claims carry them.
@@ -36,9 +36,9 @@ def score_sources(claims: DataFrame, substring: bool = False, rules: DataFrame |
     """
     df = claims.withColumn("domain", tx.domain_of(F.col("source_url")))
     if rules is not None:
-        df = computed_once(rate_sources(df, rules), {"_b": F.struct(F.col("source_rule.base").alias("base"), F.col("source_rule.tier").alias("tier"))})
+        df = compiled_once(rate_sources(df, rules), {"_b": F.struct(F.col("source_rule.base").alias("base"), F.col("source_rule.tier").alias("tier"))})
     else:
-        df = computed_once(df, {"_b": src.quality_base(F.col("source_url"), F.col("domain"), F.col("source_name"), substring)})
+        df = compiled_once(df, {"_b": src.quality_base(F.col("source_url"), F.col("domain"), F.col("source_name"), substring)})
     points = src.quality_adjustment(
         F.col("year"), F.col("source_name"), F.col("source_context"), _optional(df, "raw_value_expression")
     )
@@ -86,7 +86,7 @@ def relevance(claims: DataFrame) -> DataFrame:
     cust, prod = _optional(claims, "target_customer"), _optional(claims, "target_product")
     with_unit = F.concat_ws(" ", tx.low(metric), tx.low(context), tx.low(unit))
     without_unit = F.concat_ws(" ", tx.low(metric), tx.low(context))
-    df = computed_once(claims, {
+    df = compiled_once(claims, {
         "quality_percent": F.round(F.col("source_quality_score") * 100, 1),
         "recency_score": rules.recency_score(F.col("year")),
         "geography_score": rules.geography_score(metric, context, place, geo),
@@ -106,7 +106,7 @@ def relevance(claims: DataFrame) -> DataFrame:
         F.when(noise.isin("NOISE_CONTACT_INFO", "NAVIGATION_TEXT"), 0.0).when(noise == "UNRELATED_PRICE", 10.0)
         .when(noise == "NO_MARKET_SIZING_CLAIM", 5.0).when(unrelated, 0.0).otherwise(score)
     )
-    df = computed_once(df, {"relevance_score": overall})
+    df = compiled_once(df, {"relevance_score": overall})
     rejection = (
         F.when(noise.isNotNull(), noise).when(unrelated, "UNRELATED_INDUSTRY")
         .when(geo_score < 15, "GEOGRAPHY_MISMATCH").when(ind_score < 20, "UNRELATED_INDUSTRY")
@@ -130,23 +130,28 @@ def validate_claims(claims: DataFrame, substring_domains: bool = False) -> DataF
     ``validated`` but never ``verified``.
     """
     df = relevance(score_sources(claims, substring_domains))
-    df = computed_once(df, {"errors": structural_errors(df)})
     has_target = F.coalesce(*[_optional(claims, c).cast("string") for c in BUSINESS_COLUMNS]).isNotNull()
     target = {
-        "has_target": has_target,
         "geography": _optional(claims, "target_geography"),
         "customer_type": F.coalesce(_optional(claims, "target_customer_type"), _optional(claims, "target_customer")),
         "preferred_year": _optional(claims, "preferred_year", "int"),
     }
     claim = {c: F.col(c) for c in ("metric", "unit", "geography", "year", "source_context", "source_url")}
+    df = compiled_once(df, {"errors": structural_errors(df)})
     unusable = (F.col("source_quality_tier") == terms.TIER_5) | (F.col("source_quality_score") < 0.25)
     structural = F.size("errors") > 0
     rejected = F.col("relevance_rejection").isNotNull()
-    df = computed_once(df, {
+    df = compiled_once(df, {
         "validation_status": F.when(unusable, "rejected").when(structural, "invalid").when(rejected, "rejected").otherwise("valid"),
         "rejection_category": F.when(unusable, "UNUSABLE_SOURCE").otherwise(F.col("relevance_rejection")),
-        "suitability": rules.suitability(claim, target),
     })
+    # after the status: where only valid claims are read, the others are gone before this
+    tests = rules.suitability_tests(claim, target)
+    asked = {f"_suits_{k}": v for k, v in tests.items()} if any(c in claims.columns for c in BUSINESS_COLUMNS) else {}
+    if asked:  # else no row has a business to be judged against, and nothing is asked
+        df = compiled_once(df, asked)
+        tests = {k: F.col(f"_suits_{k}") for k in tests}
+    df = compiled_once(df, {"suitability": rules.suitability_of(tests, has_target)})
     valid = F.col("validation_status") == "valid"
     year = F.col("year")
     return df.withColumns({
@@ -156,7 +161,7 @@ def validate_claims(claims: DataFrame, substring_domains: bool = False) -> DataF
         "year_note": F.when(year.between(1900, 2019), F.concat(F.lit("Prior baseline data ("), year.cast("string"), F.lit(")")))
         .when(year.between(2020, 2100), F.concat(F.lit("Observation year: "), year.cast("string"))),
         "geography_note": F.when(tx.low(F.col("geography")) != "", F.concat(F.lit("Explicit geographic scope: "), F.col("geography"))),
-    }).drop("relevance_rejection")
+    }).drop("relevance_rejection", *asked)
 
 
 # -- grouping -----------------------------------------------------------------------------------
@@ -171,7 +176,7 @@ def with_claim_keys(claims: DataFrame) -> DataFrame:
     metric, unit = tx.normalize_metric(F.col("metric")), tx.normalize_unit(F.col("unit"))
     place, kind = tx.normalize_place(F.col("geography")), F.coalesce("metric_type", F.lit(""))
     year = F.coalesce(F.col("year").cast("string"), F.lit("None"))
-    df = computed_once(claims, {"norm_metric": metric, "norm_unit": unit, "norm_place": place, "_kind": kind, "_year": year})
+    df = compiled_once(claims, {"norm_metric": metric, "norm_unit": unit, "norm_place": place, "_kind": kind, "_year": year})
     group = F.concat_ws(
         "|", "norm_metric", "_kind", "norm_place", "_year", "norm_unit", tx.key_number(F.col("value")),
         tx.key_number(F.col("range_min")), tx.key_number(F.col("range_max")),
@@ -180,7 +185,7 @@ def with_claim_keys(claims: DataFrame) -> DataFrame:
     subject = F.concat_ws(
         "|", "norm_metric", "_kind", "norm_place", "_year", "norm_unit", F.when(macro, "macro").otherwise("micro")
     )
-    return computed_once(df, {
+    return compiled_once(df, {
         "group_key": F.sha2(group, 256), "subject_key": F.sha2(subject, 256),
         "group_id": F.concat(F.lit("dup_"), F.substring(F.md5(group), 1, 12)),
         "subject_id": F.concat(F.lit("cnf_"), F.substring(F.md5(F.concat(F.lit("conflict_"), subject)), 1, 12)),

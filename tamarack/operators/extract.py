@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tamarack import terms
 from tamarack.functions import text as tx
 from tamarack.functions.claim_rules import CONTEXT_TERMS, context_flags, metric_type_in_context
-from tamarack.functions.once import computed_once
+from tamarack.functions.once import compiled_once
 
 _MULT = r"(thousand|million|billion|trillion|crore|lakh|mn|bn|k|b|m)?"
 _CUR = r"(?:USD|\$|INR|₹|EUR|€|GBP|£)?"
@@ -448,12 +448,12 @@ def claims_from_sentences(rows: DataFrame, sentence: str = "sentence", families=
     """
     rest = [c for c in rows.columns if c != sentence]
     numbered = rows.filter(F.col(sentence).rlike("[0-9]"))
-    cleaned = computed_once(numbered, {"_s": clean_sentence(F.col(sentence))}).filter(may_hold_claims(F.col("_s")) & _may_match(F.col("_s"), families))
+    cleaned = compiled_once(numbered, {"_s": clean_sentence(F.col(sentence))}).filter(may_hold_claims(F.col("_s")) & _may_match(F.col("_s"), families))
     s, lowered = F.col("_s"), F.col("_l")
     flags = _sentence_flags(s, lowered)
-    cleaned = computed_once(cleaned.withColumn("_l", F.lower("_s")), {"_flagged": tx.has_any(lowered, _FLAG_TERMS)})
+    cleaned = compiled_once(cleaned.withColumn("_l", F.lower("_s")), {"_flagged": tx.has_any(lowered, _FLAG_TERMS)})
     # one pass for the terms of all flags: most sentences hold none, and then no flag is looked for by itself
-    cleaned = computed_once(cleaned, {f"_f_{k}": F.col("_flagged") & v for k, v in flags.items()})
+    cleaned = compiled_once(cleaned, {f"_f_{k}": F.col("_flagged") & v for k, v in flags.items()})
     seen = {k: F.col(f"_f_{k}") for k in flags}
     makers = {
         "range": lambda: _range_candidates(s, lowered, seen),
@@ -463,18 +463,18 @@ def claims_from_sentences(rows: DataFrame, sentence: str = "sentence", families=
         "percent": lambda: _percent_candidates(s, lowered, seen),
     }
     found = F.concat(_no_candidates(), *[makers[f]() for f in FAMILIES if f in families])
-    asked = computed_once(cleaned, {"_found": found})
-    kept = computed_once(asked, {"_kept": _keep_disjoint(F.col("_found"), s)}).drop("_found").filter(F.size("_kept") > 0)
-    whole = computed_once(kept, {"_place": tx.place_of_text(s), "_years": tx.years_of_text(s), "_chunks": tx.chunks_of(s)})
-    looked = computed_once(whole, {"_kept": F.transform(
+    asked = compiled_once(cleaned, {"_found": found})
+    kept = compiled_once(asked, {"_kept": _keep_disjoint(F.col("_found"), s)}).drop("_found").filter(F.size("_kept") > 0)
+    whole = compiled_once(kept, {"_place": tx.place_of_text(s), "_years": tx.years_of_text(s), "_chunks": tx.chunks_of(s)})
+    looked = compiled_once(whole, {"_kept": F.transform(
         "_kept", lambda c: F.struct(c.alias("c"), tx.around_match(F.col("_chunks"), c["ms"], c["me"]).alias("around")))})
     rows = looked.select(*rest, "_s", *[f"_f_{k}" for k in flags], "_place", "_years", F.inline("_kept"))
-    placed = computed_once(rows, {
+    placed = compiled_once(rows, {
         "geography": tx.place_of_match(F.col("around"), F.col("_place")),
         "year": tx.year_of_match(F.col("around"), F.col("c.ms"), F.col("c.me"), F.col("_years")),
     })
     named = F.array(F.struct(F.lower("c.metric").alias("metric"), F.lower("c.unit").alias("unit")))
-    typed = computed_once(placed, {
+    typed = compiled_once(placed, {
         "metric_type": F.coalesce(
             F.col("c.fixed_type"),
             F.transform(named, lambda x: metric_type_in_context(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tamarack import terms
 from tamarack.functions import source_rules as src
+from tamarack.functions.once import compiled_once, computed_once
 from tamarack.operators import evidence as ev
 from tamarack.schemas import CLAIMS_DDL
 
@@ -27,6 +28,33 @@ def frame(spark, *rows):
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], CLAIMS_DDL)
 
 
+def test_compiled_once(spark):
+    df = spark.createDataFrame([(1, " A b "), (2, None), (3, "b")], "id int, t string")
+    columns = {"t": F.lower(F.trim("t")), "words": F.transform(F.split("t", " "), lambda w: F.concat(w, w))}
+    got, want = (make(df, columns).filter("t != ''") for make in (compiled_once, computed_once))
+    assert got.schema == want.schema and sorted(got.collect()) == sorted(want.collect()) and got.count() == 2
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # evaluated once, in a projection: neither the filter nor the generator holds the expression
+    assert plan.count("lower(") == 1 and [x for x in plan.split("\n") if "lower(" in x][0].lstrip("+-: ").startswith("Project")
+
+
+def test_suitability_is_asked_of_valid_claims_only(spark):
+    df = frame(spark, claim("https://statistics.gov.in/a"), claim("https://reddit.com/r/b")).withColumn("target_geography", F.col("geography"))
+    checked = ev.validate_claims(df)
+    assert {(r.source_url, r.is_valid, r.suitability.geographic_match) for r in checked.collect()} == {
+        ("https://statistics.gov.in/a", True, True), ("https://reddit.com/r/b", False, True)}
+    valid = checked.filter("is_valid").select("candidate_id", "suitability")
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = valid._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+    asked = [i for i, x in enumerate(plan) if "_suits_geo" in x]
+    kept = [i for i, x in enumerate(plan) if x.lstrip("+-: ").startswith("Filter") and "= valid" in x]
+    assert asked and kept and max(asked) < min(kept)
+
+
 def test_groups(spark):
     df = frame(
         spark, claim("https://statistics.gov.in/a"), claim("https://education.gov.in/b"),
