@@ -58,7 +58,7 @@ def analyze(requests: DataFrame, source_table: DataFrame, document_table: DataFr
 
     ``source_table`` has one row per discovered source with ``request_id, ord`` and the source columns;
     ``document_table`` the fetched documents by url. ``gate`` chooses operands by ``ranked`` scores or by
-    ``first_match``. Shuffles: sources by url, claims by claim key and by subject, operands by request.
+    ``first_match``. Shuffles: sources by url, texts by request and url, claims by claim key and by subject, operands by request.
     Requests and claim groups are read several times; with ``store`` (such as :func:`tamarack.sources.shared.written_once`)
     they are written first, so that texts are extracted once for the reports.
     """
